@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .line_dedup import drop_common_lines
+from .mixing import mix
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import token_counts
+from .url_filter import judge
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +27,71 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(shared.table(spark, sf_dir, "documents"), words=3, distance=3)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(shared.table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(shared.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_common_lines(shared.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_packing": op3_packing,
+    "op4_simhash": op4_simhash,
+    "op5_url_filter": op5_url_filter,
+    "op6_mixing": op6_mixing,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL of sizes, key ranges and targets of a mix over {docs} (doc_id, text, source).
+MIX_SQL = r"""
+rows as (
+  select *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, coalesce('a' || source, 'b') as sk,
+         md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as h
+  from {docs}),
+sizes as (select sk, cast(sum(size) as bigint) as source_size from rows group by sk),
+ranked as (
+  select *, cast([3, 1, 2][(row_number() over (order by sk) - 1) % 3 + 1] as double) as w, cast(source_size * 2 as double) as cap from sizes),
+levels as (
+  select *, (cast(sum(source_size) over () as double) * 1.5
+             - coalesce(sum(cap) over (order by cap / w, sk rows between unbounded preceding and 1 preceding), 0.0))
+            / sum(w) over (order by cap / w, sk rows between current row and unbounded following) as level
+  from ranked),
+aims as (
+  select sk, source_size, coalesce(least(cap, max(case when cap / w > level then level end) over () * w), cap) as target from levels),
+placed as (
+  select rows.*, source_size, target, sum(size) over (partition by sk order by h, doc_id, size rows between unbounded preceding and 1 preceding) as before
+  from rows join aims using (sk)),
+mixed as (
+  select *, case when source_size > 0 then cast(floor(floor(target) / source_size) as bigint) else 0 end as full_epochs from placed)
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_mixing": "with " + MIX_SQL.replace("{docs}", "documents") + """
+select doc_id, cast(size as bigint) as size, source_size, target,
+       cast(full_epochs * size + greatest(0, least(size, cast(floor(target) as bigint) - full_epochs * source_size - coalesce(before, 0))) as bigint) as taken
+from mixed""",
+    "op9_line_dedup": r"""
+with lines as (select doc_id, source, text, string_split(text, chr(10)) as all_lines from documents),
+filled as (select *, list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as f from lines),
+counts as (select source, line, count(*) as pages from (select source, unnest(list_distinct(f)) as line from filled) group by source, line),
+totals as (select source, count(*) as total from documents group by source),
+common as (select c.source, list(line) as common from counts c join totals t on c.source is not distinct from t.source
+           where pages >= 5 and pages > total * cast(0.1 as double) group by c.source),
+kept as (select f.*, list_filter(all_lines, lambda x: not (regexp_matches(x, '[^\x20\x09-\x0D]') and coalesce(list_contains(common, x), false))) as k
+         from filled f left join common c on f.source is not distinct from c.source)
+select doc_id, source, cast(coalesce(len(f), 0) as bigint) as n_lines, cast(coalesce(len(all_lines) - len(k), 0) as bigint) as n_dropped,
+       sha256(array_to_string(k, chr(10))) as kept_sha256
+from kept""",
+}
