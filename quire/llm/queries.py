@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, toxicity
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .packing import pack
@@ -22,6 +22,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def held_out(key: str = "doc_id"):
+    """Whether a row's labels are held out: the crc32 of its key as text is divisible by 5."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    learnt = shared.table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity.fit(shared.table(spark, sf_dir, "documents"), learnt)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(shared.table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), ["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -47,6 +62,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
