@@ -11,6 +11,7 @@ from .line_dedup import drop_common_lines
 from .mixing import mix
 from .packing import pack
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .url_filter import judge
 
@@ -60,6 +61,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.col("kept"), 256)
+    return remove_repeats(shared.table(spark, sf_dir, "documents"), length=400, derive={"kept_sha256": digest})
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: SQL of sizes, key ranges and targets of a mix over {docs} (doc_id, text, source).
