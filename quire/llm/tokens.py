@@ -9,11 +9,11 @@ string that could be a special token. Any other text goes to the library whole.
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import re
-
-import numpy as np
+import sys
 
 #: ASCII and the letters of Latin-1 and Latin Extended-A, but for those whose lower case or class differs.
 SAFE = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
@@ -28,6 +28,23 @@ WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MEMO_SIZE, MEMO_CHARS = 600_000, 48
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if Latin-1 prints it, else the next one from 256 on."""
+    shown = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _kind(spec: dict) -> str | None:
     """Which of SPLITS a tokenizer file uses, or None."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -74,16 +91,15 @@ class Encoder:
         self.lower = kind == "words"
         self.split = SPLITS[kind].findall if kind else None
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.packed, self.counted = _Memo(self._pack), _Memo(self._count)
+        self.model = self.lib.model
+        self.packed, self.counted = _Memo(lambda p: _packed([t.id for t in self._piece(p)])), _Memo(lambda p: len(self._piece(p)))
 
     def _ids(self, text: str) -> list[int]:
         return self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _pack(self, text: str) -> bytes:
-        return np.array(self._ids(text), dtype="<u4").tobytes()
-
-    def _count(self, text: str) -> int:
-        return len(self._ids(text))
+    def _piece(self, piece: str) -> list:
+        """The library's model on one pre-token, whose bytes stand there as letters."""
+        return self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))
 
     def _pieces(self, text: str) -> list[str] | None:
         if self.split is None or SAFE.fullmatch(text) is None or any(s in text for s in self.special):
@@ -94,13 +110,13 @@ class Encoder:
         if len(self.packed) > MEMO_SIZE:
             self.packed.clear()
         pieces = self._pieces(text)
-        return self._pack(text) if pieces is None else b"".join(map(self.packed.__getitem__, pieces))
+        return _packed(self._ids(text)) if pieces is None else b"".join(map(self.packed.__getitem__, pieces))
 
     def count(self, text: str) -> int:
         if len(self.counted) > MEMO_SIZE:
             self.counted.clear()
         pieces = self._pieces(text)
-        return self._count(text) if pieces is None else sum(map(self.counted.__getitem__, pieces))
+        return len(self._ids(text)) if pieces is None else sum(map(self.counted.__getitem__, pieces))
 
 
 _encoders: dict[str, Encoder] = {}
