@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, toxicity
+from .fingerprint import compare_with_edits
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .packing import pack
@@ -56,6 +57,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(shared.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(shared.table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_common_lines(shared.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op8_fingerprint": op8_fingerprint,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
