@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, toxicity
+from .ann import nearest
 from .fingerprint import compare_with_edits
 from .line_dedup import drop_common_lines
 from .mixing import mix
@@ -57,6 +58,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(shared.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(shared.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(shared.table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_ann": op7_ann,
     "op8_fingerprint": op8_fingerprint,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
