@@ -76,6 +76,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(shared.table(spark, sf_dir, "documents"), length=400, derive={"kept_sha256": digest})
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 
 #: SQL of sizes, key ranges and targets of a mix over {docs} (doc_id, text, source).

@@ -191,3 +191,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, segments
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(ids, "root").select("fp", "component_id")
     return held.join(by_fp, "fp").select(key, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one of the smallest key.
+
+    Rows that share a key are one document, of which one row stays. Rows with a null key cannot be told from each other
+    and stay. An empty table stays empty. All columns are kept.
+    """
+    found = shared.save(near_duplicates(docs, words, distance, key=key, text=text), "near-duplicates")
+    by_key = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    by_key = shared.save(by_key, "near-duplicate-keys")
+    gone = by_key.where(F.col("least") < F.col(key)).select(key)
+    kept = docs.join(gone.hint("shuffle_hash"), key, "left_anti")
+    twice = by_key.where((F.col("rows") > 1) & (F.col("least") == F.col(key))).select(key)
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))

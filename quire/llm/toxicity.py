@@ -273,3 +273,17 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text")
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], shared.text_or_empty(text).alias("_content"))
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
     return rows.mapInPandas(_scored(model), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def flag(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score and predicted as of score(), all other columns left where they are."""
+    shared.prepare(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def scored(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for c in content:
+            parts = [model.score(p["c"].tolist()) for p in shared.by_bytes(c.to_frame("c"), "c")]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    rows = docs.drop("score", "predicted").withColumn("score", scored(shared.text_or_empty(text)))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
