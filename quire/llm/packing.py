@@ -52,6 +52,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, k
     # one row for each partition of pass one
     totals = held.groupBy("part").agg(F.sum("n").alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
+    # written, so that its size is known and the ids need not be shuffled to meet it
+    base = shared.save(base, "packing-offsets")
     placed = held.join(base, "part").withColumn("at", F.col("base") + F.col("before"))
     first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("n") - 1) / length)
     cut = placed.select(key, "n", "ids", "at", F.explode(F.sequence(first, last)).alias("sequence_id"))
