@@ -28,8 +28,6 @@ GRAM = 32
 PLACE = 24
 #: Bytes of segments that are merged at a time, and of a shard of them, as long as no group is larger.
 BATCH_BYTES, SHARD_BYTES = 1_000_000, 300_000
-#: Bytes of a text that buckets of the table of distinct texts are laid out for.
-BUCKET_BYTES = 24_000_000
 
 
 def _hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -259,12 +257,12 @@ def _remove(length: int):
 def _distinct(docs: DataFrame, digest, content) -> tuple[DataFrame, str]:
     """Distinct texts with their copies, as a table in buckets by digest, so that later joins move no text; and its name."""
     spark = docs.sparkSession
-    size = docs.select(F.sum(F.octet_length(content))).first()[0] or 0
-    n = max(12, int(size // BUCKET_BYTES) + 1)
+    # as many buckets as a shuffle has partitions: then neither this one nor the joins to come move the texts again
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"quire_texts_{uuid.uuid4().hex}"
     rows = docs.select(digest.alias("digest"), content.cast("binary").alias("content"))
     rows = rows.groupBy("digest").agg(F.first("content").alias("content"), F.count("*").alias("copies"))
-    rows.repartition(n, "digest").write.option("compression", "zstd").bucketBy(n, "digest").saveAsTable(name)
+    rows.write.option("compression", "zstd").bucketBy(n, "digest").saveAsTable(name)
     return spark.table(name), name
 
 
