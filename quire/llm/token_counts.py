@@ -68,7 +68,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
         lacking = lacking.join(known.select("digest"), "digest", "left_anti")
     distinct = lacking.groupBy("digest").agg(F.first("content").alias("content"))
     distinct.mapInPandas(_counter(tokenizer), CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(folder)
-    known = _read_cache(spark, folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = _read_cache(spark, folder)
+    n, kinds = known.agg(F.count("*"), F.count_distinct("digest")).first()
+    if n != kinds:
+        known = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("digest"))
     out = rows.join(known, "digest", "left")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_tokens")
