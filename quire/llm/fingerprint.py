@@ -184,8 +184,9 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray, key: str = "doc_id", text:
             yield pd.DataFrame({key: b[key], "fingerprint": [encoded(*_filters(h)) for h in found]})
 
     shared.prepare(docs.sparkSession)
-    schema = T.StructType([docs.schema[key], T.StructField("fingerprint", T.StringType())])
-    return docs.select(F.col(key), shared.text_or_empty(text).alias("content")).mapInPandas(run, schema)
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("fingerprint", T.StringType())])
+    out = docs.select(shared.key_text(key), shared.text_or_empty(text).alias("content")).mapInPandas(run, schema)
+    return out.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def edited(text: str, following: str) -> str:
@@ -208,16 +209,13 @@ def _compare(ranks: np.ndarray, key: str):
             (group[i][1], len(group[i][2]), hashlib.sha256(c).hexdigest(), encoded(*prints[i]), encoded(*p), likeness(prints[i], p), likeness(prints[i], prints[j]))
             for (i, j), c, p in zip(pairs, changed, changed_prints, strict=True)
         ]
-        frame = pd.DataFrame(out, columns=[key, *(c for c, _ in COMPARED)])
-        frame[key] = pd.array([g[0] for g in out], dtype="Int64") if out and isinstance(next((g[0] for g in out if g[0] is not None), 0), int) else frame[key]
-        return frame
+        return pd.DataFrame(out, columns=[key, *(c for c, _ in COMPARED)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[tuple] = []
         for batch in batches:
             for b in shared.by_bytes(batch, "content", 2_000_000):
-                keys = [None if pd.isna(k) else int(k) if isinstance(k, (float, np.floating, np.integer)) else k for k in b["key"]]
-                now = kept + list(zip(b["bucket"].tolist(), keys, b["content"], b["extra"].tolist(), strict=True))
+                now = kept + list(zip(b["bucket"].tolist(), b["key"], b["content"], b["extra"].tolist(), strict=True))
                 yield rows(now)
                 kept = now[-1:]
 
@@ -267,6 +265,6 @@ def compare_with_edits(docs: DataFrame, bucket_rows: int = 500, most_buckets: in
     # one row for each bucket: most_buckets at most
     extra = rows.drop("bucket").join(F.broadcast(spark.createDataFrame(given, schema)), ["order", "digest"]).withColumnRenamed("into", "bucket")
     both = rows.withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
-    both = both.repartition(F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("order"), "digest").select("bucket", "key", "content", "extra")
-    out = T.StructType([T.StructField(key, T.LongType()), *(T.StructField(c, kind) for c, kind in COMPARED)])
-    return both.mapInPandas(_compare(ranks, key), out)
+    both = both.repartition(F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("order"), "digest").select("bucket", shared.key_text("key"), "content", "extra")
+    out = T.StructType([T.StructField(key, T.StringType()), *(T.StructField(c, kind) for c, kind in COMPARED)])
+    return both.mapInPandas(_compare(ranks, key), out).withColumn(key, F.col(key).cast("long"))

@@ -46,8 +46,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, k
     spark = docs.sparkSession
     shared.prepare(spark)
     kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key), shared.text_or_empty(text).alias("content"))
-    schema = T.StructType([T.StructField(key, kind), T.StructField("part", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
+    rows = docs.select(shared.key_text(key), shared.text_or_empty(text).alias("content"))
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("part", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     held = shared.save(rows.mapInPandas(_encode(tokenizer, end_id, key), schema), "packing")
     # one row for each partition of pass one
     totals = held.groupBy("part").agg(F.sum("n").alias("total"))
@@ -61,4 +61,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, k
     end = F.least(F.col("at") + F.col("n"), (F.col("sequence_id") + 1) * length)
     cut = cut.withColumns({"start": begin - F.col("at"), "length": end - begin, "offset": begin - F.col("sequence_id") * length})
     ids = F.substring(F.col("ids"), (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return cut.select(key, "start", "length", ids.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
+    return cut.select(F.col(key).cast(kind).alias(key), "start", "length", ids.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")

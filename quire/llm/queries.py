@@ -36,7 +36,8 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity.score(shared.table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir), ["doc_id"])
+    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.flag(docs, toxicity_model(spark, sf_dir))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -86,6 +86,11 @@ def by_bytes(frame: pd.DataFrame, column: str, limit: int = 4_000_000) -> Iterat
         yield frame.iloc[start:]
 
 
+def key_text(key: str):
+    """A key as text, for the way through pandas, which would make numbers with nulls among them inexact; cast it back after."""
+    return F.col(key).cast("string").alias(key)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

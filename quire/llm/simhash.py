@@ -60,8 +60,9 @@ def _fingerprints(key: str, words: int):
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp long) of each row; fp holds the 64 bits. Null text counts as empty."""
     shared.prepare(docs.sparkSession)
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(key), shared.text_or_empty(text).alias("content")).mapInPandas(_fingerprints(key, words), schema)
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("fp", T.LongType())])
+    out = docs.select(shared.key_text(key), shared.text_or_empty(text).alias("content")).mapInPandas(_fingerprints(key, words), schema)
+    return out.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def _masks(width: int, radius: int, least: int = 0) -> list[int]:

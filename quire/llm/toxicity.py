@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import shared
 
@@ -253,31 +252,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key:
     return Model(lexicon, trees, Isotonic().fit(trees.raw(x[held]), y[held]), float(base))
 
 
-def _scored(model: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [model.score(p["_content"].tolist()) for p in shared.by_bytes(b, "_content")]
-            yield b.drop(columns="_content").assign(score=np.concatenate(out) if out else np.zeros(0))
-
-    return run
-
-
-def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
-    """columns of docs, with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
+def flag(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
     Null text counts as empty, which is scored like any other; repeated rows get equal scores; an empty table gives
-    an empty table. Columns of docs named score or predicted are replaced.
+    an empty table. Columns of docs named score or predicted are replaced, all others stay as they are.
     """
     shared.prepare(docs.sparkSession)
-    columns = [c for c in columns if c not in ("score", "predicted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], shared.text_or_empty(text).alias("_content"))
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
-    return rows.mapInPandas(_scored(model), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
-def flag(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score and predicted as of score(), all other columns left where they are."""
-    shared.prepare(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(content: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -141,7 +141,7 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
     spark = pages.sparkSession
     shared.prepare(spark)
     host, path = parts(url)
-    rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
+    rows = pages.select(shared.key_text(key), host.alias("host"), path.alias("path"))
     # words of names: parts of a path, and parts of a host that it separates by hyphens
     hyphened = F.flatten(F.transform(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "-")))
     words = rows.select(F.explode(F.concat(F.split(F.lower("path"), "[^0-9a-z\u0080-\U0010ffff]+"), hyphened)).alias("word"))
@@ -161,4 +161,5 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
         odds.setdefault(f"h:{w}", math.log(20.0))
     prior = math.log((all_bad + 1) / (all_n - all_bad + 1)) if all_n else -1.0
     schema = T.StructType([*rows.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("log_odds", T.DoubleType())])
-    return rows.mapInPandas(_judged(model, fit_rules(rules), odds, min(prior, -1.0)), schema)
+    out = rows.mapInPandas(_judged(model, fit_rules(rules), odds, min(prior, -1.0)), schema)
+    return out.withColumn(key, F.col(key).cast(pages.schema[key].dataType))

@@ -94,3 +94,9 @@ def test_whole_table_against_all_pairs(spark):
     got = near_duplicates(docs).collect()
     assert {(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got} == {(d, p, ids[p]) for d, p in prints.items()}
     assert np.unique([r["doc_id"] for r in got]).size == len(texts)
+
+
+def test_keys_stay_exact_among_nulls(spark):
+    big = 2**60 + 1
+    got = near_duplicates(spark.createDataFrame([(big, "a b c"), (None, "d e f"), (big + 2, "g h i")], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {big, None, big + 2}

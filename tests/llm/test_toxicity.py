@@ -17,7 +17,7 @@ def model(spark):
 
 def test_held_out_accuracy(spark, model):
     docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where(held_out()), "doc_id")
-    got = toxicity.score(docs, model, ["doc_id", "toxic"]).toPandas()
+    got = toxicity.flag(docs.select("doc_id", "text", "toxic"), model).toPandas()
     bad, good = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
     assert (bad[:, None] > good[None, :]).mean() > 0.97
     assert (got.predicted == got.toxic).mean() > 0.97
@@ -32,17 +32,17 @@ def test_obfuscated_words_count(model):
 
 def test_odd_rows(spark, model):
     docs = spark.createDataFrame([(1, None, 1.0), (1, None, 1.0), (None, "", 2.0), (3, "idiot " * 40_000, 3.0), (4, "1" * 50_000, 1.0)], "doc_id long, text string, score double")
-    got = toxicity.score(docs, model, ["doc_id", "score"]).collect()
+    got = toxicity.flag(docs, model).collect()
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (1, None)}) == 1
-    assert toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
+    assert toxicity.flag(docs.limit(0), model).count() == 0
 
 
 def test_labels_of_one_kind_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     for labels, expected in (([], 0.0), ([(1, 1), (2, 1), (None, 0), (2, None)], 1.0), ([(1, 0)], 0.0)):
         m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-        assert [r["score"] for r in toxicity.score(docs, m, ["doc_id"]).collect()] == [expected] * 2
+        assert [r["score"] for r in toxicity.flag(docs, m).collect()] == [expected] * 2
 
 
 def test_isotonic_is_the_least_squares_monotone_fit():
