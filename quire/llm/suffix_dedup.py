@@ -207,7 +207,8 @@ def _judge(length: int):
         out = []
         for starts, members in zip(repeated(wanted, length) if wanted else [], where, strict=True):
             if len(starts):
-                for row, left in members:
+                # one at two places or more is gone as a whole already
+                for row, left in (m for m in members if m[0][3] == 1):
                     out.append((row[0], row[1], *_ranges(starts + left)))
         return pd.DataFrame(out, columns=["hash", "segment", "firsts", "lasts"])
 
@@ -285,22 +286,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     one = found.groupBy("hash", "segment").agg(F.sum("copies").alias("copies"), F.min(F.struct("digest", "place", "first", "last")).alias("at"))
     one = shared.save(one, "distinct-segments")
     groups = one.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("copies").alias("places")).where("places > 1")
-    member = one.join(groups, "hash")
-    # a segment at two places is repeated as a whole
-    whole = member.where("copies > 1").select("hash", "segment", F.lit(True).alias("whole"))
+    member = shared.save(one.join(groups.drop("places"), "hash").where("copies > 1 or kinds > 1"), "shared-segments")
     several = member.where("kinds > 1").select("hash", "segment", "copies", "at.*")
     wanted = several.groupBy("digest").agg(F.collect_list(F.struct("hash", "segment", "place", "first", "last", "copies")).alias("wanted"))
     cut = long.join(wanted.hint("shuffle_hash"), "digest").mapInPandas(_cut(length), "hash long, segment binary, place long, copies long, bytes binary")
-    verdicts = cut.repartition("hash").sortWithinPartitions("hash", "segment").mapInPandas(_judge(length), VERDICTS)
-    verdicts = shared.save(verdicts, "verdicts")
-    marked = found.join(whole, ["hash", "segment"], "left").join(verdicts, ["hash", "segment"], "left")
+    judged = cut.repartition("hash").sortWithinPartitions("hash", "segment").mapInPandas(_judge(length), VERDICTS)
+    # a segment at two places is repeated as a whole; of the others the judged ones are, in part
+    whole = member.where("copies > 1").select("segment", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("firsts"), F.lit(None).cast("array<long>").alias("lasts"))
+    verdicts = shared.save(whole.unionByName(judged.select("segment", F.lit(False).alias("whole"), "firsts", "lasts")), "verdicts")
+    # a segment's digest holds its anchor's place and its bytes, and so its group; one join, whose skewed keys can be split
+    marked = found.select("digest", "segment", "first", "last").join(verdicts, "segment")
     parts = F.when(F.col("whole"), F.array(F.struct(F.col("first"), F.col("last")))).otherwise(
         F.transform(F.arrays_zip("firsts", "lasts"), lambda x: F.struct((x["firsts"] + F.col("first")).alias("first"), (x["lasts"] + F.col("first")).alias("last")))
     )
-    ranges = marked.where("whole or firsts is not null").select("digest", F.explode(parts).alias("r")).groupBy("digest").agg(F.collect_list("r").alias("ranges"))
+    ranges = marked.select("digest", F.explode(parts).alias("r")).groupBy("digest").agg(F.collect_list("r").alias("ranges"))
     result = texts.join(ranges.hint("shuffle_hash"), "digest", "left").mapInPandas(_remove(length), RESULT)
     result = shared.save(result.select("digest", "n_bytes", "n_removed", "n_spans", *[c.alias(k) for k, c in derive.items()]), "kept")
     spark.sql(f"drop table {name}")
-    for x in (found, one, verdicts):
+    for x in (found, one, member, verdicts):
         shared.drop(x)
     return docs.select(F.col(key), digest.alias("digest")).join(result, "digest").drop("digest")
