@@ -137,6 +137,16 @@ def binarize(raster: DataFrame, width: int, beta: float = 0.90, keys=KEYS) -> Da
     return r.withColumn("bit", F.when(F.col("v") < F.col("box_sum") / F.col("box_n") * beta, 0).otherwise(255)).drop("box_sum", "box_n")
 
 
+def median(raster: DataFrame, keys=KEYS) -> DataFrame:
+    """Median of the nine pixels around each inner one."""
+    across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    three = lambda w, c: F.array(F.lag(c).over(w), F.col(c), F.lead(c).over(w))
+    r = raster.withColumn("row3", three(across, "v"))
+    r = r.withColumn("nine", F.flatten(three(down, "row3"))).where(F.size("nine") == 9)
+    whole = r.where(~F.exists("nine", lambda x: x.isNull()))
+    return whole.select(*keys, "y", "x", F.get(F.array_sort("nine"), 4).alias("median"))
+
+
 def color_shares(rgb: DataFrame, keys=KEYS) -> DataFrame:
     """has_color, gray_only and the greatest spread of the channels."""
     hi, lo = F.greatest("r", "g", "b"), F.least("r", "g", "b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import encode, kernels, pixels, release, rules, sink, text
+from quire.operators import checks, encode, kernels, pixels, release, rules, sink, text
 from quire.sources.adapters import VALUES, constants, page_metrics, page_sizes, raster_gray, raster_rgb, table
 from quire.streaming.debounce import debounce
 
@@ -826,6 +826,84 @@ def str_debounce(spark, sf_dir):
     return debounce(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3_600_000).select("user_id", "event_id")
 
 
+# checks and labels
+
+
+@query(f"with {R3} select doc, page_no, case mode when 'color' then '彩色' when 'gray' then '灰阶' when 'mono' then '黑白' else mode end as label from metrics")
+def fn_mode_label(spark, sf_dir):
+    return page_metrics(spark, sf_dir).select("doc", "page_no", checks.mode_label(F.col("mode")).alias("label"))
+
+
+@query(f"""with b as (select p_partkey, p_size % 5 <> 0 as has_plist, case when p_size % 4 = 0 then null when p_size % 4 = 1 then 'other' else 'id' end as found_id, '1.' || cast(p_size % 3 as varchar) as found, case when p_size % 2 = 0 then 'v1.0.0' else '1.1' end as wanted from part),
+c as (select *, {_canon('found')} as a, {_canon('wanted')} as b from b)
+select p_partkey, case when not has_plist then 'no plist' when found_id is not null and found_id <> 'id' then 'other id' when a <> b then 'other version' else 'ok' end as state from c""")
+def prj_bundle_state(spark, sf_dir):
+    size = F.col("p_size")
+    found_id = F.when(size % 4 == 1, "other").when(size % 4 != 0, "id")
+    wanted = F.when(size % 2 == 0, "v1.0.0").otherwise("1.1")
+    state = checks.bundle_state(size % 5 != 0, found_id, F.lit("id"), F.concat(F.lit("1."), (size % 3).cast("string")), wanted)
+    return table(spark, sf_dir, "part").select("p_partkey", state.alias("state"))
+
+
+@query("""with f as (select p_size as archive, p_partkey as ord, case when p_partkey % 3 = 0 then 'a/b' when p_partkey % 3 = 1 then 'a/' || p_name else p_name end || case when p_partkey % 2 = 0 then '.app' else '.txt' end as path from part)
+select archive, arg_min(path, struct_pack(d := contains(path, '/'), o := ord)) as bundle from f where ord < 5000 and ends_with(path, '.app') group by archive""")
+def prj_first_bundle(spark, sf_dir):
+    k = F.col("p_partkey")
+    path = F.concat(F.when(k % 3 == 0, "a/b").when(k % 3 == 1, F.concat(F.lit("a/"), "p_name")).otherwise(F.col("p_name")), F.when(k % 2 == 0, ".app").otherwise(".txt"))
+    files = table(spark, sf_dir, "part").select(F.col("p_size").alias("archive"), k.alias("ord"), path.alias("path"))
+    return checks.first_bundle(files, "archive")
+
+
+@query("""select s_suppkey, case when s_suppkey % 2 = 0 and s_suppkey % 3 <> 0 then 'refused' when s_suppkey % 2 = 0 then 'signature' when s_suppkey % 5 = 0 then 'digest' when s_suppkey % 7 = 0 then 'checksum' when s_suppkey % 11 <> 0 then 'https' else 'refused' end as verified_by from supplier""")
+def rule_verification(spark, sf_dir):
+    k = F.col("s_suppkey")
+    have = lambda n: F.when(k % n == 0, "x")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", checks.verification(have(5), have(7), have(3), k % 2 == 0, k % 11 != 0).alias("verified_by"))
+
+
+@query("select o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') as pdf_date from orders")
+def fn_pdf_date(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", checks.pdf_date(F.col("o_orderdate")).alias("pdf_date"))
+
+
+@query("select doc_id, case when n < 1024 then cast(n as varchar) || ' B' when n < 1048576 then printf('%.1f', floor(n * 10 / 1024.0::double + 0.5) / 10.0::double) || ' KB' else printf('%.2f', floor(n * 100 / 1048576.0::double + 0.5) / 100.0::double) || ' MB' end as size from (select doc_id, n_chars * 97 as n from documents)")
+def fn_byte_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", checks.byte_text(F.col("n_chars") * 97).alias("size"))
+
+
+@query("""with p as (select c_custkey, c_nationkey % 4 as q, cast(c_custkey % 8 as double) / 8 as x, cast(c_custkey % 16 as double) / 16 as y from customer)
+select c_custkey, case q when 0 then x when 1 then 1 - y when 2 then 1 - x else y end as x, case q when 0 then y when 1 then x when 2 then 1 - y else 1 - x end as y from p""")
+def fn_rotated_point(spark, sf_dir):
+    k = F.col("c_custkey")
+    x, y = checks.rotated((k % 8) / 8.0, (k % 16) / 16.0, F.col("c_nationkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", x.alias("x"), y.alias("y"))
+
+
+@query("select conv_id, string_agg(text, chr(10) order by turn) || chr(10) as sidecar from conversations where role = 'user' group by conv_id having sum(length(text)) > 0")
+def snk_sidecar(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"), F.sum(F.length("text")).alias("n")).where("n > 0")
+    return g.select("conv_id", F.concat(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit("\n")).alias("sidecar"))
+
+
+@query(f"with {R1}, {FILT} select page, y, x, f2 as up from fl")
+def win_up_predictor(spark, sf_dir):
+    return pixels.filtered(raster_gray(spark, sf_dir)).select("page", "y", "x", F.col("f2").alias("up"))
+
+
+@query(f"""with {R1}, n as (select a.page, a.y, a.x, list_sort(list(b.v)) as nine from raster a join raster b on b.page = a.page and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 where a.page < 3 group by a.page, a.y, a.x having count(*) = 9)
+select page, y, x, nine[5] as median from n""")
+def img_median(spark, sf_dir):
+    return pixels.median(raster_gray(spark, sf_dir).where("page < 3"))
+
+
+@query(f"with {R1}, {SIZE}, s as (select page, y, x, v, h, w from raster join size using (page)) select page, cast(avg(case when v < 128 then y end) as double) as dark_row, cast(avg(case when v < 128 then x end) as double) as dark_column from s group by page")
+def agg_dark_centre(spark, sf_dir):
+    dark = F.col("v") < 128
+    mean = lambda c: F.sum(F.when(dark, F.col(c))) / F.count(F.when(dark, 1))
+    return raster_gray(spark, sf_dir).groupBy("page").agg(mean("y").alias("dark_row"), mean("x").alias("dark_column"))
+
+
 # kernels, for which there is no SQL: tests hold them against plain code
 
 
