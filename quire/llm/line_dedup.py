@@ -28,17 +28,17 @@ def drop_common_lines(docs: DataFrame, host: str = "source", text: str = "text",
     whose lines all go is empty. An empty table gives an empty table. Columns named n_lines or n_dropped are replaced.
     """
     rows = docs.drop("n_lines", "n_dropped")
-    marked = rows.withColumn("_host", F.coalesce(F.concat(F.lit("a"), F.col(host).cast("string")), F.lit("b")))
+    marked = rows.withColumn("__q_host", F.coalesce(F.concat(F.lit("a"), F.col(host).cast("string")), F.lit("b")))
     filled = F.filter(_lines(text), lambda x: x.rlike(FILLED))
-    held = marked.select("_host", F.array_distinct(F.transform(filled, lambda x: F.xxhash64(x))).alias("held"))
-    counts = held.select("_host", F.explode("held").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    totals = marked.groupBy("_host").agg(F.count("*").alias("total"))
-    common = counts.join(totals, "_host").where(F.col("pages") > F.col("total") * F.lit(ratio))
-    common = shared.save(common.groupBy("_host").agg(F.collect_list("line").alias("common")), "common-lines")
-    out = marked.join(common, "_host", "left")
-    out = out.withColumn("_kept", F.filter(_lines(text), lambda x: ~(x.rlike(FILLED) & F.coalesce(F.array_contains(F.col("common"), F.xxhash64(x)), F.lit(False)))))
+    held = marked.select("__q_host", F.array_distinct(F.transform(filled, lambda x: F.xxhash64(x))).alias("held"))
+    counts = held.select("__q_host", F.explode("held").alias("line")).groupBy("__q_host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = marked.groupBy("__q_host").agg(F.count("*").alias("total"))
+    common = counts.join(totals, "__q_host").where(F.col("pages") > F.col("total") * F.lit(ratio))
+    common = shared.save(common.groupBy("__q_host").agg(F.collect_list("line").alias("__q_common")), "common-lines")
+    out = marked.join(common, "__q_host", "left")
+    out = out.withColumn("__q_kept", F.filter(_lines(text), lambda x: ~(x.rlike(FILLED) & F.coalesce(F.array_contains(F.col("__q_common"), F.xxhash64(x)), F.lit(False)))))
     n_lines = F.coalesce(F.greatest(F.size(filled), F.lit(0)), F.lit(0))
-    n_kept = F.size(F.filter(F.col("_kept"), lambda x: x.rlike(FILLED)))
+    n_kept = F.size(F.filter(F.col("__q_kept"), lambda x: x.rlike(FILLED)))
     out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(n_lines - F.greatest(n_kept, F.lit(0)), F.lit(0)).cast("long")})
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
+    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("__q_kept", "\n")).otherwise(F.col(text)))
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], "n_lines", "n_dropped")

@@ -56,19 +56,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     ranges = max(1, -(-n // range_rows))
     content = shared.text_or_empty(text)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), content))
-    marked = rows.withColumns({"size": F.regexp_count(content, F.lit(WORD)).cast("long"), "_source": _source_key(source), "_hash": digest})
-    marked = marked.withColumn("_range", F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(1 << 32)))
-    totals = shared.save(marked.groupBy("_source", "_range").agg(F.sum("size").alias("range_size")), "mix-totals")
-    aims = targets(totals.groupBy(F.col("_source").alias("source_key")).agg(F.sum("range_size").alias("source_size")), weights, share, epochs)
-    before = F.sum("range_size").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
-    plan = totals.withColumn("_before", before).join(aims.withColumnRenamed("source_key", "_source"), "_source").drop("range_size")
+    marked = rows.withColumns({"size": F.regexp_count(content, F.lit(WORD)).cast("long"), "__q_source": _source_key(source), "__q_hash": digest})
+    marked = marked.withColumn("__q_range", F.floor(F.conv(F.substring("__q_hash", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(1 << 32)))
+    totals = shared.save(marked.groupBy("__q_source", "__q_range").agg(F.sum("size").alias("range_size")), "mix-totals")
+    aims = targets(totals.groupBy(F.col("__q_source").alias("source_key")).agg(F.sum("range_size").alias("source_size")), weights, share, epochs)
+    before = F.sum("range_size").over(Window.partitionBy("__q_source").orderBy("__q_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
+    plan = totals.withColumn("__q_before", before).join(aims.withColumnRenamed("source_key", "__q_source"), "__q_source").drop("range_size")
     plan = shared.save(plan, "mix-plan")
-    inside = Window.partitionBy("_source", "_range").orderBy("_hash", key, "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.join(plan, ["_source", "_range"]).withColumn("_end", F.col("_before") + F.sum("size").over(inside))
+    inside = Window.partitionBy("__q_source", "__q_range").orderBy("__q_hash", key, "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.join(plan, ["__q_source", "__q_range"]).withColumn("__q_end", F.col("__q_before") + F.sum("size").over(inside))
     whole = F.coalesce(F.floor(F.col("target")).cast("long"), F.lit(0))
     full = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     rest = whole - full * F.col("source_size")
-    taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
+    taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("__q_end") - F.col("size"))))
     return placed.withColumn("taken", taken.cast("long")).select(*[F.col(f"`{c}`") for c in rows.columns], "size", "source_size", "target", "taken")
 
 
@@ -78,8 +78,8 @@ def repeat(mixed: DataFrame, text: str = "text") -> DataFrame:
     The rest is the text's first words as they stand there. The columns are those of the documents.
     """
     columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
-    live = mixed.where("taken > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("_i") - 1) * F.col("size"))
+    live = mixed.where("taken > 0").withColumn("__q_i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("__q_i") - 1) * F.col("size"))
     # a pattern of fixed length cannot hold the count, so the place of the last word's end comes from the words themselves
     kept = F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), words.cast("int"))
     cut = F.when(words < F.col("size"), F.array_join(kept, "")).otherwise(F.col(text))

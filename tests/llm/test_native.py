@@ -73,6 +73,12 @@ def test_line_dedup_of_odd_rows(spark):
     assert drop_common_lines(df.limit(0)).count() == 0
 
 
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b\nc", "x", "p", "q", "r"), (2, "d", None, "s", None, "u")], "doc_id long, text string, source string, common string, line string, level string")
+    for out in (drop_common_lines(df).drop("n_lines", "n_dropped"), mix(df).drop("size", "source_size", "target", "taken")):
+        assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+
+
 def plain_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
