@@ -98,6 +98,17 @@ def _cut(length: int):
     return run
 
 
+def _windows(length: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content, wanted in zip(batch["content"], batch["wanted"], strict=True):
+                text = bytes(content)
+                out = [(w["segment"], i - w["first"], w["copies"], _segment_id(0, text[i : i + length])) for w in wanted for i in range(w["first"], w["last"] + 1)]
+                yield pd.DataFrame(out, columns=["segment", "start", "copies", "window"])
+
+    return run
+
+
 def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -267,13 +278,14 @@ def _distinct(docs: DataFrame, digest, content) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", derive: dict | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, dense: int = 50_000, key: str = "doc_id", text: str = "text", derive: dict | None = None) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, and derive's columns) of each row.
 
     A text is its UTF-8 bytes (null: empty). n_removed counts the bytes that are covered by a string of length bytes
     which starts at another place too, of any row, the same one included; n_spans counts their maximal runs. derive:
     columns by name over kept (binary), the bytes that stay; by default kept itself. Rows with equal texts of length
-    bytes or more lose them all. Null and repeated keys are rows like others. An empty table gives an empty table.
+    bytes or more lose them all. dense: an anchor hash with more different segments than that is not merged in one
+    task; its windows are counted by 128-bit digests instead, which gives the same. Null and repeated keys are rows like others. An empty table gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
     shared.prepare(spark)
@@ -287,10 +299,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     one = shared.save(one, "distinct-segments")
     groups = one.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("copies").alias("places")).where("places > 1")
     member = shared.save(one.join(groups.drop("places"), "hash").where("copies > 1 or kinds > 1"), "shared-segments")
-    several = member.where("kinds > 1").select("hash", "segment", "copies", "at.*")
-    wanted = several.groupBy("digest").agg(F.collect_list(F.struct("hash", "segment", "place", "first", "last", "copies")).alias("wanted"))
-    cut = long.join(wanted.hint("shuffle_hash"), "digest").mapInPandas(_cut(length), "hash long, segment binary, place long, copies long, bytes binary")
-    judged = cut.repartition("hash").sortWithinPartitions("hash", "segment").mapInPandas(_judge(length), VERDICTS)
+    sought = F.collect_list(F.struct("hash", "segment", "place", "first", "last", "copies")).alias("wanted")
+
+    def with_texts(kinds: str) -> DataFrame:
+        rows = member.where(kinds).select("hash", "segment", "copies", "at.*").groupBy("digest").agg(sought)
+        return long.join(rows.hint("shuffle_hash"), "digest")
+
+    cut = with_texts(f"kinds between 2 and {dense}").mapInPandas(_cut(length), "hash long, segment binary, place long, copies long, bytes binary")
+    judged = cut.repartition("hash").sortWithinPartitions("hash", "segment").mapInPandas(_judge(length), VERDICTS).drop("hash")
+    if not member.where(F.col("kinds") > dense).isEmpty():
+        windows = shared.save(with_texts(f"kinds > {dense}").mapInPandas(_windows(length), "segment binary, start long, copies long, window binary"), "windows")
+        again = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+        starts = windows.where("copies = 1").join(again, "window", "left_semi").groupBy("segment").agg(F.collect_set("start").alias("firsts"))
+        judged = judged.unionByName(starts.withColumn("lasts", F.col("firsts")))
     # a segment at two places is repeated as a whole; of the others the judged ones are, in part
     whole = member.where("copies > 1").select("segment", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("firsts"), F.lit(None).cast("array<long>").alias("lasts"))
     verdicts = shared.save(whole.unionByName(judged.select("segment", F.lit(False).alias("whole"), "firsts", "lasts")), "verdicts")

@@ -88,6 +88,8 @@ def test_made_up_texts(spark, length):
     expected = [(i if i % 5 else None, *x) for i, x in enumerate(plain(texts, length))]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert remove_repeats(docs.limit(0), length).count() == 0
+    dense = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(docs, length, dense=3).collect()]
+    assert sorted(dense, key=str) == sorted(expected, key=str)
 
 
 def test_whole_table(spark):
