@@ -96,19 +96,21 @@ def row_score(raster: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def tiles(raster: DataFrame, grid: int, keys=KEYS) -> DataFrame:
-    """Each pixel with the tiles that hold it; where a page has fewer lines than the grid, tiles overlap."""
-    size = raster.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    lines = size.select(*keys, "h", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
-
-    def bounds(n: str) -> tuple[Column, Column]:
-        lo = F.floor(F.col("g") * F.col(n) / grid)
-        return lo, F.greatest(lo + 1, F.floor((F.col("g") + 1) * F.col(n) / grid))
+    """Each pixel with the tiles that hold it; where a page has fewer lines than the grid, tiles overlap.
 
-    y0, y1 = bounds("h")
-    x0, x1 = bounds("w")
-    down = lines.select(*keys, F.col("g").alias("gy"), F.explode(F.sequence(y0.cast("int"), (y1 - 1).cast("int"))).alias("y"))
-    across = lines.select(*keys, F.col("g").alias("gx"), F.explode(F.sequence(x0.cast("int"), (x1 - 1).cast("int"))).alias("x"))
-    return raster.join(down, [*keys, "y"]).join(across, [*keys, "x"])
+    A tile's lines begin at g * n div grid, so a line's tiles are found by arithmetic; pixels meet only their page's size.
+    """
+    size = raster.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    out = raster.join(size, list(keys))
+    for axis, n, g in (("y", "h", "gy"), ("x", "w", "gx")):
+        at, many = F.col(axis), F.col(n)
+        lo = F.greatest(F.lit(0), F.floor(at * grid / many).cast("int") - 1)
+        hi = F.least(F.lit(grid - 1), F.floor((at + 1) * grid / many).cast("int") + 1)
+
+        begin = lambda k, many=many: F.floor(k * many / grid)
+        holds = lambda k: (F.col(axis) >= begin(k)) & (F.col(axis) < F.greatest(begin(k) + 1, begin(k + 1)))  # noqa: E731, B023
+        out = out.withColumn(g, F.explode(F.filter(F.sequence(lo, hi), holds)))
+    return out.drop("h", "w")
 
 
 def unevenness(raster: DataFrame, grid: int = 12, keys=KEYS) -> DataFrame:
