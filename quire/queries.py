@@ -431,14 +431,13 @@ def agg_saved_pct(spark, sf_dir):
     return e.select("doc", rules.ratio(F.col("file_size"), F.col("estimate")).alias("est_ratio"), F.round(rules.saved_percent(F.col("file_size"), F.col("estimate")), 6).alias("saved_pct"))
 
 
-BENCH = f"""b as (select doc, page_no, encoder, quality, cast(floor(bytes * factor * quality / 100.0) as bigint) as bytes from (select * from sizes where page_no <= 2) s cross join {values_sql('encoders')} e cross join {values_sql('qualities')} q)"""
+BENCH = f"""b as (select doc, page_no, encoder, quality, cast(floor(bytes * factor * quality / 100.0) as bigint) as bytes from sizes s cross join {values_sql('encoders')} e cross join {values_sql('qualities')} q)"""
 
 
 def _bench(spark, sf_dir):
     """Sizes by a table of encoders and qualities: 4 x 4 rows, whatever the pages."""
     grid = constants(spark, "encoders").crossJoin(constants(spark, "qualities"))
-    p = page_sizes(spark, sf_dir).where("page_no <= 2")
-    return p.join(F.broadcast(grid)).select("doc", "page_no", "encoder", "quality", F.floor(F.col("bytes") * F.col("factor").cast("double") * F.col("quality") / 100.0).cast("long").alias("bytes"))
+    return page_sizes(spark, sf_dir).join(F.broadcast(grid)).select("doc", "page_no", "encoder", "quality", F.floor(F.col("bytes") * F.col("factor").cast("double") * F.col("quality") / 100.0).cast("long").alias("bytes"))
 
 
 @query(f"with {R4}, {BENCH.replace('bytes * factor', 'bytes * cast(factor as double)')} select doc, page_no, encoder, quality, bytes, round(cast(bytes as double) / cast(min(bytes) over (partition by doc, page_no, quality) as double), 6) as times_least, encoder = first_value(encoder) over (partition by doc, page_no, quality order by bytes, encoder) as is_best from b")
@@ -629,10 +628,10 @@ def jn_strip_zip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairs).alias("i", "z")).select("doc_id", (F.col("i") + 1).cast("long").alias("strip"), F.col("z")["o"].alias("offset"), F.col("z")["s"].alias("size"))
 
 
-@query("select distinct c_custkey as key from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select distinct c_custkey as key from customer where not exists (select 1 from events where user_id = c_custkey)")
 def jn_missing_keys(spark, sf_dir):
     used = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).distinct()
-    return used.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key", "left_anti")
+    return used.join(table(spark, sf_dir, "events").select(F.col("user_id").alias("key")), "key", "left_anti")
 
 
 @query("select distinct o_custkey as key from orders where not exists (select 1 from customer where c_custkey = o_custkey and c_mktsegment = 'BUILDING') and o_custkey % 11 <> 0")
@@ -684,14 +683,15 @@ def set_fingerprint_diff(spark, sf_dir):
     return side(0).subtract(side(1))
 
 
-@query(f"""with ch as (select turn, unnest(string_split({_norm_sql('text')}, '')) as letter from conversations where conv_id % 10 = 0),
+@query(f"""with ch as (select turn, unnest(string_split({_norm_sql('text')}, '')) as letter from conversations),
 a as (select letter, sum(case when turn = 0 then 1 else 0 end) as n0, sum(case when turn = 1 then 1 else 0 end) as n1 from ch where letter <> '' group by letter)
-select letter, cast(greatest(0, n0 - n1) as bigint) as missing from a where n0 > n1""".replace("where conv_id % 10 = 0", ""))
+select letter, cast(greatest(0, n0 - n1) as bigint) as missing, cast(greatest(0, n1 - n0) as bigint) as added from a where n0 <> n1""")
 def set_char_bag_diff(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("turn", F.explode(F.split(text.normalized(F.col("text")), "")).alias("letter")).where("letter <> ''")
     # a multiset difference, counted rather than spelt out
     n = c.groupBy("letter").agg(*[F.sum((F.col("turn") == t).cast("long")).alias(f"n{t}") for t in (0, 1)])
-    return n.where("n0 > n1").select("letter", (F.col("n0") - F.col("n1")).alias("missing"))
+    more = lambda a, b: F.greatest(F.lit(0).cast("long"), F.col(a) - F.col(b))
+    return n.where("n0 <> n1").select("letter", more("n0", "n1").alias("missing"), more("n1", "n0").alias("added"))
 
 
 @query(f"with c as (select conv_id, turn, {_norm_sql('text')} as t from conversations) select conv_id, turn, sha256(array_to_string(list_sort(string_split(t, '')), '')) as char_bag from c")
@@ -714,9 +714,9 @@ def agg_prefix_size(spark, sf_dir):
     return d.groupBy("source").agg(F.sum(F.when(F.col("lang").startswith("e"), F.col("n_chars")).otherwise(0)).alias("bytes"))
 
 
-@query(r"select key, not contains(replace(replace(key, '%%', ''), '%@', ''), '%') as ok from (select distinct left(text, 40) as key from documents)")
+@query(r"select key, not contains(replace(replace(key, '%%', ''), '%@', ''), '%') as ok from (select distinct text as key from documents)")
 def fn_format_ok(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").select(F.substring("text", 1, 40).alias("key")).distinct()
+    keys = table(spark, sf_dir, "documents").select(F.col("text").alias("key")).distinct()
     return keys.select("key", text.format_ok(F.col("key")).alias("ok"))
 
 
@@ -891,10 +891,10 @@ def win_up_predictor(spark, sf_dir):
     return pixels.filtered(raster_gray(spark, sf_dir)).select("page", "y", "x", F.col("f2").alias("up"))
 
 
-@query(f"""with {R1}, n as (select a.page, a.y, a.x, list_sort(list(b.v)) as nine from raster a join raster b on b.page = a.page and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 where a.page < 3 group by a.page, a.y, a.x having count(*) = 9)
+@query(f"""with {R1}, n as (select a.page, a.y, a.x, list_sort(list(b.v)) as nine from raster a join raster b on b.page = a.page and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by a.page, a.y, a.x having count(*) = 9)
 select page, y, x, nine[5] as median from n""")
 def img_median(spark, sf_dir):
-    return pixels.median(raster_gray(spark, sf_dir).where("page < 3"))
+    return pixels.median(raster_gray(spark, sf_dir))
 
 
 @query(f"with {R1}, {SIZE}, s as (select page, y, x, v, h, w from raster join size using (page)) select page, cast(avg(case when v < 128 then y end) as double) as dark_row, cast(avg(case when v < 128 then x end) as double) as dark_column from s group by page")
