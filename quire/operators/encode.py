@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.shipping import ship
+
 ADLER = 65521
 
 
@@ -219,5 +221,6 @@ def visible_text(html: str) -> str:
 
 
 def html_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    ship(pages.sparkSession)
     udf = F.pandas_udf(lambda s: s.map(visible_text), "string")
     return pages.select(key, udf(F.coalesce(F.col(html), F.lit(""))).alias("visible"))

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quire.functions.shipping import ship
+
 WHITE = 255.0
 
 
@@ -337,6 +339,7 @@ def map_pages(pages: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> D
                 out = kernel(unpack(r))
                 yield pd.DataFrame({"doc": [r.doc], "page_no": [r.page_no], "width": [out.shape[1]], "height": [out.shape[0]], "channels": [1 if out.ndim == 2 else out.shape[2]], "data": [out.tobytes()]})
 
+    ship(pages.sparkSession)
     return pages.select("doc", "page_no", "width", "height", "channels", "data").mapInPandas(run, PAGE)
 
 
@@ -355,6 +358,7 @@ def measure_pages(pages: DataFrame) -> DataFrame:
                 out.append((r.doc, r.page_no, page_class(shrink(page, 1200)), detect_skew(page), noise(shrink(g, 900)), unevenness(shrink(g, 480)), float(paper_level(g)), float(g.mean()), otsu(g)[1]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in METRICS.split(", ")])
 
+    ship(pages.sparkSession)
     return pages.select("doc", "page_no", "width", "height", "channels", "data").mapInPandas(run, METRICS)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.shipping import ship
 from quire.operators import encode, kernels, rules, sink
 
 
@@ -38,6 +39,7 @@ def preview(pages: DataFrame, spec: dict, page_no: int = 0, longest: int = 900)
                 p = kernels.shrink(kernels.unpack(r), longest)
                 yield pd.DataFrame({"doc": [r.doc], "before": [encode.png(p)], "after": [encode.png(kernels.enhance(p, spec)[0])]})
 
+    ship(pages.sparkSession)
     return one.select("doc", "width", "height", "channels", "data").mapInPandas(run, "doc string, before binary, after binary")
 
 

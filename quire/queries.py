@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.shipping import ship
 from quire.operators import checks, encode, kernels, pixels, release, rules, sink, text
 from quire.sources.adapters import VALUES, constants, page_metrics, page_sizes, raster_gray, raster_rgb, table
 from quire.streaming.debounce import debounce
@@ -516,6 +517,7 @@ def agg_sha256(spark, sf_dir):
 
 @query()
 def agg_pixel_signature(spark, sf_dir):
+    ship(spark)
     return kernels.pack_raster(raster_gray(spark, sf_dir)).select("doc", encode.pixel_signature("data").alias("signature"))
 
 
@@ -925,6 +927,7 @@ def krn_html_text(spark, sf_dir):
 
 @query()
 def krn_text_chars(spark, sf_dir):
+    ship(spark)
     chars = F.pandas_udf(lambda s: s.map(encode.text_chars), "long")
     return constants(spark, "streams").select("id", chars("body").alias("chars"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.shipping import ship
 from quire.operators import encode, text
 
 
@@ -45,6 +46,7 @@ def stream_rows(docs: DataFrame, most: int = 400) -> DataFrame:
                 found = [encode.inflated(s) for s in encode.streams(bytes(r.content), most)]
                 yield pd.DataFrame({"doc": [r.doc] * len(found), "stream_no": range(len(found)), "body": found})
 
+    ship(docs.sparkSession)
     return docs.select("doc", "content").mapInPandas(run, T.StructType([docs.schema["doc"], T.StructField("stream_no", T.IntegerType()), T.StructField("body", T.BinaryType())]))
 
 
