@@ -3,41 +3,23 @@
 from __future__ import annotations
 
 import io
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.shipping import ship
+
 #: Bytes of an Arrow batch sent to Python, so that a run of very long texts does not fill a worker.
 ARROW_BYTES = "8m"
 
-_shipped: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes where the session sets nothing, and ship this package to the executors once."""
     if not spark._jsparkSession.sessionState().conf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.join(top, "quire")
-    if os.path.isdir(package):
-        path = os.path.join(tempfile.mkdtemp(), f"quire-{uuid.uuid4().hex}.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(package):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, top))
-        sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
