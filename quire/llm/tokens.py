@@ -17,10 +17,12 @@ import sys
 
 #: ASCII and the letters of Latin-1 and Latin Extended-A, but for those whose lower case or class differs.
 SAFE = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
-#: The split patterns of the known files, by (pre-tokenizer, normalizer) signature.
+#: Of SAFE: letters, and what is neither letter, digit nor white space.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ž", r"!-/:-@\[-`{-~"
+#: The split patterns of the known files, over the characters of SAFE, the most frequent kind first.
 SPLITS = {
-    "gpt2": re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
-    "words": re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
+    "gpt2": re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[{SIGNS}]+|\s+(?!\S)|\s+"),
+    "words": re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[{SIGNS}]+"),
 }
 #: The pattern by which the second kind of file splits, as that file states it.
 WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -31,6 +31,15 @@ def test_odd_texts(name):
         assert encoder(path).count(t) == len(ids)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_every_letter(name):
+    path = public_tokenizers.path(name)
+    lib = Tokenizer.from_file(path)
+    for c in map(chr, range(1, 0x250)):
+        t = f"x{c}Y {c} {c}{c}1'{c}2{c} 's{c}"
+        assert np.frombuffer(encoder(path).ids(t), dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, c
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_any_text(name):
     path = public_tokenizers.path(name)
