@@ -1,0 +1,137 @@
+"""Near copies by exact similarity: texts whose sets of word shingles have a Jaccard similarity of 4/5 or more.
+
+No hash distance stands between: in one order of all shingles, two sets that are as similar share a shingle among the
+first n - ceil(4n/5) + 1 of each, so the pairs that meet in such a shingle are all that can be. Sizes and places in the
+order rule out most of them, the others are compared by their whole sets. The order puts shingles that are frequent in
+a sample last; any order gives the same result. Pairs are looked for in two steps: first of neighbours in each shingle's
+list only, then of all texts that the links found so far have not joined, so that a large group is not compared in pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import shared
+from .components import components
+from .simhash import keep_least
+
+#: The least similarity, as a fraction.
+LEAST = (4, 5)
+#: Texts from which the order of shingles is learnt, and shingles in it at most; both change the work only.
+SAMPLE, COMMON = 10_000, 200_000
+
+
+def shingles(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, ascending; a text of fewer words is one shingle, as is an empty one."""
+    from xxhash import xxh64_intdigest
+
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(found)
+    if len(found) <= words:
+        return np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in found))
+    starts = [0, *ends[: len(found) - words]]
+    return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], dtype=np.uint64))
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in shared.by_bytes(batch, "content"):
+                yield pd.DataFrame({"d": b["d"], "hashes": [shingles(t, words).view(np.int64) for t in b["content"]]})
+
+    return run
+
+
+def _prefixes(words: int, common: np.ndarray, rank: np.ndarray, least: tuple[int, int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in shared.by_bytes(batch, "content"):
+                out = []
+                for d, t in zip(b["d"].to_numpy(), b["content"], strict=True):
+                    s = shingles(t, words)
+                    n = len(s)
+                    place = np.zeros(n, dtype=np.int64)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        place = np.where(common[at] == s, rank[at], 0)
+                    k = n + least[0] * n // -least[1] + 1
+                    first = s[np.lexsort((s, place))[:k]]
+                    out.append(pd.DataFrame({"h": first.view(np.int64), "pos": np.arange(k, dtype=np.int32), "n": np.int32(n), "d": d}))
+                yield pd.concat(out)
+
+    return run
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the whole sets."""
+    pairs = shared.save(pairs, "near-copy-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+    sets = shared.save(texts.join(asked, "d", "left_semi").dropDuplicates(["d"]).mapInPandas(_sets(words), "d long, hashes array<long>"), "near-copy-sets")
+    both = pairs.join(sets.select(F.col("d").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("hashes").alias("y")), "b")
+    held = F.size(F.array_intersect("x", "y"))
+    return both.where(held * least[1] >= (F.size("x") + F.size("y") - held) * least[0]).select("a", "b")
+
+
+def links(texts: DataFrame, rows: int, words: int = 5, least: tuple[int, int] = LEAST, sample: int = SAMPLE) -> DataFrame:
+    """Links (a, b) that connect exactly the values of texts.d which chains of similar contents connect.
+
+    texts: (d long, content), where equal d are equal contents; rows: how many there are, about.
+    """
+    top, bottom = least
+    some = texts.where(F.pmod("d", F.lit(max(1, rows // sample))) == 0).mapInPandas(_sets(words), "d long, hashes array<long>")
+    often = some.select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    common = often["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    by = np.argsort(common)
+    rank = often["count"].to_numpy(dtype=np.int64)[by]
+    first = texts.mapInPandas(_prefixes(words, common[by], rank, least), "h long, pos int, n int, d long").distinct()
+    lists = Window.partitionBy("h")
+    order = lists.orderBy("n", F.xxhash64("d", "h"))
+    met = first.withColumns({"held": F.count("*").over(lists), "d2": F.lag("d").over(order), "n2": F.lag("n").over(order), "pos2": F.lag("pos").over(order)})
+    met = shared.save(met.where("held > 1").drop("held"), "near-copy-lists")
+
+    def possible(n, pos, n2, pos2):
+        # before the first shingle that both hold there is nothing common
+        return (F.least(n, n2) * bottom >= F.greatest(n, n2) * top) & (F.least(n - pos, n2 - pos2) * (top + bottom) >= (n + n2) * top)
+
+    c = F.col
+    near = met.where(possible(c("n"), c("pos"), c("n2"), c("pos2"))).select(F.greatest("d", "d2").alias("a"), F.least("d", "d2").alias("b")).distinct()
+    out = shared.save(_alike(texts, near, words, least), "near-copy-links")
+    joined = met.select("h", "pos", "n", "d").join(components(out).withColumnRenamed("node", "d"), "d", "left")
+    joined = shared.save(joined.select("h", "pos", "n", "d", F.coalesce("root", "d").alias("root")), "near-copy-joined")
+    # of two texts of a list that are not joined, one is outside the list's largest group
+    groups = joined.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    joined = joined.join(groups.select("h", "main"), "h")
+    x, y = joined.where("root <> main").alias("x"), joined.alias("y")
+    far = x.join(y, (c("x.h") == c("y.h")) & (c("x.root") != c("y.root")) & ((c("y.root") == c("y.main")) | (c("x.d") > c("y.d"))) & possible(c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
+    far = far.select(F.greatest("x.d", "y.d").alias("a"), F.least("x.d", "y.d").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    return out.union(_alike(texts, far, words, least))
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id) of each row: component_id is the smallest key that chains of similar texts reach from it.
+
+    Words are parted by white space and compared in lower case (ASCII). Texts are told apart by 64-bit digests, shingles
+    too. Texts without words are equal; null text counts as empty. A null key is never a component's id, unless all its
+    keys are null. An empty table gives an empty table.
+    """
+    shared.prepare(docs.sparkSession)
+    content = shared.text_or_empty(text)
+    texts = docs.select(F.xxhash64(content).alias("d"), content.alias("content"))
+    held = docs.select(key, F.xxhash64(content).alias("d"))
+    distinct = shared.save(held.groupBy("d").agg(F.min(key).alias("least")), "distinct")
+    group = components(links(texts, distinct.count(), words, least))
+    labelled = distinct.join(group.withColumnRenamed("node", "d"), "d", "left").select("d", "least", F.coalesce("root", "d").alias("root"))
+    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return held.join(labelled.join(ids, "root").select("d", "component_id"), "d").select(key, "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies, the one of the smallest key; rows as for simhash.keep_one."""
+    return keep_least(docs, near_copies(docs, words, least, key, text), key)

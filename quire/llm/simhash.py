@@ -200,7 +200,12 @@ def keep_one(docs: DataFrame, words: int = 3, distance: int = 3, key: str = "doc
     Rows that share a key are one document, of which one row stays. Rows with a null key cannot be told from each other
     and stay. An empty table stays empty. All columns are kept.
     """
-    found = shared.save(near_duplicates(docs, words, distance, key=key, text=text), "near-duplicates")
+    return keep_least(docs, near_duplicates(docs, words, distance, key=key, text=text), key)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the keys that found (key, component_id) puts into the component of a smaller one."""
+    found = shared.save(found, "near-duplicates")
     by_key = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
     by_key = shared.save(by_key, "near-duplicate-keys")
     gone = by_key.where(F.col("least") < F.col(key)).select(key)

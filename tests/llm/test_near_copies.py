@@ -1,0 +1,84 @@
+"""Near copies against the similarities of all pairs."""
+
+import itertools
+import random
+
+import corpus_pipeline
+from quire.llm.near_copies import links, near_copies
+from quire.llm.simhash import fingerprint
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def plain_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_ids(rows):
+    root = {d: d for d, *_ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {d: plain_set(t) for d, t, *_ in rows}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in root}
+
+
+def varied(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+    return words
+
+
+def table(rng):
+    line = [f"line{i}" for i in range(30)]
+    rows = [(1, "", "x"), (2, None, "x"), (3, "one two", "x"), (4, "ONE  two", "x"), (5, "one two three", "x")]
+    for size in (12, 60, 200, 700):
+        for _ in range(3):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(size)] + line
+            for n in (0, 1, 1, 2, 3, 4, 6, size // 30, size // 25):
+                rows.append((len(rows) + 10, " ".join(varied(rng, base, n)), "x"))
+    group = [f"g{i}" for i in range(150)]
+    rows += [(len(rows) + 10 + i, " ".join(varied(rng, group, rng.randrange(1, 4))), "x") for i in range(60)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_all_pairs(spark):
+    rows = table(random.Random(4))
+    expected = plain_ids(rows)
+    got = near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected and len(got) == len(rows)
+    assert len(set(expected.values())) < len(rows) - 60
+    assert near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_order_of_shingles_changes_nothing(spark):
+    rows = [(d, t or "") for d, t, _ in table(random.Random(5))]
+    df = spark.createDataFrame(rows, "d long, content string")
+    from quire.llm.components import components
+
+    found = [sorted(map(tuple, components(links(df, n, sample=s)).collect())) for n, s in ((1, 1), (1000, 100), (10**9, 1))]
+    ids = plain_ids(rows)
+    assert found[0] == found[1] == found[2]
+    assert {a: b for a, b in found[0]} == {d: i for d, i in ids.items() if list(ids.values()).count(i) > 1}
+
+
+def test_the_pipeline_drops_copies_that_fingerprints_do_not_show(spark):
+    rng = random.Random(6)
+    rows = []
+    while len(rows) < 2:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        other = varied(rng, base, 1)
+        if (fingerprint(" ".join(base)) ^ fingerprint(" ".join(other))).bit_count() > 3 and plain_ids([(0, " ".join(base)), (1, " ".join(other))])[1] == 0:
+            rows = [(7, " ".join(base), "x"), (3, " ".join(other), "x")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([*rows, (9, "another text", "x")], SCHEMA), None)
+    assert sorted(r["doc_id"] for r in got.collect()) == [3, 9]
