@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import shared
 
@@ -26,8 +25,6 @@ BLOCK_WORDS = frozenset("ads adult bet bets betting bonus casino cheap clickbait
 STRONG = frozenset("adult bets betting casino clickbait crack escort escorts hentai jackpot keygen lottery naked nude payday phishing pills poker porn sex slots spam torrent torrents viagra warez xxx".split())
 #: Common words of names, so that the split of a name knows more than what the corpus holds.
 PLAIN_WORDS = frozenset("about account app archive art blog book books business care center city club community company data daily design digital education example family files food forum games garden global group guide health help history home host house info journal lab learn library life live local mail market media mobile music net network news online open page paper park people photo press project radio report research school science search service shop site social software sport state store story studio support team tech times today tools travel university video weather web wiki work world".split())
-#: Words of the unigram model and tokens of naive Bayes at most, the most frequent first, ties in code point order.
-VOCABULARY = 50_000
 #: A word's letters at most, in the split of a name.
 LONGEST = 24
 
@@ -74,13 +71,10 @@ class Model:
             got = self.memo[host] = [w for part in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", host) if part for w in split_name(part, self.logs, self.total)]
         return got
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        return [f"h:{w}" for w in self.host(host)] + [f"p:{w}" for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", path.lower()) if w and not w.isdigit()]
 
-
-def seeded(words: list[str]) -> bool:
+def seeded(words: Column) -> Column:
     """Whether a host's words mark it as one to block: a strong one, or two block words."""
-    return any(w in STRONG for w in words) or sum(w in BLOCK_WORDS for w in words) > 1
+    return F.exists(words, lambda w: w.isin(*sorted(STRONG))) | (F.size(F.filter(words, lambda w: w.isin(*sorted(BLOCK_WORDS)))) > 1)
 
 
 def fit_rules(rules) -> dict[str, list[tuple[str, str, str]]]:
@@ -99,67 +93,77 @@ def rule_of(host: str, path: str, by: dict[str, list[tuple[str, str, str]]]) ->
     return min(found)[1:] if found else None
 
 
-def _examples(model: Model):
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for label in b["label"]:
+            subs = {label[i:j] for i in range(len(label)) for j in range(i + 2, min(len(label), i + LONGEST) + 1)}
+            if subs:
+                yield pd.DataFrame({"label": label, "word": sorted(subs)})
+
+
+def _splits(total: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for h, p in zip(b["host"], b["path"], strict=True):
-                bad = seeded(model.host(h))
-                out += [(bad, t) for t in model.tokens(h, p)]
-            yield pd.DataFrame(out, columns=["bad", "token"])
+            words = [split_name(x, {w["word"]: math.log(w["n"] / total) for w in known}, total) for x, known in zip(b["label"], b["known"], strict=True)]
+            yield pd.DataFrame({"label": b["label"], "words": words})
 
     return run
 
 
-def _judged(model: Model, by, odds: dict[str, float], prior: float):
+def _read(by):
+    """Path tokens and rule of each url."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rules, verdicts, scores = [], [], []
-            for h, p in zip(b["host"], b["path"], strict=True):
-                score = prior + sum(odds.get(t, 0.0) for t in model.tokens(h, p))
-                rule = rule_of(h, p, by)
-                rules.append(rule[0] if rule else None)
-                verdicts.append(rule[1] if rule else "block" if score > 0 else "allow")
-                scores.append(score)
-            yield b.assign(rule=rules, verdict=verdicts, log_odds=scores)
+            found = [rule_of(h, p, by) or (None, None) for h, p in zip(b["host"], b["path"], strict=True)]
+            tokens = [[f"p:{w}" for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", p.lower()) if w and not w.isdigit()] for p in b["path"]]
+            yield b.assign(rule=[r for r, _ in found], ruled=[v for _, v in found], path_tokens=tokens)
 
     return run
 
 
-def _most(counted: DataFrame, word: str, bound: int) -> list:
-    return counted.orderBy(F.desc("n"), word).limit(bound).collect()
-
-
-def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", vocabulary: int = VOCABULARY) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, log_odds) of each row.
 
     rule and verdict are those of the longest rule that fits; without one, rule is null and the verdict is the model's:
     block where its log odds are above 0. Null urls and urls without :// have an empty host and path, which no rule
-    fits and the prior decides: allow. Rows may repeat. Counts cover all rows; the two models hold at most vocabulary
-    entries each, which is all that the driver collects. An empty table gives an empty table.
+    fits and the prior decides: allow. Rows may repeat. Counts cover all rows and all words and tokens, which stay
+    tables: a name is split with those of the words that it holds. An empty table gives an empty table.
     """
     spark = pages.sparkSession
     shared.prepare(spark)
     host, path = parts(url)
-    rows = pages.select(shared.key_text(key), host.alias("host"), path.alias("path"))
+    rows = pages.select(key, host.alias("host"), path.alias("path"))
     # words of names: parts of a path, and parts of a host that it separates by hyphens
     hyphened = F.flatten(F.transform(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "-")))
     words = rows.select(F.explode(F.concat(F.split(F.lower("path"), "[^0-9a-z\u0080-\U0010ffff]+"), hyphened)).alias("word"))
     words = words.where(r"length(word) between 2 and 24 and not word rlike '^[0-9]+$'").groupBy("word").agg(F.count("*").alias("n"))
-    counts = {w: 1000 for w in sorted(BLOCK_WORDS | PLAIN_WORDS)}
-    for r in _most(words, "word", vocabulary):
-        counts[r["word"]] = counts.get(r["word"], 0) + r["n"]
-    model = Model(counts)
-    examples = rows.select("host", "path").mapInPandas(_examples(model), "bad boolean, token string")
-    seen = examples.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    seen = shared.save(seen, "url-tokens")
-    top = _most(seen, "token", vocabulary)
-    all_bad, all_n = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    v = len(top) + 1
-    odds = {r["token"]: math.log((r["bad"] + 1) / (all_bad + v)) - math.log((r["n"] - r["bad"] + 1) / (all_n - all_bad + v)) for r in top}
-    for w in STRONG:
-        odds.setdefault(f"h:{w}", math.log(20.0))
-    prior = math.log((all_bad + 1) / (all_n - all_bad + 1)) if all_n else -1.0
-    schema = T.StructType([*rows.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("log_odds", T.DoubleType())])
-    out = rows.mapInPandas(_judged(model, fit_rules(rules), odds, min(prior, -1.0)), schema)
-    return out.withColumn(key, F.col(key).cast(pages.schema[key].dataType))
+    given = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in sorted(BLOCK_WORDS | PLAIN_WORDS)])).alias("word"), F.lit(1000).cast("long").alias("n"))
+    words = shared.save(words.union(given).groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    total = float(words.agg(F.sum("n")).first()[0])
+    urls = rows.groupBy("host", "path").agg(F.count("*").alias("times"))
+    read = urls.mapInPandas(_read(fit_rules(rules)), "host string, path string, times long, rule string, ruled string, path_tokens array<string>")
+    urls = shared.save(read, "urls")
+    labels = urls.select("host").distinct().select("host", F.posexplode(F.split("host", "[^0-9a-z\u0080-\U0010ffff]+")).alias("at", "label")).where("label <> ''")
+    labels = shared.save(labels, "url-labels")
+    names = labels.select("label").distinct()
+    known = names.mapInPandas(_substrings, "label string, word string").join(words, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    known = names.join(known, "label", "left").select("label", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
+    split = known.mapInPandas(_splits(total), "label string, words array<string>")
+    by_host = labels.join(split, "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("x")).select("host", F.flatten("x.words").alias("words"))
+    none = F.array().cast("array<string>")
+    urls = urls.join(by_host, "host", "left").withColumn("words", F.coalesce("words", none))
+    tokens = F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), "path_tokens")
+    urls = shared.save(urls.select("host", "path", "times", "rule", "ruled", seeded(F.col("words")).alias("bad"), tokens.alias("tokens")), "url-tokens")
+    seen = urls.select("times", "bad", F.explode("tokens").alias("token")).groupBy("token")
+    seen = shared.save(seen.agg(F.sum("times").alias("n"), F.sum(F.when(F.col("bad"), F.col("times")).otherwise(0)).alias("bad")), "url-counts")
+    all_bad, all_n, v = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*") + 1).first()
+    prior = min(math.log((all_bad + 1) / (all_n - all_bad + 1)) if all_n else -1.0, -1.0)
+    odds = seen.select("token", (F.log((F.col("bad") + 1) / F.lit(float(all_bad + v))) - F.log((F.col("n") - F.col("bad") + 1) / F.lit(float(all_n - all_bad + v)))).alias("odds"))
+    placed = urls.select("host", "path", F.posexplode("tokens").alias("at", "token")).join(odds, "token")
+    # summed in the tokens' order, so that a score is the same in every run
+    summed = placed.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("at", "odds"))).alias("x"))
+    summed = summed.select("host", "path", F.aggregate("x.odds", F.lit(0.0), lambda a, b: a + b).alias("sum"))
+    judged = urls.join(summed, ["host", "path"], "left").select("host", "path", "rule", "ruled", (F.lit(prior) + F.coalesce("sum", F.lit(0.0))).alias("log_odds"))
+    verdict = F.coalesce("ruled", F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    return rows.join(judged, ["host", "path"]).select(key, "host", "path", "rule", verdict.alias("verdict"), "log_odds")
