@@ -69,8 +69,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _entries(tables: int, turns: int, probes: int, seed: int):
-    """probes: 1 for entries."""
+def _entries(tables: int, turns: int, probes: int, seed: int, whole: bool = True):
+    """probes: 1 for entries. Without whole, cells only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,6 +78,9 @@ def _entries(tables: int, turns: int, probes: int, seed: int):
                 x = _unit(_matrix(b["vector"]))
                 for t in range(tables):
                     c = cells(x, t, turns, probes, seed)
+                    if not whole:
+                        yield pd.DataFrame({"dim": int(dim), "tab": t, "cell": c.reshape(-1)})
+                        continue
                     k = c.shape[1]
                     rows = np.repeat(np.arange(len(b)), k)
                     yield pd.DataFrame({"dim": int(dim), "tab": t, "cell": c.reshape(-1), "id": b["id"].to_numpy()[rows], "vector": b["vector"].to_numpy()[rows]})
@@ -91,20 +94,28 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(q: np.ndarray, e: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, most: int) -> pd.DataFrame:
-    """For each query the most best entries, and any that tie with the last of them."""
+    """For each query the most best entries, and any that tie with the last of them; ROWS of each are multiplied at a time."""
     found = []
     unit = _unit(e)
     for i in range(0, len(q), ROWS):
         part = _unit(q[i : i + ROWS])
-        rows, columns = [], []
-        score = part @ unit.T
-        if score.shape[1] > most:
-            least = -np.partition(-score, most - 1, axis=1)[:, most - 1 : most]
+        row, column, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(part), -np.inf)
+        for j in range(0, len(e), ROWS):
+            score = part @ unit[j : j + ROWS].T
+            if score.shape[1] > most:
+                least = np.maximum(least, -np.partition(-score, most - 1, axis=1)[:, most - 1])
             # rounding may differ between products of blocks, so near ties stay until they are scored by rule
-            rows, columns = np.nonzero(score >= least - 1e-12)
-        else:
-            rows, columns = np.nonzero(np.ones(score.shape, dtype=bool))
-        found.append(pd.DataFrame({"query": query_ids[i : i + ROWS][rows], "id": ids[columns], "score": cosine(q[i : i + ROWS][rows], e[columns])}))
+            r, c = np.nonzero(score >= least[:, None] - 1e-12)
+            row, column, near = np.concatenate([row, r]), np.concatenate([column, c + j]), np.concatenate([near, score[r, c]])
+            order = np.lexsort((-near, row))
+            row, column, near = row[order], column[order], near[order]
+            last = np.searchsorted(row, np.arange(len(part))) + most - 1
+            whole = np.flatnonzero(last < np.searchsorted(row, np.arange(len(part)), side="right"))
+            least[whole] = near[last[whole]]
+            keep = near >= least[row] - 1e-12
+            row, column, near = row[keep], column[keep], near[keep]
+        found.append(pd.DataFrame({"query": query_ids[i : i + ROWS][row], "id": ids[column], "score": cosine(q[i : i + ROWS][row], e[column])}))
     return pd.concat(found)
 
 
@@ -127,6 +138,12 @@ def _scored(most: int):
     return run
 
 
+def _full_cells(base: DataFrame, tables: int, turns: int, part_rows: int, seed: int) -> DataFrame:
+    """(dim, tab, cell, parts) of the cells with more than part_rows entries: at most tables * rows / part_rows of them."""
+    stand = base.mapInPandas(_entries(tables, turns, 1, seed, False), "dim int, tab int, cell long")
+    return stand.groupBy("dim", "tab", "cell").count().where(F.col("count") > part_rows).select("dim", "tab", "cell", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
+
+
 def nearest(vectors: DataFrame, queries, k: int = 5, tables: int = 4, turns: int = 1, probes: int = 40, part_rows: int = 20_000, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each row that the condition queries chooses.
 
@@ -136,7 +153,8 @@ def nearest(vectors: DataFrame, queries, k: int = 5, tables: int = 4, turns: int
     empty table gives an empty one.
 
     turns: rotations that make a cell. One gives twice as many cells as a vector has components, and a recall that does
-    not fall as rows are added; two suit vectors with near neighbours, with probes to match. A cell's entries are dealt to parts of about part_rows by their ids, to each of which its queries go.
+    not fall as rows are added; two suit vectors with near neighbours, with probes to match. Each cell's entries are counted and
+    dealt to parts of about part_rows by their ids, to each of which its queries go.
     """
     spark = vectors.sparkSession
     shared.prepare(spark)
@@ -152,15 +170,16 @@ def nearest(vectors: DataFrame, queries, k: int = 5, tables: int = 4, turns: int
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("d1", "d2").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = few.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min_by("v", "n").alias("v"), F.array_sort(F.collect_set("id")).alias("ids"))
     classes = shared.save(classes, "vector-classes")
-    n = classes.count()
     asking = shared.save(rows.where("asks").select(F.col("id").alias("query_id"), "d1", "d2").join(classes.select("d1", "d2", F.col("id").alias("query")), ["d1", "d2"]).select("query_id", "query"), "vector-queries")
     base = classes.select("id", F.col("v").alias("vector"))
     asked = base.join(asking.select(F.col("query").alias("id")).distinct(), "id", "left_semi")
     schema = f"dim int, tab int, cell long, id long, vector array<{kind}>"
-    d = classes.agg(F.max(F.size("v"))).first()[0] or 1
-    parts = max(1, round(n / (2.0 * d) ** turns / part_rows))
-    stand = base.mapInPandas(_entries(tables, turns, 1, seed), schema).withColumns({"query": F.lit(False), "part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")})
-    look = asked.mapInPandas(_entries(tables, turns, probes, seed), schema).withColumns({"query": F.lit(True), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    full = shared.save(_full_cells(base, tables, turns, part_rows, seed), "vector-cells")
+    parts = F.coalesce("parts", F.lit(1))
+    stand = base.mapInPandas(_entries(tables, turns, 1, seed), schema).join(full, ["dim", "tab", "cell"], "left")
+    stand = stand.withColumns({"query": F.lit(False), "part": F.pmod(F.xxhash64("id"), parts).cast("int")}).drop("parts")
+    look = asked.mapInPandas(_entries(tables, turns, probes, seed), schema).join(full, ["dim", "tab", "cell"], "left")
+    look = look.withColumns({"query": F.lit(True), "part": F.explode(F.sequence(F.lit(0), parts - 1))}).drop("parts")
     both = stand.unionByName(look).repartition("dim", "tab", "cell", "part").sortWithinPartitions("dim", "tab", "cell", "part", "query")
     # a query's own class is one of them
     scored = both.mapInPandas(_scored(k + 1), "query long, id long, score double").distinct()
