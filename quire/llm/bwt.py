@@ -52,29 +52,34 @@ def _stable(keys: np.ndarray) -> np.ndarray:
     return order[np.argsort((keys[order] >> 16).astype(np.uint16), kind="stable")]
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes by their first depth symbols: shard and suffix (its place in the shard's text) of each, and common prefix with the one before, up to depth."""
-    m, n = sum(s.strings for s in shards), sum(len(s.bwt) for s in shards)
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' suffixes by their first depth symbols: the place of each in the shards' texts, one after the other, and common prefix with the one before, up to depth.
+
+    Work is rounds times entries, whatever the number of shards (below 65,536): the transforms lie one after the other,
+    and one stable sort of the interleave gives the entry at each of its places.
+    """
+    m, sizes = sum(s.strings for s in shards), [len(s.bwt) for s in shards]
+    n = sum(sizes)
+    bwt = np.concatenate([s.bwt for s in shards]).astype(np.int32)
     # sentinels come first and stay where they are, in the order of the shards
-    fixed = np.repeat(np.arange(len(shards)), [s.strings for s in shards])
-    z = np.repeat(np.arange(len(shards)), [len(s.bwt) for s in shards]).astype(np.int16)
-    block = np.zeros(n, dtype=np.int64)
+    fixed = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.strings for s in shards])
+    z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    block = np.zeros(n, dtype=np.int32)
     prefix = np.full(n, -1, dtype=np.int32)
     prefix[0] = 0
-    symbols = np.empty(n, dtype=np.int64)
+    entry = np.empty(n, dtype=np.int64)
     for k in range(1, depth + 1):
-        for i, s in enumerate(shards):
-            symbols[z == i] = s.bwt
+        entry[np.argsort(z, kind="stable")] = np.arange(n)
+        symbols = bwt[entry]
         inner = np.flatnonzero(symbols >= 0)
         order = inner[_stable(symbols[inner])]
         first = np.ones(n, dtype=bool)
         a, b = symbols[order], block[order]
         first[m + 1 :] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        z = np.concatenate([fixed, z[order]]).astype(np.int16)
-        block = np.cumsum(first) - 1
+        z = np.concatenate([fixed, z[order]])
+        block = np.cumsum(first, dtype=np.int32) - 1
         prefix[first & (prefix < 0)] = k - 1
     prefix[prefix < 0] = depth
-    suffix = np.empty(n, dtype=np.int64)
-    for i, s in enumerate(shards):
-        suffix[z == i] = s.suffixes
-    return z, suffix, prefix
+    entry[np.argsort(z, kind="stable")] = np.arange(n)
+    begin = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    return (np.concatenate([s.suffixes for s in shards]) + begin)[entry], prefix

@@ -25,8 +25,8 @@ from .bwt import Shard, merge
 GRAM = 32
 #: Bits of an anchor's place; the other bits of the key are its hash.
 PLACE = 24
-#: Bytes of segments that are merged at a time, and of a shard of them, as long as no group is larger.
-BATCH_BYTES, SHARD_BYTES = 1_000_000, 300_000
+#: Bytes of segments that are merged at a time, and of a shard of them, as long as no group is larger; bytes of a group at most.
+BATCH_BYTES, SHARD_BYTES, GROUP_BYTES = 1_000_000, 300_000, 2_000_000
 
 
 def _hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -69,6 +69,11 @@ def _segment_id(place: int, segment: bytes) -> bytes:
 
 
 SEGMENTS = "digest binary, copies long, hash long, segment binary, place long, first long, last long"
+SPLIT = SEGMENTS + ", parent binary, shift long"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _segments(length: int):
@@ -79,7 +84,28 @@ def _segments(length: int):
                 text = bytes(content)
                 for h, p, lo, hi in zip(*(x.tolist() for x in anchors(np.frombuffer(text, dtype=np.uint8), length)), strict=True):
                     out.append((digest, copies, h, _segment_id(p - lo, text[lo : hi + length]), p, lo, hi))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+            yield pd.DataFrame(out, columns=_names(SEGMENTS))
+
+    return run
+
+
+def _split(length: int, width: int):
+    """Segments of an anchor that too many have, in parts: of windows that have it at nearly the same place, grouped by the bytes that all of these cover."""
+    import hashlib
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for digest, content, wanted in zip(batch["digest"], batch["content"], batch["wanted"], strict=True):
+                text, out = bytes(content), []
+                for w in wanted:
+                    p, first, last = w["place"], w["first"], w["last"]
+                    for c in range((p - last) // width, (p - first) // width + 1):
+                        low, high = p - (c + 1) * width + 1, p - c * width
+                        salt = w["hash"].to_bytes(8, "little", signed=True) + c.to_bytes(4, "little")
+                        h = int.from_bytes(hashlib.blake2b(text[high : low + length], digest_size=8, salt=salt).digest(), "little", signed=True)
+                        lo, hi = max(low, first), min(high, last)
+                        out.append((digest, w["copies"], h, _segment_id(p - lo, text[lo : hi + length]), p, lo, hi, w["segment"], lo - first))
+                yield pd.DataFrame(out, columns=_names(SPLIT))
 
     return run
 
@@ -164,7 +190,7 @@ def repeated(segments: list[tuple[int, bytes, int]], length: int, shard_bytes: i
                 owner.append((at, phase))
             size += hi - lo
             at += 1
-        shard = Shard(np.concatenate(text), np.array(lengths), depth)
+        shards.append(Shard(np.concatenate(text), np.array(lengths), depth))
         # of each place in the shard's text: the segment, and the byte there
         lengths = np.array(lengths)
         begin = np.cumsum(lengths + 1) - lengths - 1
@@ -172,12 +198,8 @@ def repeated(segments: list[tuple[int, bytes, int]], length: int, shard_bytes: i
         inside = np.arange(int(lengths.sum()) + len(lengths)) - begin[string]
         owner = np.array(owner)
         owners.append((owner[string, 0], owner[string, 1] + inside * block))
-        shards.append(shard)
-    z, suffix, prefix = merge(shards, depth)
-    segment, start = np.empty(len(z), dtype=np.int64), np.empty(len(z), dtype=np.int64)
-    for i, (a, b) in enumerate(owners):
-        mine = z == i
-        segment[mine], start[mine] = a[suffix[mine]], b[suffix[mine]]
+    places, prefix = merge(shards, depth)
+    segment, start = (np.concatenate(x)[places] for x in zip(*owners, strict=True))
     interval = np.cumsum(prefix < depth) - 1
     counts = np.array([c for _, _, c in segments], dtype=np.int64)
     again = np.bincount(interval, weights=counts[segment])[interval] > 1
@@ -197,46 +219,42 @@ def _ranges(starts: np.ndarray) -> tuple[list[int], list[int]]:
     return starts[np.concatenate([[0], new + 1])].tolist(), starts[np.concatenate([new, [len(starts) - 1]])].tolist()
 
 
-VERDICTS = "hash long, segment binary, firsts array<long>, lasts array<long>"
+VERDICTS = "segment binary, firsts array<long>, lasts array<long>"
 
 
 def _judge(length: int):
-    """Groups come whole, one after the other."""
-
-    def done(groups: list[list[tuple]]) -> pd.DataFrame:
-        wanted, where = [], []
-        for g in groups:
-            parts = _shared_part([(p, s) for _, _, p, _, s in g], length)
-            same: dict[tuple[int, bytes], list[int]] = {}
-            for i, part in enumerate(parts):
-                if part:
-                    same.setdefault((g[i][2] - part[0], g[i][4][part[0] : part[1]]), []).append(i)
-            for (p, s), members in same.items():
-                wanted.append((p, s, sum(g[i][3] for i in members)))
-                where.append([(g[i], parts[i][0]) for i in members])
+    """Groups come whole, one after the other; what they share is merged about BATCH_BYTES at a time."""
+
+    def judged(pending: list[tuple[tuple[int, bytes, int], list[tuple]]]) -> pd.DataFrame:
         out = []
-        for starts, members in zip(repeated(wanted, length) if wanted else [], where, strict=True):
+        for starts, (_, members) in zip(repeated([w for w, _ in pending], length) if pending else [], pending, strict=True):
             if len(starts):
                 # one at two places or more is gone as a whole already
                 for row, left in (m for m in members if m[0][3] == 1):
-                    out.append((row[0], row[1], *_ranges(starts + left)))
-        return pd.DataFrame(out, columns=["hash", "segment", "firsts", "lasts"])
+                    out.append((row[1], *_ranges(starts + left)))
+        return pd.DataFrame(out, columns=_names(VERDICTS))
+
+    def shared_parts(group: list[tuple]) -> list[tuple[tuple[int, bytes, int], list[tuple]]]:
+        parts = _shared_part([(p, s) for _, _, p, _, s in group], length)
+        same: dict[tuple[int, bytes], list[int]] = {}
+        for i, part in enumerate(parts):
+            if part:
+                same.setdefault((group[i][2] - part[0], group[i][4][part[0] : part[1]]), []).append(i)
+        return [((p, s, sum(group[i][3] for i in members)), [(group[i], parts[i][0]) for i in members]) for (p, s), members in same.items()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups: list[list[tuple]] = []
-        size = 0
+        group: list[tuple] = []
+        pending, size = [], 0
         for b in batches:
             for row in zip(b["hash"], b["segment"], b["place"], b["copies"], map(bytes, b["bytes"]), strict=True):
-                if groups and groups[-1][0][0] == row[0]:
-                    groups[-1].append(row)
-                else:
+                if group and group[0][0] != row[0]:
+                    found = shared_parts(group)
+                    pending, size, group = pending + found, size + sum(len(w[1]) for w, _ in found), []
                     if size > BATCH_BYTES:
-                        yield done(groups)
-                        groups, size = [], 0
-                    groups.append([row])
-                size += len(row[4]) // 4
-        if groups:
-            yield done(groups)
+                        yield judged(pending)
+                        pending, size = [], 0
+                group.append(row)
+        yield judged(pending + (shared_parts(group) if group else []))
 
     return run
 
@@ -260,69 +278,126 @@ def _remove(length: int):
                 spans = int(gone[0] + (gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if spans else text
                 out.append((digest, len(text), int(gone.sum()), spans, kept))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+            yield pd.DataFrame(out, columns=_names(RESULT))
 
     return run
 
 
-def _distinct(docs: DataFrame, digest, content) -> tuple[DataFrame, str]:
-    """Distinct texts with their copies, as a table in buckets by digest, so that later joins move no text; and its name."""
+def _distinct(docs: DataFrame, digest, content, name: str) -> DataFrame:
+    """Distinct texts with their copies, as a table in buckets by digest, so that later joins move no text."""
     spark = docs.sparkSession
     # as many buckets as a shuffle has partitions: then neither this one nor the joins to come move the texts again
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"quire_texts_{uuid.uuid4().hex}"
     rows = docs.select(digest.alias("digest"), content.cast("binary").alias("content"))
     rows = rows.groupBy("digest").agg(F.first("content").alias("content"), F.count("*").alias("copies"))
     rows.write.option("compression", "zstd").bucketBy(n, "digest").saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name)
+
+
+class _Work:
+    """Tables of one run, dropped at its end, also when it fails."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.saved, self.tables = spark, [], []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.saved.append(shared.save(df, name))
+        return self.saved[-1]
+
+    def clear(self) -> None:
+        for x in self.saved:
+            shared.drop(x)
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, dense: int = 50_000, key: str = "doc_id", text: str = "text", derive: dict | None = None) -> DataFrame:
+def _members(work: _Work, found: DataFrame, length: int) -> DataFrame:
+    """Distinct segments that are at two places or share their hash with another: hash, segment, copies, at, kinds, and size, the bytes of their group."""
+    one = found.groupBy("hash", "segment").agg(F.sum("copies").alias("copies"), F.min(F.struct("digest", "place", "first", "last")).alias("at"))
+    one = work.save(one, "distinct-segments")
+    size = F.sum(F.col("at.last") - F.col("at.first") + length)
+    groups = one.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("copies").alias("places"), size.alias("size")).where("places > 1")
+    return work.save(one.join(groups.drop("places"), "hash").where("copies > 1 or kinds > 1"), "shared-segments")
+
+
+def _with_texts(member: DataFrame, long: DataFrame) -> DataFrame:
+    sought = F.collect_list(F.struct("hash", "segment", "place", "first", "last", "copies")).alias("wanted")
+    rows = member.select("hash", "segment", "copies", "at.*").groupBy("digest").agg(sought)
+    return long.join(rows.hint("shuffle_hash"), "digest")
+
+
+def _merged(member: DataFrame, long: DataFrame, length: int) -> DataFrame:
+    """Verdicts of groups that one task can merge."""
+    cut = _with_texts(member, long).mapInPandas(_cut(length), "hash long, segment binary, place long, copies long, bytes binary")
+    return cut.repartition("hash").sortWithinPartitions("hash", "segment").mapInPandas(_judge(length), VERDICTS)
+
+
+def _whole(member: DataFrame) -> DataFrame:
+    """Segments at two places or more are repeated as a whole; of the others the judged ones are, in part."""
+    none = F.lit(None).cast("array<long>")
+    return member.where("copies > 1").select("segment", F.lit(True).alias("whole"), none.alias("firsts"), none.alias("lasts"))
+
+
+def _ranges_of(first, last):
+    """What a verdict says of a segment whose windows start from first to last."""
+    return F.when(F.col("whole"), F.array(F.struct(first.alias("first"), last.alias("last")))).otherwise(
+        F.transform(F.arrays_zip("firsts", "lasts"), lambda x: F.struct((x["firsts"] + first).alias("first"), (x["lasts"] + first).alias("last")))
+    )
+
+
+def _dense(work: _Work, member: DataFrame, long: DataFrame, length: int, group_bytes: int, width: int) -> DataFrame:
+    """Verdicts of groups that are too large for a task: in parts, and the windows of parts that still are by their digests."""
+    split = work.save(_with_texts(member, long).mapInPandas(_split(length, width), SPLIT), "split-segments")
+    inner = _members(work, split.select(*_names(SEGMENTS)), length)
+    judged = _merged(inner.where((F.col("kinds") > 1) & (F.col("size") <= group_bytes)), long, length)
+    large = inner.where((F.col("kinds") > 1) & (F.col("size") > group_bytes))
+    if not large.isEmpty():
+        windows = work.save(_with_texts(large, long).mapInPandas(_windows(length), "segment binary, start long, copies long, window binary"), "windows")
+        again = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+        starts = windows.where("copies = 1").join(again, "window", "left_semi").groupBy("segment").agg(F.collect_set("start").alias("firsts"))
+        judged = judged.unionByName(starts.withColumn("lasts", F.col("firsts")))
+    verdicts = work.save(_whole(inner).unionByName(judged.withColumn("whole", F.lit(False))), "split-verdicts")
+    # of segments at two places all is known
+    back = split.where("copies = 1").select("segment", "parent", "shift", (F.col("last") - F.col("first")).alias("n")).join(verdicts, "segment")
+    parts = back.select(F.col("parent").alias("segment"), F.explode(_ranges_of(F.col("shift"), F.col("shift") + F.col("n"))).alias("r"))
+    return parts.groupBy("segment").agg(F.collect_list("r").alias("r")).select("segment", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, group_bytes: int = GROUP_BYTES, key: str = "doc_id", text: str = "text", derive: dict | None = None) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, and derive's columns) of each row.
 
     A text is its UTF-8 bytes (null: empty). n_removed counts the bytes that are covered by a string of length bytes
     which starts at another place too, of any row, the same one included; n_spans counts their maximal runs. derive:
     columns by name over kept (binary), the bytes that stay; by default kept itself. Rows with equal texts of length
-    bytes or more lose them all. dense: an anchor hash with more different segments than that is not merged in one
-    task; its windows are counted by 128-bit digests instead, which gives the same. Null and repeated keys are rows like others. An empty table gives an empty table.
+    bytes or more lose them all. Null and repeated keys are rows like others. An empty table gives an empty table.
+
+    group_bytes: different segments of one anchor hash that are more than that are not merged in one task. They are
+    split by the anchor's place in a window, about the root of length of them together, and by what their windows
+    share; a part that is still larger has its windows counted by 128-bit digests across tasks. All give the same.
     """
     spark: SparkSession = docs.sparkSession
     shared.prepare(spark)
     derive = {"kept": F.col("kept")} if derive is None else derive
     content = shared.text_or_empty(text)
     digest = F.unhex(F.substring(F.sha2(content.cast("binary"), 256), 1, 32))
-    texts, name = _distinct(docs, digest, content)
-    long = texts.where(F.octet_length("content") >= length)
-    found = shared.save(long.mapInPandas(_segments(length), SEGMENTS), "segments")
-    one = found.groupBy("hash", "segment").agg(F.sum("copies").alias("copies"), F.min(F.struct("digest", "place", "first", "last")).alias("at"))
-    one = shared.save(one, "distinct-segments")
-    groups = one.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("copies").alias("places")).where("places > 1")
-    member = shared.save(one.join(groups.drop("places"), "hash").where("copies > 1 or kinds > 1"), "shared-segments")
-    sought = F.collect_list(F.struct("hash", "segment", "place", "first", "last", "copies")).alias("wanted")
-
-    def with_texts(kinds: str) -> DataFrame:
-        rows = member.where(kinds).select("hash", "segment", "copies", "at.*").groupBy("digest").agg(sought)
-        return long.join(rows.hint("shuffle_hash"), "digest")
-
-    cut = with_texts(f"kinds between 2 and {dense}").mapInPandas(_cut(length), "hash long, segment binary, place long, copies long, bytes binary")
-    judged = cut.repartition("hash").sortWithinPartitions("hash", "segment").mapInPandas(_judge(length), VERDICTS).drop("hash")
-    if not member.where(F.col("kinds") > dense).isEmpty():
-        windows = shared.save(with_texts(f"kinds > {dense}").mapInPandas(_windows(length), "segment binary, start long, copies long, window binary"), "windows")
-        again = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-        starts = windows.where("copies = 1").join(again, "window", "left_semi").groupBy("segment").agg(F.collect_set("start").alias("firsts"))
-        judged = judged.unionByName(starts.withColumn("lasts", F.col("firsts")))
-    # a segment at two places is repeated as a whole; of the others the judged ones are, in part
-    whole = member.where("copies > 1").select("segment", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("firsts"), F.lit(None).cast("array<long>").alias("lasts"))
-    verdicts = shared.save(whole.unionByName(judged.select("segment", F.lit(False).alias("whole"), "firsts", "lasts")), "verdicts")
-    # a segment's digest holds its anchor's place and its bytes, and so its group; one join, whose skewed keys can be split
-    marked = found.select("digest", "segment", "first", "last").join(verdicts, "segment")
-    parts = F.when(F.col("whole"), F.array(F.struct(F.col("first"), F.col("last")))).otherwise(
-        F.transform(F.arrays_zip("firsts", "lasts"), lambda x: F.struct((x["firsts"] + F.col("first")).alias("first"), (x["lasts"] + F.col("first")).alias("last")))
-    )
-    ranges = marked.select("digest", F.explode(parts).alias("r")).groupBy("digest").agg(F.collect_list("r").alias("ranges"))
-    result = texts.join(ranges.hint("shuffle_hash"), "digest", "left").mapInPandas(_remove(length), RESULT)
-    result = shared.save(result.select("digest", "n_bytes", "n_removed", "n_spans", *[c.alias(k) for k, c in derive.items()]), "kept")
-    spark.sql(f"drop table {name}")
-    for x in (found, one, member, verdicts):
-        shared.drop(x)
+    work = _Work(spark)
+    try:
+        name = f"quire_texts_{uuid.uuid4().hex}"
+        work.tables.append(name)
+        texts = _distinct(docs, digest, content, name)
+        long = texts.where(F.octet_length("content") >= length)
+        found = work.save(long.mapInPandas(_segments(length), SEGMENTS), "segments")
+        member = _members(work, found, length)
+        judged = _merged(member.where((F.col("kinds") > 1) & (F.col("size") <= group_bytes)), long, length)
+        large = member.where((F.col("kinds") > 1) & (F.col("size") > group_bytes))
+        if not large.isEmpty():
+            judged = judged.unionByName(_dense(work, large, long, length, group_bytes, _block(length)))
+        verdicts = work.save(_whole(member).unionByName(judged.withColumn("whole", F.lit(False))), "verdicts")
+        # a segment's digest holds its anchor's place and its bytes, and so its group; one join, whose skewed keys can be split
+        marked = found.select("digest", "segment", "first", "last").join(verdicts, "segment")
+        ranges = marked.select("digest", F.explode(_ranges_of(F.col("first"), F.col("last"))).alias("r")).groupBy("digest").agg(F.collect_list("r").alias("ranges"))
+        result = texts.join(ranges.hint("shuffle_hash"), "digest", "left").mapInPandas(_remove(length), RESULT)
+        result = shared.save(result.select("digest", "n_bytes", "n_removed", "n_spans", *[c.alias(k) for k, c in derive.items()]), "kept")
+    finally:
+        work.clear()
     return docs.select(F.col(key), digest.alias("digest")).join(result, "digest").drop("digest")

@@ -34,9 +34,9 @@ def test_merged_transforms_are_in_order(depth):
     for i in range(0, 30, 10):
         own = strings[i : i + 10]
         shards.append(Shard(np.concatenate(own), np.array([len(s) for s in own]), depth))
-        texts.append([(tuple(s[j:].tolist()), i + k) for k, s in enumerate(own) for j in range(len(s) + 1)])
-    z, suffix, prefix = merge(shards, depth)
-    got = [texts[a][b] for a, b in zip(z.tolist(), suffix.tolist())]
+        texts += [(tuple(s[j:].tolist()), i + k) for k, s in enumerate(own) for j in range(len(s) + 1)]
+    places, prefix = merge(shards, depth)
+    got = [texts[i] for i in places.tolist()]
 
     def key(x):
         # a suffix that ends within the depth ends in its string's own sentinel
@@ -88,8 +88,9 @@ def test_made_up_texts(spark, length):
     expected = [(i if i % 5 else None, *x) for i, x in enumerate(plain(texts, length))]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert remove_repeats(docs.limit(0), length).count() == 0
-    dense = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(docs, length, dense=3).collect()]
-    assert sorted(dense, key=str) == sorted(expected, key=str)
+    for group_bytes in (1, 3 * length, 20 * length):
+        split = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeats(docs, length, group_bytes).collect()]
+        assert sorted(split, key=str) == sorted(expected, key=str)
 
 
 def test_whole_table(spark):
