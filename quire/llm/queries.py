@@ -52,7 +52,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(shared.table(spark, sf_dir, "pages"))
+    return judge(shared.table(spark, sf_dir, "pages"), html="html")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

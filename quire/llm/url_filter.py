@@ -1,8 +1,10 @@
 """URL filters: rules by host and path; host word segmentation and naive Bayes for what no rule decides.
 
-A unigram Viterbi search splits the labels of a host into words. A url whose host holds a seed word of the block list
-is a positive example, any other a negative one; over all urls that gives the token counts of a multinomial naive
-Bayes model, which scores the tokens of host and path.
+A unigram Viterbi search splits the labels of a host into words, as the urls and the pages' own texts have them. Urls
+that a rule of a named host decides are examples of its verdict; of the others, those whose host holds a seed word are
+examples to block and the rest, which nobody has judged, examples to allow. Over all urls that gives the token counts
+of a multinomial naive Bayes model, which scores the tokens of host and path and so blocks names that hold no seed but
+keep such company.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from . import shared
 
 #: Fixed values: (verdict, host, path) of the rules that the query applies.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Words that mark a host as one to block.
-BLOCK_WORDS = frozenset("ads adult bet bets betting bonus casino cheap clickbait coupons crack escort escorts farm free hentai jackpot keygen loan loans lottery naked nude payday phishing pills poker porn seo sex slots spam torrent torrents track tracker viagra warez win xxx".split())
-#: Seed words that block by themselves; the other block words do in pairs.
-STRONG = frozenset("adult bets betting casino clickbait crack escort escorts hentai jackpot keygen lottery naked nude payday phishing pills poker porn sex slots spam torrent torrents viagra warez xxx".split())
+#: Words by which lists of hosts to block name their kinds: the seeds of the examples.
+SEEDS = frozenset("adult casino dating drugs escort gambling hacking lottery malware phishing poker porn sex spam torrent viagra warez xxx".split())
 #: Common words of names, so that the split of a name knows more than what the corpus holds.
 PLAIN_WORDS = frozenset("about account app archive art blog book books business care center city club community company data daily design digital education example family files food forum games garden global group guide health help history home host house info journal lab learn library life live local mail market media mobile music net network news online open page paper park people photo press project radio report research school science search service shop site social software sport state store story studio support team tech times today tools travel university video weather web wiki work world".split())
+#: How often a seed or a common word counts, besides what the corpus says.
+GIVEN = 1000
 #: A word's letters at most, in the split of a name.
 LONGEST = 24
+#: What is between words.
+BETWEEN = "[^0-9a-z\u0080-\U0010ffff]"
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
@@ -68,15 +72,10 @@ class Model:
         if got is None:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            got = self.memo[host] = [w for part in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", host) if part for w in split_name(part, self.logs, self.total)]
+            got = self.memo[host] = [w for part in re.split(f"{BETWEEN}+", host) if part for w in split_name(part, self.logs, self.total)]
         return got
 
 
-def seeded(words: Column) -> Column:
-    """Whether a host's words mark it as one to block: a strong one, or two block words."""
-    return F.exists(words, lambda w: w.isin(*sorted(STRONG))) | (F.size(F.filter(words, lambda w: w.isin(*sorted(BLOCK_WORDS)))) > 1)
-
-
 def fit_rules(rules) -> dict[str, list[tuple[str, str, str]]]:
     by: dict[str, list[tuple[str, str, str]]] = {}
     for verdict, host, path in rules:
@@ -84,13 +83,14 @@ def fit_rules(rules) -> dict[str, list[tuple[str, str, str]]]:
     return by
 
 
-def rule_of(host: str, path: str, by: dict[str, list[tuple[str, str, str]]]) -> tuple[str, str] | None:
-    """The longest rule whose host is the url's or a parent of it and whose path begins the url's; ties in text order."""
+def rule_of(host: str, path: str, by: dict[str, list[tuple[str, str, str]]]) -> tuple[str, str, str | None] | None:
+    """The longest rule whose host is the url's or a parent of it and whose path begins the url's; ties in text order. Its text, its verdict, and that verdict again if it names a host below a top domain."""
     found, at = [], 0
     while host and at >= 0:
-        found += [(-len(rule), rule, verdict) for p, rule, verdict in by.get(host[at:], ()) if path.startswith(p)]
+        named = "." in host[at:]
+        found += [(-len(rule), rule, verdict, verdict if named else None) for p, rule, verdict in by.get(host[at:], ()) if path.startswith(p)]
         at = host.find(".", at) + 1 or -1
-    return min(found)[1:] if found else None
+    return min(found, key=lambda x: x[:3])[1:] if found else None
 
 
 def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,36 +115,41 @@ def _read(by):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [rule_of(h, p, by) or (None, None) for h, p in zip(b["host"], b["path"], strict=True)]
-            tokens = [[f"p:{w}" for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", p.lower()) if w and not w.isdigit()] for p in b["path"]]
-            yield b.assign(rule=[r for r, _ in found], ruled=[v for _, v in found], path_tokens=tokens)
+            found = [rule_of(h, p, by) or (None, None, None) for h, p in zip(b["host"], b["path"], strict=True)]
+            tokens = [[f"p:{w}" for w in re.split(f"{BETWEEN}+", p.lower()) if w and not w.isdigit()] for p in b["path"]]
+            rule, ruled, taught = zip(*found, strict=True) if found else ((), (), ())
+            yield b.assign(rule=rule, ruled=ruled, taught=taught, path_tokens=tokens)
 
     return run
 
 
-def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, key: str = "page_id", url: str = "url", html: str | None = None) -> DataFrame:
     """(key, host, path, rule, verdict, log_odds) of each row.
 
     rule and verdict are those of the longest rule that fits; without one, rule is null and the verdict is the model's:
     block where its log odds are above 0. Null urls and urls without :// have an empty host and path, which no rule
-    fits and the prior decides: allow. Rows may repeat. Counts cover all rows and all words and tokens, which stay
-    tables: a name is split with those of the words that it holds. An empty table gives an empty table.
+    fits and the prior decides. html: the column of pages' texts, from which words are counted too; null ones have
+    none. Rows may repeat. Counts cover all rows and all words and tokens, which stay tables: a name is split with those
+    of the words that it holds. An empty table gives an empty table.
     """
     spark = pages.sparkSession
     shared.prepare(spark)
     host, path = parts(url)
     rows = pages.select(key, host.alias("host"), path.alias("path"))
-    # words of names: parts of a path, and parts of a host that it separates by hyphens
+    # words of names: parts of a path, parts of a host that it separates by hyphens, and words of texts
     hyphened = F.flatten(F.transform(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "-")))
-    words = rows.select(F.explode(F.concat(F.split(F.lower("path"), "[^0-9a-z\u0080-\U0010ffff]+"), hyphened)).alias("word"))
-    words = words.where(r"length(word) between 2 and 24 and not word rlike '^[0-9]+$'").groupBy("word").agg(F.count("*").alias("n"))
-    given = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in sorted(BLOCK_WORDS | PLAIN_WORDS)])).alias("word"), F.lit(1000).cast("long").alias("n"))
+    words = rows.select(F.explode(F.concat(F.split(F.lower("path"), f"{BETWEEN}+"), hyphened)).alias("word"))
+    if html is not None:
+        seen_text = F.regexp_replace(F.col(html).cast("string"), r"<[^>]*+>", " ")
+        words = words.union(pages.select(F.explode(F.split(F.lower(seen_text), f"{BETWEEN}+")).alias("word")))
+    words = words.where(rf"length(word) between 2 and {LONGEST} and not word rlike '^[0-9]+$'").groupBy("word").agg(F.count("*").alias("n"))
+    given = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in sorted(set(seeds) | PLAIN_WORDS)])).alias("word"), F.lit(GIVEN).cast("long").alias("n"))
     words = shared.save(words.union(given).groupBy("word").agg(F.sum("n").alias("n")), "url-words")
     total = float(words.agg(F.sum("n")).first()[0])
     urls = rows.groupBy("host", "path").agg(F.count("*").alias("times"))
-    read = urls.mapInPandas(_read(fit_rules(rules)), "host string, path string, times long, rule string, ruled string, path_tokens array<string>")
+    read = urls.mapInPandas(_read(fit_rules(rules)), "host string, path string, times long, rule string, ruled string, taught string, path_tokens array<string>")
     urls = shared.save(read, "urls")
-    labels = urls.select("host").distinct().select("host", F.posexplode(F.split("host", "[^0-9a-z\u0080-\U0010ffff]+")).alias("at", "label")).where("label <> ''")
+    labels = urls.select("host").distinct().select("host", F.posexplode(F.split("host", f"{BETWEEN}+")).alias("at", "label")).where("label <> ''")
     labels = shared.save(labels, "url-labels")
     names = labels.select("label").distinct()
     known = names.mapInPandas(_substrings, "label string, word string").join(words, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
@@ -154,11 +159,15 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url")
     none = F.array().cast("array<string>")
     urls = urls.join(by_host, "host", "left").withColumn("words", F.coalesce("words", none))
     tokens = F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), "path_tokens")
-    urls = shared.save(urls.select("host", "path", "times", "rule", "ruled", seeded(F.col("words")).alias("bad"), tokens.alias("tokens")), "url-tokens")
+    seeded = F.exists("words", lambda w: w.isin(*sorted(seeds))) if seeds else F.lit(False)
+    bad = F.when(F.col("taught").isNull(), seeded).otherwise(F.col("taught") == "block")
+    urls = shared.save(urls.select("host", "path", "times", "rule", "ruled", bad.alias("bad"), tokens.alias("tokens")), "url-tokens")
+    bad_times = F.sum(F.when(F.col("bad"), F.col("times")).otherwise(0))
+    bad_urls, n_urls = urls.agg(F.coalesce(bad_times, F.lit(0)), F.coalesce(F.sum("times"), F.lit(0))).first()
+    prior = math.log((bad_urls + 1) / (n_urls - bad_urls + 1))
     seen = urls.select("times", "bad", F.explode("tokens").alias("token")).groupBy("token")
-    seen = shared.save(seen.agg(F.sum("times").alias("n"), F.sum(F.when(F.col("bad"), F.col("times")).otherwise(0)).alias("bad")), "url-counts")
+    seen = shared.save(seen.agg(F.sum("times").alias("n"), bad_times.alias("bad")), "url-counts")
     all_bad, all_n, v = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*") + 1).first()
-    prior = min(math.log((all_bad + 1) / (all_n - all_bad + 1)) if all_n else -1.0, -1.0)
     odds = seen.select("token", (F.log((F.col("bad") + 1) / F.lit(float(all_bad + v))) - F.log((F.col("n") - F.col("bad") + 1) / F.lit(float(all_n - all_bad + v)))).alias("odds"))
     placed = urls.select("host", "path", F.posexplode("tokens").alias("at", "token")).join(odds, "token")
     # summed in the tokens' order, so that a score is the same in every run

@@ -1,33 +1,84 @@
-"""URL filter: its models hold all words and tokens, whatever their number."""
+"""URL filter: splits against all splits, scores against a plain naive Bayes, whatever the number of words and tokens."""
 
 import collections
+import itertools
 import math
+import random
 import re
 
 import pytest
 
-from quire.llm.url_filter import BLOCK_WORDS, PLAIN_WORDS, STRONG, Model, judge
+from quire.llm.url_filter import GIVEN, PLAIN_WORDS, RULES, SEEDS, Model, judge, split_name
 
+from .test_native import plain_rule
 
-def test_no_token_is_cut(spark):
-    hosts = ["therin.example.info", "casino-win.info", "rarely-blocked.info"]
-    rows = [(i, f"http://{hosts[i % 3]}/a{i}x/b{i}y/{'once' if i == 1 else 'more'}") for i in range(30_000)]
-    parts = [re.match("http://([^/]*)(.*)", u).groups() for _, u in rows]
-    words = collections.Counter({w: 1000 for w in BLOCK_WORDS | PLAIN_WORDS})
-    for h, p in parts:
-        words.update(w for x in h.split(".") if "-" in x for w in x.split("-"))
-        words.update(w for w in p.split("/") if w)
-    model, n, bad, tokens = Model(words), collections.Counter(), collections.Counter(), []
-    for h, p in parts:
+
+def plain_scores(urls, texts=()):
+    """Log odds of each url."""
+    parts = [plain_rule(u) for u in urls]
+    words = collections.Counter({w: GIVEN for w in SEEDS | PLAIN_WORDS})
+    for h, p, _, _ in parts:
+        words.update(w for x in h.split(".") if "-" in x for w in x.split("-") if 2 <= len(w) <= 24 and not w.isdigit())
+        words.update(w for w in re.split("[^0-9a-z]+", p.lower()) if 2 <= len(w) <= 24 and not w.isdigit())
+    for t in texts:
+        words.update(w for w in re.split("[^0-9a-z]+", t.lower()) if 2 <= len(w) <= 24 and not w.isdigit())
+    model, n, bad, tokens, bad_urls = Model(words), collections.Counter(), collections.Counter(), [], 0
+    for h, p, rule, verdict in parts:
         split = model.host(h)
-        tokens.append([f"h:{w}" for w in split] + [f"p:{w}" for w in p.split("/") if w])
+        tokens.append([f"h:{w}" for w in split] + [f"p:{w}" for w in re.split("[^0-9a-z]+", p.lower()) if w and not w.isdigit()])
         n.update(tokens[-1])
-        if any(w in STRONG for w in split):
+        named = rule is not None and "." in rule.split("/")[0]
+        if verdict == "block" if named else any(w in SEEDS for w in split):
             bad.update(tokens[-1])
-    assert len(n) > 60_000
+            bad_urls += 1
     a, b, v = sum(bad.values()), sum(n.values()), len(n) + 1
-    prior = min(-1.0, math.log((a + 1) / (b - a + 1)))
-    got = {r["page_id"]: r["log_odds"] for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert len(got) == len(rows)
-    for i in range(0, len(rows), 97):
-        assert got[i] == pytest.approx(prior + sum(math.log((bad[t] + 1) / (a + v)) - math.log((n[t] - bad[t] + 1) / (b - a + v)) for t in tokens[i]))
+    odds = {t: math.log((bad[t] + 1) / (a + v)) - math.log((n[t] - bad[t] + 1) / (b - a + v)) for t in n}
+    return [math.log((bad_urls + 1) / (len(urls) - bad_urls + 1)) + sum(odds[t] for t in x) for x in tokens], len(n)
+
+
+def test_no_token_is_cut(spark):
+    hosts = ["therin.example.info", "casino-win.info", "rarely-blocked.info"]
+    urls = [f"http://{hosts[i % 3]}/a{i}x/b{i}y/{'once' if i == 1 else 'more'}" for i in range(30_000)]
+    expected, kinds = plain_scores(urls)
+    assert kinds > 60_000
+    got = {r["page_id"]: r["log_odds"] for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == len(urls) and all(got[i] == pytest.approx(x) for i, x in enumerate(expected))
+
+
+def test_scores_of_a_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    expected, _ = plain_scores([r["url"] for r in pages], [re.sub("<[^>]*>", " ", r["html"]) for r in pages if r["html"].isascii()])
+    df = spark.createDataFrame([(i, r["url"], r["html"] if r["html"].isascii() else None) for i, r in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in judge(df, html="html").collect()}
+    for i, r in enumerate(pages):
+        verdict = plain_rule(r["url"])[3] or ("block" if expected[i] > 0 else "allow")
+        assert got[i]["log_odds"] == pytest.approx(expected[i]) and got[i]["verdict"] == verdict
+
+
+def test_splits_are_the_best_of_all():
+    rng = random.Random(8)
+    for _ in range(60):
+        words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): rng.randint(1, 50) for _ in range(8)}
+        total = float(sum(words.values()))
+        logs = {w: math.log(n / total) for w, n in words.items()}
+        cost = lambda w: logs.get(w, math.log(10.0 / total) - len(w) * math.log(10.0))
+        name = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        every = [[name[i:j] for i, j in itertools.pairwise((0, *c, len(name)))] for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k)]
+        got = split_name(name, logs, total)
+        assert "".join(got) == name and sum(map(cost, got)) == pytest.approx(max(sum(map(cost, x)) for x in every))
+
+
+def test_words_in_no_list_are_blocked_by_their_company(spark):
+    names = ["casino-zorbo", "poker-zorbo", "zorbomania", "zorbo", "meadow-zine", "meadowzine", "zine", "meadow"]
+    assert not {"zorbo", "mania", "meadow", "zine"} & (SEEDS | PLAIN_WORDS)
+    urls = [f"http://www.{n}.info/{k}" for n in names for k in range(3 if n.startswith("zorbo") else 20)] + [f"http://{w}.info/x" for w in sorted(PLAIN_WORDS)]
+    urls += ["http://blocked.hiddenfarm.biz/1", "http://hiddenfarm.biz/2", "http://other.biz/1", "http://hiddenfarm.biz/ok/3"] * 20
+    rules = (*RULES, ("block", "hiddenfarm.biz", "/"), ("allow", "hiddenfarm.biz", "/ok/"))
+    got = {r["host"]: r["verdict"] for r in judge(spark.createDataFrame(list(enumerate([*urls, "http://hiddenfarm.shop/"])), "page_id long, url string"), rules).where("rule is null").collect()}
+    assert {h for h, v in got.items() if v == "block"} == {*(f"www.{n}.info" for n in names if "zorbo" in n), "hiddenfarm.shop"}
+
+
+def test_no_seeds_and_no_rows_to_learn_from(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "nothing", None)], "page_id long, url string, html string")
+    assert [r["verdict"] for r in judge(df, seeds=(), html="html").collect()] == ["allow"] * 2
+    assert judge(df.limit(0), html="html").count() == 0
