@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,72 +200,73 @@ COMPARED = (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fing
 
 
 def _compare(ranks: np.ndarray, key: str):
+    """Of each pair of neighbours in a partition the first gives a row (end 0); the partition's first and last texts follow (end 1 and 2)."""
+
     def rows(group: list[tuple]) -> pd.DataFrame:
-        """group: (bucket, key, text, extra); of each pair of neighbours the first gives a row."""
-        prints = [_filters(h) for h in features([g[2].encode("utf-8", "surrogatepass") for g in group], ranks)]
-        pairs = [(i, i + 1) for i in range(len(group) - 1) if not group[i][3] and group[i][0] == group[i + 1][0]]
-        changed = [edited(group[i][2], group[j][2]).encode("utf-8", "surrogatepass") for i, j in pairs]
-        changed_prints = [_filters(h) for h in features(changed, ranks)]
-        out = [
-            (group[i][1], len(group[i][2]), hashlib.sha256(c).hexdigest(), encoded(*prints[i]), encoded(*p), likeness(prints[i], p), likeness(prints[i], prints[j]))
-            for (i, j), c, p in zip(pairs, changed, changed_prints, strict=True)
-        ]
-        return pd.DataFrame(out, columns=[key, *(c for c, _ in COMPARED)])
+        return _rows(ranks, key, group, [t for _, t in group[1:]]).assign(part=0, end=0, content=None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple] = []
+        kept, first = [], None
         for batch in batches:
             for b in shared.by_bytes(batch, "content", 2_000_000):
-                now = kept + list(zip(b["bucket"].tolist(), b["key"], b["content"], b["extra"].tolist(), strict=True))
+                now = kept + list(zip(b["key"], b["content"], strict=True))
+                first = first or now[0]
                 yield rows(now)
                 kept = now[-1:]
+        if kept:
+            ends = pd.DataFrame({key: [first[0], kept[0][0]], "n_chars": 0, "edited_sha256": None, "fingerprint": None, "edited_fingerprint": None, "near_edited": 0.0, "near_next": 0.0})
+            yield ends.assign(part=TaskContext.get().partitionId(), end=[1, 2], content=[first[1], kept[0][1]])
+
+    return run
+
+
+def _rows(ranks: np.ndarray, key: str, group: list[tuple[str | None, str]], following: list[str]) -> pd.DataFrame:
+    """A row for each (key, text) of group that has a following text; more of the group only lend their fingerprints."""
+    texts = [t for _, t in group]
+    prints = [_filters(h) for h in features([t.encode("utf-8", "surrogatepass") for t in [*texts, *following[len(texts) - 1 :]]], ranks)]
+    changed = [edited(t, after).encode("utf-8", "surrogatepass") for t, after in zip(texts, following)]
+    changed_prints = [_filters(h) for h in features(changed, ranks)]
+    out = [
+        (group[i][0], len(texts[i]), hashlib.sha256(c).hexdigest(), encoded(*prints[i]), encoded(*p), likeness(prints[i], p), likeness(prints[i], prints[i + 1]))
+        for i, (c, p) in enumerate(zip(changed, changed_prints, strict=True))
+    ]
+    return pd.DataFrame(out, columns=[key, *(c for c, _ in COMPARED)])
+
+
+def _close(ranks: np.ndarray, key: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, text, after in zip(batch["key"], batch["content"], batch["following"], strict=True):
+                yield _rows(ranks, key, [(k, text)], [after])
 
     return run
 
 
-def compare_with_edits(docs: DataFrame, bucket_rows: int = 500, most_buckets: int = 8192, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_with_edits(docs: DataFrame, parts: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row with its text's fingerprint, that of its edited text, and how like they and the next row's are.
 
     The next row is the one of the next smaller key, after the last the first; null keys come last, equal keys in the
     order of their texts' digests. Columns: key (a long), n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. Null text counts as empty. A single row is its own next. An empty table gives none.
 
-    Keys are cut at quantiles into at most most_buckets buckets; each is a sorted run of rows in one task, which reads
-    it as a stream, and gets a copy of the first row of the next bucket, so that texts are moved once.
+    Rows are sorted by ranges of key and digest (parts of them; by default as many as the session's shuffles have), so
+    a key that many rows share is dealt to several tasks, which read their rows as streams and move each text once.
+    A task also writes its first and last text; from those, two for each task, come the rows that cross from one range
+    to the next.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
     ranks = entropy_ranks(docs, text)
-    least = -(1 << 63)
     rows = docs.select(F.col(key).cast("long").alias("key"), shared.text_or_empty(text).alias("content"))
-    rows = rows.withColumn("order", F.coalesce("key", F.lit(least)))
-    n = docs.select(F.lit(1)).count()
-    count = max(1, min(most_buckets, -(-n // bucket_rows)))
-    cuts: list[int] = []
-    if count > 1:
-        shares = F.array(*[F.lit(i / count) for i in range(1, count)])
-        got = docs.select(F.percentile_approx(F.coalesce(F.col(key).cast("long"), F.lit(least)), shares, F.lit(20 * count))).first()[0]
-        cuts = sorted(set(got or []))
-    # bucket 0 holds the greatest keys: the number of cuts above the key, by bisection
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(cuts, reverse=True)]) if cuts else F.array().cast("array<bigint>")
-    steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length())))
-
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        above = F.get(bounds, mid) >= F.col("order")
-        go = acc["lo"] < acc["hi"]
-        return F.struct(F.when(go & above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(go & ~above, mid).otherwise(acc["hi"]).alias("hi"))
-
-    bucket = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda acc: acc["lo"]) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket).withColumn("digest", F.md5("content"))
-    # the first of a bucket: the greatest key, then the least digest
-    first = rows.groupBy("bucket").agg(F.max("order").alias("order"), F.max_by("digest", F.struct("order", F.translate("digest", "0123456789abcdef", "fedcba9876543210"))).alias("digest"))
-    heads = sorted((r["bucket"], r["order"], r["digest"]) for r in first.collect())
-    given = [(heads[i - 1][0], h[1], h[2]) for i, h in enumerate(heads)]
-    schema = "into int, order long, digest string"
-    # one row for each bucket: most_buckets at most
-    extra = rows.drop("bucket").join(F.broadcast(spark.createDataFrame(given, schema)), ["order", "digest"]).withColumnRenamed("into", "bucket")
-    both = rows.withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
-    both = both.repartition(F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("order"), "digest").select("bucket", shared.key_text("key"), "content", "extra")
+    order = (F.coalesce("key", F.lit(-(1 << 63))).desc(), F.col("key").desc_nulls_last(), F.md5("content"))
+    dealt = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).select(shared.key_text("key"), "content")
     out = T.StructType([T.StructField(key, T.StringType()), *(T.StructField(c, kind) for c, kind in COMPARED)])
-    return both.mapInPandas(_compare(ranks, key), out).withColumn(key, F.col(key).cast("long"))
+    more = [T.StructField("part", T.LongType()), T.StructField("end", T.IntegerType()), T.StructField("content", T.StringType())]
+    held = shared.save(dealt.mapInPandas(_compare(ranks, key), T.StructType(out.fields + more)), "neighbours")
+    # one row for each task that had rows
+    first = held.where("end = 1").select("part", F.col("content").alias("following"))
+    parted = Window.orderBy("part")
+    after = first.select("part", F.coalesce(F.lead("part").over(parted), F.first("part").over(parted)).alias("next"))
+    last = held.where("end = 2").select(F.col(key).alias("key"), "content", "part").join(after, "part")
+    crossing = last.join(first.withColumnRenamed("part", "next"), "next").select("key", "content", "following").mapInPandas(_close(ranks, key), out)
+    return held.where("end = 0").select(*out.names).union(crossing).withColumn(key, F.col(key).cast("long"))

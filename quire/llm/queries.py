@@ -131,7 +131,7 @@ filled as (select *, list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\
 counts as (select source, line, count(*) as pages from (select source, unnest(list_distinct(f)) as line from filled) group by source, line),
 totals as (select source, count(*) as total from documents group by source),
 common as (select c.source, list(line) as common from counts c join totals t on c.source is not distinct from t.source
-           where pages >= 5 and pages > total * cast(0.1 as double) group by c.source),
+           where pages > 1 and pages > total * cast(0.1 as double) group by c.source),
 kept as (select f.*, list_filter(all_lines, lambda x: not (regexp_matches(x, '[^\x20\x09-\x0D]') and coalesce(list_contains(common, x), false))) as k
          from filled f left join common c on f.source is not distinct from c.source)
 select doc_id, source, cast(coalesce(len(f), 0) as bigint) as n_lines, cast(coalesce(len(all_lines) - len(k), 0) as bigint) as n_dropped,

@@ -20,8 +20,6 @@ from . import shared
 
 #: Labelled rows that the classifier is fit on at most: those of the smallest key hashes.
 SAMPLE_ROWS = 30_000
-#: Entries of the lexicon at most, by the toxic rows that hold them.
-LEXICON = 20_000
 #: Letters of a word's beginning: words shorter than the first count whole.
 STEMS = (4, 6)
 WORD = re.compile(r"[^\W\d_]+")
@@ -238,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, key:
     begun = F.array_distinct(F.flatten(F.transform(words, lambda w: F.filter(F.array(F.substring(w, 1, STEMS[0]), F.when(F.length(w) >= STEMS[1], F.substring(w, 1, STEMS[1]))), lambda s: s.isNotNull()))))
     counted = rows.select("label", F.explode(begun).alias("stem")).groupBy("stem").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     # what cannot reach the least confidence is left where it is
-    counted = counted.where((F.col("toxic") >= 2) & (F.col("toxic") > (F.col("toxic") + F.col("clean")) * min(0.9, base + 0.1))).orderBy(F.desc("toxic"), "stem").limit(LEXICON)
+    counted = counted.where((F.col("toxic") >= 2) & (F.col("toxic") > (F.col("toxic") + F.col("clean")) * min(0.9, base + 0.1)))
+    # a word of the sample's rows, which are sample_rows at most, and in two toxic ones of them at least
     lexicon = Lexicon({r["stem"]: (r["toxic"], r["clean"]) for r in counted.collect()}, base)
     if not 0 < total["bad"] < total["n"]:
         return Model(lexicon, None, None, float(base))

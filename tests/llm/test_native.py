@@ -65,7 +65,7 @@ def test_line_dedup_of_odd_rows(spark):
     lines = "\n".join(f"own {i}" for i in range(2000))
     rows = [(i, f"menu\n\nown {i}\nmenu", "h", 5) for i in range(9)] + [(None, None, "h", 5), (20, "", None, 5), (21, "menu", None, 5), (22, lines, "k", 5), (23, "menu\n\n", "h", 5), (23, "menu\n\n", "h", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int")
-    got = drop_common_lines(df, ratio=0.5, min_pages=3).collect()
+    got = drop_common_lines(df, ratio=0.5).collect()
     assert len(got) == len(rows)
     by = {(r["doc_id"], r["source"]): (r["text"], r["n_lines"], r["n_dropped"]) for r in got}
     assert by[4, "h"] == ("\nown 4", 3, 2) and by[None, "h"] == (None, 0, 0) and by[20, None] == ("", 0, 0)
@@ -73,6 +73,12 @@ def test_line_dedup_of_odd_rows(spark):
     assert drop_common_lines(df.limit(0)).count() == 0
 
 
+def test_the_ratio_alone_decides_in_small_hosts(spark):
+    rows = [(1, "a\nb", "one"), (2, "a\nb", "two"), (3, "a\nc", "two"), *((i, "x\ny\n" + str(i), "few") for i in range(4, 7)), (7, "y", "few"), (8, "z", "few")]
+    got = {r["doc_id"]: r["text"] for r in drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), ratio=0.6).collect()}
+    assert got == {1: "a\nb", 2: "b", 3: "c", 4: "x\n4", 5: "x\n5", 6: "x\n6", 7: "", 8: "z"}
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b\nc", "x", "p", "q", "r"), (2, "d", None, "s", None, "u")], "doc_id long, text string, source string, common string, line string, level string")
     for out in (drop_common_lines(df).drop("n_lines", "n_dropped"), mix(df).drop("size", "source_size", "target", "taken")):

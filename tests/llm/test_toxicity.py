@@ -47,8 +47,42 @@ def test_labels_of_one_kind_or_none(spark):
 
 def test_isotonic_is_the_least_squares_monotone_fit():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=60)
-    y = (rng.random(60) < 1 / (1 + np.exp(-x))).astype(float)
-    f = toxicity.Isotonic().fit(x, y)
-    assert (np.diff(f(np.sort(x))) >= 0).all()
-    assert abs(f.y.mean() - y.mean()) < 0.5 and abs(f(x).mean() - y.mean()) < 0.1
+    for n in (1, 2, 9, 60):
+        x = rng.normal(size=n)
+        y = (rng.random(n) < 1 / (1 + np.exp(-x))).astype(float)
+        f = toxicity.Isotonic().fit(x, y)
+        assert (np.diff(f(np.sort(x))) >= 0).all()
+        y = y[np.argsort(x)]
+        # the least squares fit: at each place the greatest of the least means of what begins before and ends after it
+        best = [max(min(y[i : j + 1].mean() for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+        assert f.y == pytest.approx(np.unique(np.round(best, 12)))
+
+
+def test_splits_gain_most_of_all():
+    rng = np.random.default_rng(2)
+    for _ in range(10):
+        x = np.round(rng.normal(size=(80, 4)), 1)
+        y = (x[:, 1] + rng.normal(size=80) > 0).astype(float)
+        t = toxicity.Trees(trees=1, depth=1).fit(x, y)
+        g, h = y - y.mean(), np.full(80, y.mean() * (1 - y.mean()))
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + t.least)
+        every = {}
+        for j in range(4):
+            for c in t.cuts[j]:
+                right = x[:, j] >= c
+                if min(right.sum(), (~right).sum()) >= t.leaf_rows:
+                    every[j, c] = gain(right) + gain(~right)
+        (splits,), leaves = t.nodes[0]
+        j, k = splits[0]
+        right = x[:, j] >= t.cuts[j][k - 1]
+        assert gain(right) + gain(~right) == pytest.approx(max(every.values()))
+        assert leaves == pytest.approx([g[m].sum() / (h[m].sum() + t.least) for m in (~right, right)])
+        assert t.raw(x) == pytest.approx(t.start + t.rate * leaves[right.astype(int)])
+
+
+def test_the_lexicon_holds_all_words_of_the_sample(spark):
+    letters = "abcdefghijklmnop"
+    name = lambda i: "".join(letters[i >> 4 * k & 15] for k in range(4))
+    docs = spark.createDataFrame([(d, " ".join(name(i) for i in range(25_000)) if d < 2 else "q r s") for d in range(8)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(d, int(d < 2)) for d in range(8)], "doc_id long, toxic int"))
+    assert len(model.lexicon.all) == 25_000
