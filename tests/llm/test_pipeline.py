@@ -10,7 +10,7 @@ import corpus_pipeline
 from quire.llm import toxicity
 from quire.llm.queries import held_out
 
-from .test_simhash import groups, plain_fingerprint
+from .test_similar import plain_ids
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,9 +50,8 @@ def test_common_lines_go(outputs):
 
 
 def test_one_of_each_group_stays(outputs):
-    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in outputs[2]}
-    least = {v: min(d for d, p in prints.items() if p in g) for g in groups(set(prints.values()), 3) for v in g}
-    assert sorted(r["doc_id"] for r in outputs[3]) == sorted(d for d, p in prints.items() if least[p] == d)
+    ids = plain_ids({r["doc_id"]: r["text"] for r in outputs[2]})
+    assert sorted(r["doc_id"] for r in outputs[3]) == sorted(d for d, i in ids.items() if d == i)
 
 
 def plain_targets(sizes, share=1.5, epochs=2):
