@@ -29,9 +29,11 @@ def main(args: list[str] | None = None) -> int:
             p.add_argument("--sharpen", type=float, default=0.0)
             p.add_argument("--pages", dest="selection", default="all")
             p.add_argument("--dpi", type=int, default=150)
+            p.add_argument("--mode", choices=("auto", "color", "gray", "mono"), default="auto")
+            p.add_argument("--encoder", default="jpeg")
     got = parser.parse_args(args)
     from quire.operators import rules
-    from quire.sources.adapters import VALUES
+    from quire.sources.adapters import LANGUAGES
 
     if got.command in ("version", "langs", "encoders", "presets", "filters", "queries"):
         if got.command == "queries":
@@ -39,7 +41,7 @@ def main(args: list[str] | None = None) -> int:
 
             said = sorted(queries.QUERIES)
         else:
-            said = {"version": "1", "langs": VALUES["languages"][1], "encoders": list(rules.FALLBACKS), "presets": ["auto", "bw", "color", "contrast", "original"], "filters": ["crop", "deskew", "descreen", "bg_remove", "preset", "sharpen"]}[got.command]
+            said = {"version": "1", "langs": LANGUAGES, "encoders": list(rules.FALLBACKS), "presets": ["auto", "bw", "color", "contrast", "original"], "filters": ["crop", "deskew", "descreen", "bg_remove", "preset", "sharpen"]}[got.command]
         print(json.dumps(said, ensure_ascii=False))
         return 0
     if got.command is None:
@@ -62,12 +64,14 @@ def main(args: list[str] | None = None) -> int:
         jobs.report(pages).write.json(got.out)
         return 0
     spec = {"preset": got.preset, "strength": got.bg_strength, "deskew": got.deskew, "descreen": got.descreen, "bg_remove": got.bg_remove, "sharpen": got.sharpen}
-    counts = pages.groupBy("doc").agg((F.max("page_no") + 1).cast("int").alias("total"))
-    chosen = counts.select("doc", F.explode(text.parse_selection(F.lit(got.selection), F.col("total"))).alias("page_no"))
+    # a page is in a selection or not whatever its document's length, so the longest one's will do
+    longest = pages.agg((F.max("page_no") + 1).cast("int")).first()[0] or 0
+    chosen = F.array_contains(text.parse_selection(F.lit(got.selection), F.lit(longest)), F.col("page_no").cast("int"))
     if got.command == "process":
+        spec["compress"] = {"mode": got.mode, "adaptive": got.mode == "auto", "encoder": got.encoder}
         jobs.process(pages, spec, got.dpi, chosen).write.parquet(got.out)
     else:
-        jobs.preview(pages.join(chosen, ["doc", "page_no"], "left_semi"), spec).write.parquet(got.out)
+        jobs.preview(pages.where(chosen), spec, longest).write.parquet(got.out)
     return 0
 
 

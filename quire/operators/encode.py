@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.shipping import ship
+from quire.operators import kernels
 
 ADLER = 65521
 
@@ -31,8 +32,26 @@ def signature(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def signatures(rows: list[bytes]) -> np.ndarray:
+    """signature() of many, a byte of all of them at a time."""
+    order = np.argsort([-len(b) for b in rows], kind="stable")
+    sizes = np.array([len(rows[i]) for i in order], dtype=np.int64)
+    h = np.full(len(rows), 0xCBF29CE484222325, dtype=np.uint64)
+    whole = np.zeros((len(rows), int(sizes[0]) if len(rows) else 0), dtype=np.uint8)
+    for k, i in enumerate(order):
+        whole[k, : sizes[k]] = np.frombuffer(rows[i], dtype=np.uint8)
+    # the longest first, so those that still have a byte are the first few
+    live = np.searchsorted(-sizes, -np.arange(1, whole.shape[1] + 1), side="right")
+    with np.errstate(over="ignore"):
+        for at, n in enumerate(live.tolist()):
+            h[:n] = (h[:n] ^ whole[:n, at]) * np.uint64(0x100000001B3)
+    out = np.empty(len(rows), dtype=np.int64)
+    out[order] = h.view(np.int64)
+    return out
+
+
 def pixel_signature(column):
-    return F.pandas_udf(lambda s: s.map(lambda b: signature(bytes(b))), "long")(column)
+    return F.pandas_udf(lambda s: s.__class__(signatures([bytes(b) for b in s])), "long")(column)
 
 
 def predicted_rows(page: np.ndarray, bytes_per_pixel: int = 1) -> bytes:
@@ -74,6 +93,75 @@ def flate(page: np.ndarray, predictor: bool = True) -> bytes:
     return zlib.compress(predicted_rows(page, channels) if predictor else page.tobytes(), 9)
 
 
+def packed(page: np.ndarray, threshold: int, white_pad: bool = True) -> bytes:
+    """A 1-bit plane: 1 is white and so are missing bits, or 1 is ink and they are not."""
+    bits = (page > threshold) if white_pad else (page <= threshold)
+    pad = -bits.shape[1] % 8
+    return np.packbits(np.pad(bits, ((0, 0), (0, pad)), constant_values=white_pad), axis=1).tobytes()
+
+
+def layers(page: np.ndarray) -> dict | None:
+    """A page's ink as a 1-bit mask of one colour over a background of a third of its size; none where the mask is of no use."""
+    g = kernels.gray(page)
+    threshold, ink = kernels.otsu(g)
+    if not 0.001 < ink < 0.45:
+        return None
+    dark = g <= threshold
+    rgb = page if page.ndim == 3 else page[..., None]
+    color = [min(0.35, float(rgb[..., min(c, rgb.shape[2] - 1)][dark].mean()) / 255 * 0.85) for c in range(3)]
+    paper = rgb[~dark].reshape(-1, rgb.shape[2]).mean(axis=0)
+    back = np.where(dark[..., None], np.floor(paper + 0.5).astype(np.uint8), rgb)
+    back = kernels.resize(back if page.ndim == 3 else back[..., 0], max(1, page.shape[0] // 3), max(1, page.shape[1] // 3))
+    return {"stream": flate(back), "back_width": back.shape[1], "back_height": back.shape[0], "mask": zlib.compress(packed(g, threshold, False), 9), "ink": color}
+
+
+def encoded(page: np.ndarray, compress: dict) -> dict:
+    """A page as its document holds it: mode, the image's stream and what a reader must know of it, and a note where another encoder than the one asked for was used.
+
+    Of the encoders only Flate is here, so it stands in for all others. A layered page is written where that is allowed
+    and smaller by more than 4096 bytes.
+    """
+    mode = kernels.page_mode(page, compress)
+    asked = compress.get("mono_encoder" if mode == "mono" else "encoder", "ccitt" if mode == "mono" else "jpeg")
+    note = None if asked in ("zip", "flate") else f"{asked} is not available: written as {'flate' if mode == 'mono' else 'zip'}"
+    h, w = page.shape[:2]
+    out = {"width": w, "height": h, "mode": mode, "colors": 1, "bits": 8, "predictor": True, "mask": None, "ink": None, "back_width": w, "back_height": h, "note": note}
+    if mode == "mono":
+        g = kernels.gray(page)
+        return out | {"bits": 1, "predictor": False, "stream": zlib.compress(packed(g, kernels.otsu(g)[0]), 9)}
+    page = kernels.gray(page) if mode == "gray" else page
+    out |= {"colors": 1 if page.ndim == 2 else 3, "stream": flate(page)}
+    lossless = compress.get("encoder", "jpeg") in ("zip", "jp2lossless")
+    if compress.get("adaptive", True) and not lossless:
+        split = layers(page)
+        if split and len(split["stream"]) + len(split["mask"]) + 4096 < len(out["stream"]):
+            out |= split
+    return out
+
+
+LINES = "array<struct<text:string,x:double,y:double,w:double,h:double>>"
+ENCODED = f"doc string, page_no int, width int, height int, mode string, colors int, bits int, predictor boolean, stream binary, back_width int, back_height int, mask binary, ink array<double>, note string, lines {LINES}"
+
+
+def encode_pages(pages: DataFrame, compress: dict | None = None, kernel=None) -> DataFrame:
+    """Pages as their documents hold them, after a kernel if there is one, encoded where they are read; lines pass."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in ENCODED.split(", ")[:15]]
+    settings = compress or {}
+
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples():
+                page = kernels.unpack(r)
+                got = encoded(kernel(page) if kernel else page, settings)
+                yield pd.DataFrame([got | {"doc": r.doc, "page_no": r.page_no, "lines": r.lines}], columns=names)
+
+    ship(pages.sparkSession)
+    lines = F.col("lines") if "lines" in pages.columns else F.lit(None).cast(LINES).alias("lines")
+    return pages.select("doc", "page_no", "width", "height", "channels", "data", lines).mapInPandas(run, ENCODED)
+
+
 def framed(data: bytes, raw: bytes) -> bytes:
     """A zlib stream: data if it is one, else its raw deflate in a frame with the check sum of the bytes it holds."""
     if len(data) >= 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:
@@ -186,6 +274,14 @@ def tiff_strips(data: bytes, most: int = 200) -> bytes | None:
     return b"".join(data[o : o + c] for o, c in zip(offsets, counts))
 
 
+def walked(rows: DataFrame, walk, result: str, content: str = "content") -> DataFrame:
+    """rows with what a walk finds in their content, in its place. result: the name and type of that."""
+    name, kind = result.split()
+    found = F.pandas_udf(lambda s: s.__class__([walk(bytes(b)) for b in s], dtype=object), kind)
+    ship(rows.sparkSession)
+    return rows.withColumn(name, found(F.col(content))).drop(content)
+
+
 def png(page: np.ndarray) -> bytes:
     """A PNG of a gray or RGB page."""
     channels = 1 if page.ndim == 2 else 3

@@ -296,13 +296,80 @@ def warp(page: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
     return sample(page, (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / d, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / d)
 
 
+def page_mode(page: np.ndarray, compress: dict) -> str:
+    """The mode in which a page is written: as rules.effective_mode, from the page's class."""
+    mode, lossless = compress.get("mode", "auto"), compress.get("encoder", "jpeg") in ("zip", "jp2lossless")
+    if compress.get("adaptive", True) or mode == "auto":
+        kind = page_class(shrink(page, 1200))
+        return "gray" if kind == "mono" and lossless else kind
+    return mode if mode in ("color", "gray", "mono") else "color"
+
+
+def boundary(g: np.ndarray, quad: list[tuple[float, float]]) -> tuple[float, float] | None:
+    """Mean inside a quad's box (its middle three fifths) and the brightest of the strips around it; none with fewer than two strips."""
+    h, w = g.shape
+    xs, ys = [min(1.0, max(0.0, x)) for x, _ in quad], [min(1.0, max(0.0, y)) for _, y in quad]
+    x0, x1 = max(0, int(min(xs) * w)), min(w - 1, int(max(xs) * w))
+    y0, y1 = max(0, int(min(ys) * h)), min(h - 1, int(max(ys) * h))
+    if not (x1 > x0 + 2 and y1 > y0 + 2):
+        return None
+    band, fx, fy = max(2, int(min(w, h) * 0.02)), (x1 - x0) // 5, (y1 - y0) // 5
+
+    def mean(a: int, b: int, c: int, d: int) -> float | None:
+        a, b, c, d = max(0, a), min(w - 1, b), max(0, c), min(h - 1, d)
+        return float(g[c : d + 1, a : b + 1].mean()) if b > a and d > c else None
+
+    strips = [mean(x0, x1, y0 - band, y0 - 1), mean(x0, x1, y1 + 1, y1 + band), mean(x0 - band, x0 - 1, y0, y1), mean(x1 + 1, x1 + band, y0, y1)]
+    inside = mean(x0 + fx, x1 - fx, y0 + fy, y1 - fy)
+    found = [s for s in strips if s is not None]
+    return (inside, max(found)) if len(found) >= 2 and inside is not None else None
+
+
+def crop_gate(g: np.ndarray, quad: list[tuple[float, float]]) -> str:
+    """The first gate that a quad on a gray page fails, or applied: as rules.crop_gate."""
+    x, y = [min(1.0, max(0.0, a)) for a, _ in quad], [min(1.0, max(0.0, b)) for _, b in quad]
+    turns = [(x[j] - x[i]) * (y[k] - y[j]) - (y[j] - y[i]) * (x[k] - x[j]) for i, j, k in ((i, (i + 1) % 4, (i + 2) % 4) for i in range(4))]
+    if any(t >= 1e-6 for t in turns) == any(t <= -1e-6 for t in turns):
+        return "distorted"
+    area = min(1.2, abs(sum(quad[i][0] * quad[(i + 1) % 4][1] - quad[(i + 1) % 4][0] * quad[i][1] for i in range(4))) / 2)
+    if area >= 0.96 or area < 0.10:
+        return "full page" if area >= 0.96 else "too small"
+    if max(x) - min(x) < 0.25 or max(y) - min(y) < 0.25:
+        return "too narrow"
+    sides = boundary(g, quad)
+    if sides is None:
+        return "unmeasurable"
+    return "applied" if sides[0] - sides[1] > 30 else "paper outside"
+
+
+def border(g: np.ndarray, paperish: float = 240.0, most: float = 0.02) -> tuple[int, int, int, int]:
+    """Lines to trim at the top, bottom, left and right: as pixels.border_trim."""
+    out = []
+    for axis in (0, 1):
+        dirty = g.mean(axis=1 - axis) < paperish
+        cap = max(1, int(len(dirty) * most))
+        for lines in (dirty, dirty[::-1]):
+            out.append(min(cap, len(lines) if lines.all() else int(np.argmin(lines))))
+    return tuple(out)
+
+
+def crop(page: np.ndarray, quad: list[tuple[float, float]]) -> tuple[np.ndarray, str]:
+    """The quad made upright and what is left of its surroundings trimmed, if it passes the gates; the page as it is and the gate if not."""
+    h, w = page.shape[:2]
+    gate = crop_gate(gray(page), quad)
+    if gate != "applied":
+        return page, gate
+    page = warp(page, [(min(1, max(0, x)) * w, min(1, max(0, y)) * h) for x, y in quad])
+    top, bottom, left, right = border(gray(page))
+    return page[top : page.shape[0] - bottom or None, left : page.shape[1] - right or None], "cropped"
+
+
 def enhance(page: np.ndarray, spec: dict) -> tuple[np.ndarray, list[str]]:
     """The steps in their order: crop, deskew, descreen, clean, preset, sharpen; and notes. Whether a page is clean is judged before cleaning."""
     notes = []
     if spec.get("quad") is not None:
-        h, w = page.shape[:2]
-        page = warp(page, [(min(1, max(0, x)) * w, min(1, max(0, y)) * h) for x, y in spec["quad"]])
-        notes.append("cropped")
+        page, note = crop(page, spec["quad"])
+        notes.append(note)
     if spec.get("deskew"):
         page = deskew(page, detect_skew(page))
     if spec.get("descreen"):
@@ -362,11 +429,12 @@ def measure_pages(pages: DataFrame) -> DataFrame:
     return pages.select("doc", "page_no", "width", "height", "channels", "data").mapInPandas(run, METRICS)
 
 
-def pack_raster(raster: DataFrame) -> DataFrame:
-    """Pages from rows of pixels: page, y, x, v."""
+def pack_raster(rows: DataFrame) -> DataFrame:
+    """Pages from rows of pixels: page, y, row (an array). A page is as many bytes as it has pixels, in one row of the result."""
     from pyspark.sql import functions as F
 
-    pixels = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
-    g = raster.groupBy("page").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), pixels.alias("p"))
-    data = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(p["v"].cast("long")), 2, "0")), ""))
+    line = F.array_join(F.transform("row", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")
+    lines = F.array_sort(F.collect_list(F.struct("y", line.alias("data"))))
+    g = rows.groupBy("page").agg(F.max(F.size("row")).alias("width"), (F.max("y") + 1).cast("int").alias("height"), lines.alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda p: p["data"]), ""))
     return g.select(F.col("page").cast("string").alias("doc"), F.lit(0).alias("page_no"), "width", "height", F.lit(1).alias("channels"), data.alias("data"))

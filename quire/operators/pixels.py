@@ -61,7 +61,7 @@ def otsu(hist: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def laplacian(raster: DataFrame, keys=KEYS) -> DataFrame:
-    """Four-neighbour Laplacian of inner pixels: the sum of neighbours less four times the pixel, by a join of shifted rows within a page."""
+    """Four-neighbour Laplacian of inner pixels: the sum of neighbours less four times the pixel, by windows along rows and columns."""
     across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
     r = raster.withColumns({"l": F.lag("v").over(across), "r": F.lead("v").over(across)})
     r = r.withColumns({"u": F.lag("v").over(down), "d": F.lead("v").over(down)}).where("l is not null and r is not null and u is not null and d is not null")
@@ -322,3 +322,81 @@ def boundary_contrast(raster: DataFrame, quads: DataFrame, keys=KEYS) -> DataFra
     strips = sum((F.col(f"m{n}").isNotNull().cast("int") for n in range(1, 4)), F.col("m0").isNotNull().cast("int"))
     ok = (strips >= 2) & F.col("m4").isNotNull()
     return size.select(*keys).join(g, list(keys), "left").select(*keys, F.when(ok, F.col("m4")).alias("inside"), F.when(ok, F.greatest("m0", "m1", "m2", "m3")).alias("outside"))
+
+
+#: What a count of report() is of: gray values, bins of the Laplacian, gray values of a tile.
+GRAY, LAPLACIAN, TILE = 0, 1, 2
+
+
+def _counts(rows: DataFrame, grid: int, keys=KEYS) -> DataFrame:
+    """Counts of values by kind, gy, gx, v, from rows of pixels (y, row), a row of pixels being an array."""
+    page = Window.partitionBy(*keys)
+    r = rows.withColumns({"up": F.lag("row").over(page.orderBy("y")), "down": F.lead("row").over(page.orderBy("y")), "h": F.count("*").over(page).cast("int"), "w": F.size("row")})
+
+    def held(at: Column, n: Column) -> Column:
+        """Tiles that hold a line."""
+        begin = lambda k: F.floor(k * n / grid)
+        near = F.sequence(F.greatest(F.lit(0), F.floor(at * grid / n).cast("int") - 1), F.least(F.lit(grid - 1), F.floor((at + 1) * grid / n).cast("int") + 1))
+        return F.filter(near, lambda k: (at >= begin(k)) & (at < F.greatest(begin(k) + 1, begin(k + 1))))
+
+    def value(kind: int, gy, gx, v) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(gy).cast("int").alias("gy"), F.lit(gx).cast("int").alias("gx"), v.cast("int").alias("v"))
+
+    at = lambda name, i: F.get(F.col(name), i)
+    lap = lambda i: at("row", i - 1) + at("row", i + 1) + at("up", i) + at("down", i) - 4 * at("row", i)
+    bins = F.transform(F.sequence(F.lit(1), F.col("w") - 2), lambda i: value(LAPLACIAN, -1, -1, F.least(F.lit(255), F.floor(F.abs(lap(i)) / 4))))
+    inner = F.when(F.col("up").isNotNull() & F.col("down").isNotNull() & (F.col("w") > 2), bins).otherwise(F.array().cast("array<struct<kind:int,gy:int,gx:int,v:int>>"))
+    gray = F.transform("row", lambda v: value(GRAY, -1, -1, v))
+    across = lambda v, x: F.transform(held(x, F.col("w")), lambda gx: F.struct(gx.alias("gx"), v.alias("v")))
+    tiled = F.flatten(F.transform("row", across))
+    both = F.flatten(F.transform(held(F.col("y"), F.col("h")), lambda gy: F.transform(F.col("tiled"), lambda t: value(TILE, gy, t["gx"], t["v"]))))
+    r = r.withColumn("tiled", tiled).select(*keys, F.explode(F.concat(gray, inner, both)).alias("c"))
+    return r.groupBy(*keys, "c.kind", "c.gy", "c.gx", "c.v").agg(F.count("*").alias("n"))
+
+
+def report(rows: DataFrame, grid: int = 12, keys=KEYS) -> DataFrame:
+    """Paper level, percentiles, mean, Otsu threshold and ink, noise, unevenness, mono_like of pages, in one pass over rows of pixels (y, row).
+
+    Rows of a page come together once, as arrays; all that follows works on counts in the same place.
+    """
+    by = [*keys, "kind", "gy", "gx"]
+    w = Window.partitionBy(*by)
+    up, down, v, n = w.orderBy("v"), w.orderBy(F.desc("v")), F.col("v"), F.col("n")
+    c = _counts(rows, grid, keys).withColumns(
+        {"acc": F.sum("n").over(up), "down": F.sum("n").over(down), "tot": F.sum("n").over(w), "sb": F.sum(v * n).over(up), "sdown": F.sum(v * n).over(down), "sa": F.sum(v * n).over(w)}
+    )
+    wb, wf = F.col("acc"), F.col("tot") - F.col("acc")
+    gap = F.col("sb") / wb - (F.col("sa") - F.col("sb")) / wf
+    c = c.withColumn("between", F.when(wf > 0, wb * wf * gap * gap))
+    reach = F.when(F.col("acc") >= F.floor(F.col("tot") * 0.8), F.struct("v", "down", "sdown"))
+    whole = F.floor(F.col("tot") * 0.8) == 0
+    groups = c.groupBy(*by).agg(
+        percentile_of(0.1).alias("p10"),
+        percentile_of(0.9).alias("p90"),
+        F.max(F.when(F.col("down") >= F.col("tot") - F.floor(F.col("tot") * 0.8), v)).alias("paper_level"),
+        (F.sum(v * n) / F.sum("n")).alias("mean"),
+        F.max(F.when(F.col("between") > 0, F.struct("between", (-v).alias("m"), "acc"))).alias("best"),
+        F.max(F.when(v <= 128, F.col("acc"))).alias("at128"),
+        F.max("tot").alias("tot"),
+        F.sum(F.when((v > 60) & (v < 195), n).otherwise(0)).alias("mid"),
+        F.min(F.when(F.col("acc") >= F.floor(F.col("tot") / 2), v)).alias("middle"),
+        F.min(reach).alias("cut"),
+        F.max(whole).alias("few"),
+    )
+    of = lambda kind, e: F.when(F.col("kind") == kind, e)
+    level = F.when(F.col("few"), F.col("mean")).otherwise(F.col("cut.sdown") / F.col("cut.down"))
+    one = [F.max(of(GRAY, F.col(x))).alias(x) for x in ("p10", "p90", "paper_level", "mean")]
+    ink = F.coalesce(F.col("best.acc"), F.col("at128"), F.lit(0)) / F.col("tot")
+    got = groups.groupBy(*keys).agg(
+        *one,
+        F.max(of(GRAY, F.coalesce(-F.col("best.m"), F.lit(128)))).cast("int").alias("threshold"),
+        F.max(of(GRAY, ink)).alias("ink"),
+        F.max(of(GRAY, F.col("mid") / F.col("tot"))).alias("mid"),
+        F.max(of(LAPLACIAN, F.least(F.lit(1.0), F.col("middle") / 12.0))).alias("noise"),
+        F.array_sort(F.collect_list(of(TILE, level))).alias("s"),
+    )
+    k = F.size("s")
+    lo, hi = F.get("s", F.floor(k * 0.1).cast("int")), F.get("s", F.least(k - 1, F.floor(k * 0.9).cast("int")))
+    uneven = F.when((k < 4) | (hi <= 1), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (hi - lo) / hi)))
+    mono = (F.col("ink") > 0.002) & (F.col("ink") < 0.6) & (F.col("mid") < 0.12)
+    return got.select(*keys, "paper_level", "p10", "p90", (F.col("p90") - F.col("p10")).alias("contrast"), "mean", "threshold", "ink", F.coalesce("noise", F.lit(0.0)).alias("noise"), uneven.alias("unevenness"), mono.alias("mono_like"))

@@ -19,6 +19,13 @@ def page_pixels(points: Column, dpi: Column) -> Column:
     return F.greatest(F.lit(1), F.round(points * dpi / 72.0).cast("int"))
 
 
+def page_size(width: Column, height: Column, rotate: Column, dpi: Column) -> tuple[Column, Column]:
+    """Rendered width and height of a page of so many points; a quarter turn swaps them."""
+    turned = F.pmod(rotate, F.lit(180)) == 90
+    w, h = page_pixels(width, dpi), page_pixels(height, dpi)
+    return F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h)
+
+
 def is_lossless(encoder: Column) -> Column:
     return encoder.isin("zip", "jp2lossless")
 
@@ -69,10 +76,10 @@ def prefix(pages: DataFrame, k: int, doc: str = "doc", page_no: str = "page_no")
     return pages.withColumn("_n", F.row_number().over(Window.partitionBy(doc).orderBy(page_no))).where(F.col("_n") <= k).drop("_n")
 
 
-def doc_report(pages: DataFrame, sampled: int = 6) -> DataFrame:
+def doc_report(pages: DataFrame, sampled: int = 6, keys: DataFrame | None = None) -> DataFrame:
     """Documents from doc, page_no, mode, skew, noise, unevenness, paper of their first pages.
 
-    The mode is color if any page is, else gray if any, else mono; the skew is the signed one of the greatest size,
+    keys: doc of every page, where pages holds but the first ones; page_count counts those. The mode is color if any page is, else gray if any, else mono; the skew is the signed one of the greatest size,
     of equal ones the first page's; the rest are means.
     """
     p = prefix(pages, sampled)
@@ -83,7 +90,7 @@ def doc_report(pages: DataFrame, sampled: int = 6) -> DataFrame:
         *[F.round(F.avg(c), 6).alias(n) for c, n in (("noise", "noise_level"), ("unevenness", "bg_unevenness"), ("paper", "paper_white"))],
         F.transform(F.array_sort(F.collect_list(F.when(F.abs("skew") > 0.3, F.col("page_no")))), lambda x: x.cast("string")).alias("skewed"),
     )
-    count = pages.groupBy("doc").agg(F.count("*").alias("page_count"))
+    count = (pages if keys is None else keys).groupBy("doc").agg(F.count("*").alias("page_count"))
     return g.join(count, "doc")
 
 
@@ -97,6 +104,8 @@ def recommend(report: DataFrame, has_text: Column) -> DataFrame:
         "doc",
         (~has_text).alias("ocr_enabled"),
         has_text.alias("ocr_skip"),
+        F.when(~has_text, "chi_sim+eng").alias("ocr_language"),
+        F.when(~has_text, "searchable").alias("ocr_output"),
         preset.alias("preset"),
         tilted.alias("deskew"),
         (F.col("bg_unevenness") > 0.12).alias("bg_remove"),
@@ -106,6 +115,8 @@ def recommend(report: DataFrame, has_text: Column) -> DataFrame:
         (mode != "mono").alias("adaptive"),
         F.when(mode == "mono", "mono").otherwise("auto").alias("compress_mode"),
         F.when(mode == "color", 72).otherwise(70).alias("quality"),
+        F.lit("jpeg").alias("encoder"),
+        F.lit("ccitt").alias("mono_encoder"),
         pages.alias("skew_pages"),
     )
 
@@ -119,6 +130,32 @@ def plans(report: DataFrame) -> DataFrame:
     return report.select("doc", "color_mode", rows.alias("p")).select("doc", "p.*", F.when(F.col("p.adaptive"), "auto").otherwise(F.col("color_mode")).alias("mode"))
 
 
+def override(recommended: DataFrame, plans_: DataFrame) -> DataFrame:
+    """Recommendations whose compression is that of the first plan that is flagged as recommended, where there is one."""
+    place = F.create_map(*[F.lit(x) for i, p in enumerate(PLANS) for x in (p[0], i)])
+    chosen = plans_.where("recommended").groupBy("doc").agg(F.min_by(F.struct("adaptive", F.col("mode").alias("compress_mode"), "quality"), place[F.col("plan")]).alias("p"))
+    out = recommended.join(chosen, "doc", "left")
+    return out.withColumns({c: F.coalesce(F.col(f"p.{c}"), F.col(c)) for c in ("adaptive", "compress_mode", "quality")}).drop("p")
+
+
+def progress(pages: DataFrame, doc: str = "doc", page_no: str = "page_no") -> DataFrame:
+    """Pages with the share of their document that is done when they are."""
+    w = Window.partitionBy(doc)
+    return pages.withColumn("progress", F.row_number().over(w.orderBy(page_no)) / F.count("*").over(w))
+
+
+def within_budget(sizes: DataFrame, budget: int, by: str = "doc", order: str = "page_no", size: str = "bytes") -> DataFrame:
+    """The first rows of each group, as long as their sizes together stay within the budget."""
+    total = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.withColumn("_total", total).where(F.col("_total") <= budget).drop("_total")
+
+
+def rate_distortion(results: DataFrame, by: list[str]) -> DataFrame:
+    """Points of the encoders that lose something, in order of their bytes (ties: encoder, quality), with their place."""
+    w = Window.partitionBy(*by).orderBy("bytes", "encoder", "quality")
+    return results.where(~is_lossless(F.col("encoder"))).withColumn("place", F.row_number().over(w).cast("long"))
+
+
 def size_estimate(pages: DataFrame, sampled: int = 4) -> DataFrame:
     """Bytes that a document will have, from those of its first pages, and what that saves."""
     s = prefix(pages, sampled).groupBy("doc").agg(F.sum("bytes").alias("sample"), F.count("*").alias("k"))

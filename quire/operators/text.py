@@ -12,7 +12,7 @@ def parse_selection(selection: Column, total: Column) -> Column:
     parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
 
     def pages(p: Column) -> Column:
-        begin = F.coalesce(F.expr("try_cast(null as int)"), p.substr(F.lit(1), F.instr(p, "-") - 1).try_cast("int"), F.lit(1))
+        begin = F.coalesce(p.substr(F.lit(1), F.instr(p, "-") - 1).try_cast("int"), F.lit(1))
         rest = p.substr(F.instr(p, "-") + 1, F.length(p))
         end = F.coalesce(rest.try_cast("int"), total)
         one = p.try_cast("int")
@@ -93,6 +93,7 @@ def pdf_escape(text: Column) -> Column:
 
 #: Punctuation and what stands for it.
 PUNCTUATION = (("，", ","), ("。", "."), ("：", ":"), ("；", ";"), ("（", "("), ("）", ")"), ("「", '"'), ("」", '"'), ("、", ","), ("…", "..."), ("—", "-"), ("·", ""))
+#: The characters that end a phrase.
 PHRASE_ENDS = r"[.,;:!?()\[\]{}<>\"'/\\|+=*~^&@$—\-]+"
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.shipping import ship
 from quire.operators import checks, encode, kernels, pixels, release, rules, sink, text
-from quire.sources.adapters import VALUES, constants, page_metrics, page_sizes, raster_gray, raster_rgb, table
-from quire.streaming.debounce import debounce
+from quire.sources.adapters import VALUES, constants, page_metrics, page_sizes, raster_gray, raster_rgb, raster_rows, table
+from quire.sources import files
+from quire.streaming.debounce import debounce, next_check
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -310,7 +311,7 @@ def agg_doc_report(spark, sf_dir):
 STRENGTH = "round(greatest(0.0, least(1.0, greatest(greatest(0.0, least(1.0, (bg_unevenness - cast(0.05 as double)) / cast(0.15 as double))) * cast(0.55 as double), greatest(0.0, least(1.0, (250.0 - paper_white) / 14.0)) * cast(0.70 as double)))), 6)"
 
 
-@query(f"""with {R3}, {REPORT} select doc, doc % 7 <> 0 as ocr_enabled, doc % 7 = 0 as ocr_skip, case color_mode when 'color' then 'color' when 'mono' then 'bw' else 'auto' end as preset,
+@query(f"""with {R3}, {REPORT} select doc, doc % 7 <> 0 as ocr_enabled, doc % 7 = 0 as ocr_skip, case when doc % 7 <> 0 then 'chi_sim+eng' end as ocr_language, case when doc % 7 <> 0 then 'searchable' end as ocr_output, 'jpeg' as encoder, 'ccitt' as mono_encoder, case color_mode when 'color' then 'color' when 'mono' then 'bw' else 'auto' end as preset,
  abs(skew_angle) > cast(0.3 as double) as deskew, bg_unevenness > cast(0.12 as double) as bg_remove, noise_level > 0.5 as descreen, cast(case color_mode when 'mono' then 0.0 else 1.0 end as double) as sharpen, {STRENGTH} as bg_strength,
  color_mode <> 'mono' as adaptive, case color_mode when 'mono' then 'mono' else 'auto' end as compress_mode, case color_mode when 'color' then 72 else 70 end as quality,
  case when not abs(skew_angle) > cast(0.3 as double) then '' when len(skewed) <= 3 then array_to_string(skewed, ',') else cast(len(skewed) as varchar) end as skew_pages from rep""")
@@ -332,6 +333,17 @@ def srt_chosen_plan(spark, sf_dir):
     return p.groupBy("doc").agg(F.coalesce(F.min_by(F.when(F.col("recommended"), F.col("plan")), F.when(F.col("recommended"), F.col("pos"))), F.min_by("plan", "pos")).alias("chosen"))
 
 
+@query(f"""with {R3}, {REPORT} select doc, true as adaptive, 'auto' as compress_mode, 72 as quality, case color_mode when 'color' then 'color' when 'mono' then 'bw' else 'auto' end as preset from rep""")
+def rule_override(spark, sf_dir):
+    rep = _report(spark, sf_dir)
+    return rules.override(rules.recommend(rep, F.lit(False)), rules.plans(rep)).select("doc", "adaptive", "compress_mode", "quality", "preset")
+
+
+@query(f"with {R3} select doc, page_no, cast(row_number() over (partition by doc order by page_no) as double) / cast(count(*) over (partition by doc) as double) as progress from metrics")
+def win_progress(spark, sf_dir):
+    return rules.progress(page_metrics(spark, sf_dir)).select("doc", "page_no", "progress")
+
+
 @query(f"with {R3} select doc, page_no, {STRENGTH.replace('bg_unevenness', 'unevenness').replace('paper_white', 'paper')} as bg_strength, case mode when 'mono' then false else true end as uses_strength from metrics")
 def rule_bg_strength(spark, sf_dir):
     preset = F.when(F.col("mode") == "mono", "bw").otherwise("auto")
@@ -368,16 +380,19 @@ def prj_page_selection(spark, sf_dir):
     return s.select("id", F.array_join(F.transform(got, lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("select o_orderkey, case when cast(o_totalprice as int) % 500 - 50 <= 0 then 300 else greatest(150, least(300, cast(floor(o_totalprice) as int) % 500 - 50)) end as dpi from orders where cast(floor(o_totalprice) as int) = cast(o_totalprice as int) or true".replace("case when cast(o_totalprice as int) % 500", "case when cast(floor(o_totalprice) as int) % 500").replace(" where cast(floor(o_totalprice) as int) = cast(o_totalprice as int) or true", ""))
+@query("select o_orderkey, case when cast(floor(o_totalprice) as int) % 500 - 50 <= 0 then 300 else greatest(150, least(300, cast(floor(o_totalprice) as int) % 500 - 50)) end as dpi from orders")
 def prj_proc_dpi(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", rules.proc_dpi(F.floor("o_totalprice").cast("int") % 500 - 50).alias("dpi"))
 
 
-@query("""select p_partkey, greatest(1, cast(round(cast(coalesce(nullif(p_size, 1), 595) as double) * 150 / 72.0) as int)) as width_px,
- greatest(1, cast(round(cast(coalesce(nullif(p_size, 1), 842) as double) * 150 / 72.0) as int)) as height_px from part""")
+@query("""with s as (select p_partkey, p_partkey % 5 * 90 - 90 as rotate, greatest(1, cast(round(cast(coalesce(nullif(p_size, 1), 595) as double) * 150 / 72.0) as int)) as w,
+ greatest(1, cast(round(cast(coalesce(nullif(p_size, 1), 842) * 2 as double) * 150 / 72.0) as int)) as h from part)
+select p_partkey, rotate, case when abs(rotate) % 180 = 90 then h else w end as width_px, case when abs(rotate) % 180 = 90 then w else h end as height_px from s""")
 def src_page_pixels(spark, sf_dir):
     side = lambda d: F.coalesce(F.nullif(F.col("p_size"), F.lit(1)), F.lit(d)).cast("double")
-    return table(spark, sf_dir, "part").select("p_partkey", rules.page_pixels(side(595), F.lit(150)).alias("width_px"), rules.page_pixels(side(842), F.lit(150)).alias("height_px"))
+    rotate = F.col("p_partkey") % 5 * 90 - 90
+    w, h = rules.page_size(side(595), side(842) * 2, rotate, F.lit(150))
+    return table(spark, sf_dir, "part").select("p_partkey", rotate.alias("rotate"), w.alias("width_px"), h.alias("height_px"))
 
 
 @query(f"""with s as (select * from {values_sql('streams')}), w as (select id, list_filter(list_transform(regexp_extract_all(body, '/Width[ \\n\\r]*([0-9]{{0,8}})', 1)[1:200], lambda x: try_cast(x as int)), lambda x: x < 40000) as w from s)
@@ -451,6 +466,16 @@ def srt_best_encoder(spark, sf_dir):
     return _bench(spark, sf_dir).groupBy("doc", "page_no").agg(F.min_by("encoder", F.struct("bytes", "encoder", "quality")).alias("encoder"), F.min("bytes").alias("bytes"))
 
 
+@query(f"with {R4} select doc, page_no, bytes from (select *, sum(bytes) over (partition by doc order by page_no) as t from sizes) where t <= 100000")
+def srt_byte_budget(spark, sf_dir):
+    return rules.within_budget(page_sizes(spark, sf_dir), 100_000)
+
+
+@query(f"with {R4}, {BENCH.replace('bytes * factor', 'bytes * cast(factor as double)')} select doc, page_no, encoder, quality, bytes, row_number() over (partition by doc, page_no order by bytes, encoder, quality) as place from b where encoder not in ('zip', 'jp2lossless')")
+def srt_rate_distortion(spark, sf_dir):
+    return rules.rate_distortion(_bench(spark, sf_dir), ["doc", "page_no"])
+
+
 @query(f"with {R4} select doc, page_no, page_no % 2 = 1 and doc % 3 <> 0 and doc % 5 <> 0 and (bytes * 7) // 10 + 4096 < bytes as layered from sizes")
 def enc_mrc_gate(spark, sf_dir):
     p = page_sizes(spark, sf_dir)
@@ -518,7 +543,7 @@ def agg_sha256(spark, sf_dir):
 @query()
 def agg_pixel_signature(spark, sf_dir):
     ship(spark)
-    return kernels.pack_raster(raster_gray(spark, sf_dir)).select("doc", encode.pixel_signature("data").alias("signature"))
+    return kernels.pack_raster(raster_rows(spark, sf_dir)).select("doc", encode.pixel_signature("data").alias("signature"))
 
 
 STRETCH = f"ends as (select page, {pct(0.02)} as lo, {pct(0.98)} as hi from cum group by page), st as (select r.page, y, x, cast(case when hi - lo >= 18 then greatest(0.0, least(255.0, round((v - lo) * 255.0 / cast(hi - lo as double)))) end as int) as u from raster r join ends using (page))"
@@ -828,6 +853,14 @@ def str_debounce(spark, sf_dir):
     return debounce(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3_600_000).select("user_id", "event_id")
 
 
+@query("""with s as (select c_custkey as user_id, timestamp '2025-01-01' as started from customer), a as (select user_id, max(ts) as last from events where event_type in ('error', 'view') group by user_id)
+select user_id, coalesce(last + interval 24 hours, started + interval 10 seconds) as due from s left join a using (user_id)""")
+def str_next_check(spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "view"))
+    started = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.expr("timestamp_ntz '2025-01-01'").alias("ts"))
+    return next_check(attempts, started, "user_id", "ts")
+
+
 # checks and labels
 
 
@@ -906,18 +939,75 @@ def agg_dark_centre(spark, sf_dir):
     return raster_gray(spark, sf_dir).groupBy("page").agg(mean("y").alias("dark_row"), mean("x").alias("dark_column"))
 
 
-# kernels, for which there is no SQL: tests hold them against plain code
+# walks of files, whose made-up bytes hold what the tables say
 
 
-@query()
+@query("select p_partkey, 0 as stream_no, 'n: ' || p_name as body from part union all select p_partkey, 1, 'n: ' || p_type from part")
+def src_streams(spark, sf_dir):
+    whole = F.concat(F.lit("1 0 obj stream\r\nn: "), F.col("p_name"), F.lit("endstream stream\nendstream endobj stream\nn: "), F.col("p_type"), F.lit("endstream stream\nopen"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.encode(whole, "UTF-8").alias("content"))
+    return files.stream_rows(docs).select(F.col("doc").alias("p_partkey"), "stream_no", F.decode("body", "UTF-8").alias("body"))
+
+
+@query("select p_partkey, cast(case when p_size % 5 = 4 then null else p_size % 5 + 1 end as int) as components from part")
+def src_jpeg_components(spark, sf_dir):
+    n = F.col("p_size") % 5 + 1
+    head = F.when(n == 5, F.lit("504B")).otherwise(F.lit("FFD8"))
+    jpeg = F.concat(head, F.lit("FFE000046162FFC40004FFC2FFC0001108001000100"), n.cast("string"), F.lit("0" * 24))
+    return encode.walked(table(spark, sf_dir, "part").select("p_partkey", F.unhex(jpeg).alias("content")), encode.jpeg_components, "components int")
+
+
+@query("select p_partkey, case when p_size % 7 = 0 then null else p_name end as strips from part")
+def src_tiff_strips(spark, sf_dir):
+    little = lambda e: F.regexp_replace(F.lpad(F.hex(e.cast("long")), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1")
+    first, rest = F.lit(5), F.octet_length("p_name") - 5
+    entry = lambda tag, at: F.concat(F.lit(f"{tag}040002000000"), little(F.lit(at)))
+    magic = F.when(F.col("p_size") % 7 == 0, F.lit("4949FF00")).otherwise(F.lit("49492A00"))
+    # two strips, the second one first in the file; their offsets and sizes stand behind the directory
+    tables = F.concat(little(F.lit(50) + rest), little(F.lit(50)), little(first), little(rest))
+    name = F.encode("p_name", "UTF-8")
+    body = F.concat(F.expr("substring(encode(p_name, 'UTF-8'), 6)"), F.substring(name, 1, 5))
+    whole = F.concat(F.unhex(F.concat(magic, F.lit("080000000200"), entry("1101", 34), entry("1701", 42), tables)), body)
+    out = encode.walked(table(spark, sf_dir, "part").select("p_partkey", whole.alias("content")), encode.tiff_strips, "strips binary")
+    return out.select("p_partkey", F.decode("strips", "UTF-8").alias("strips"))
+
+
+@query("select p_partkey, p_name || ' (' || p_brand || ')\\' as title from part")
+def src_info_title(spark, sf_dir):
+    title = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")\\"))
+    whole = F.concat(F.lit("3 0 obj\n<< /Title ("), text.pdf_escape(title), F.lit(") >>\nendobj\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", files.info_title(F.encode(whole, "UTF-8")).alias("title"))
+
+
+# kernels
+
+
+@query(f"""select cast(p.page as varchar) as doc, 0 as page_no, cast(paper_level as double) as paper, round(mean, 9) as paper_mean, round(ink, 9) as ink, round(noise, 9) as noise, round(unevenness, 9) as unevenness
+from ({ORACLES['agg_paper_level']}) p join ({ORACLES['agg_page_mean']}) m using (page) join ({ORACLES['agg_otsu']}) o using (page) join ({ORACLES['agg_noise']}) n using (page) join ({ORACLES['agg_unevenness']}) u using (page)""")
 def krn_page_metrics(spark, sf_dir):
-    return kernels.measure_pages(kernels.pack_raster(raster_gray(spark, sf_dir)))
+    m = kernels.measure_pages(kernels.pack_raster(raster_rows(spark, sf_dir)))
+    return m.select("doc", "page_no", "paper", *[F.round(c, 9).alias(c) for c in ("paper_mean", "ink", "noise", "unevenness")])
+
+
+# for the rest there is no SQL: tests hold them against plain code
+
+
+@query()
+def krn_page_skew(spark, sf_dir):
+    return kernels.measure_pages(kernels.pack_raster(raster_rows(spark, sf_dir))).select("doc", "page_no", "mode", "skew")
 
 
 @query()
 def krn_enhanced_pages(spark, sf_dir):
     spec = {"deskew": True, "descreen": True, "preset": "auto", "strength": 0.5, "sharpen": 1.0}
-    return kernels.map_pages(kernels.pack_raster(raster_gray(spark, sf_dir)), lambda p: kernels.enhance(p, spec)[0])
+    return kernels.map_pages(kernels.pack_raster(raster_rows(spark, sf_dir)), lambda p: kernels.enhance(p, spec)[0])
+
+
+@query()
+def krn_previews(spark, sf_dir):
+    from quire.plans import jobs
+
+    return jobs.preview(kernels.pack_raster(raster_rows(spark, sf_dir)), {"preset": "contrast"})
 
 
 @query()
@@ -934,19 +1024,20 @@ def krn_text_chars(spark, sf_dir):
 
 @query()
 def snk_documents(spark, sf_dir):
-    pages = kernels.pack_raster(raster_gray(spark, sf_dir))
+    pages = kernels.pack_raster(raster_rows(spark, sf_dir))
     lines = F.array(F.struct(F.concat(F.lit("page "), F.col("doc")).alias("text"), *[F.lit(v).alias(c) for c, v in (("x", 0.1), ("y", 0.8), ("w", 0.6), ("h", 0.03))]))
-    return sink.write_documents(pages.withColumn("lines", lines))
+    return sink.write_documents(encode.encode_pages(pages.withColumn("lines", lines)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of each page raster: paper level, contrast, Otsu ink, noise, unevenness, class and clean-up advice."""
-    r = raster_gray(spark, sf_dir)
-    h = pixels.histogram(r)
-    j = pixels.paper_level(h).join(pixels.contrast(h), "page").join(pixels.mean(h), "page").join(pixels.otsu(h), "page")
-    j = j.join(pixels.noise(r), "page").join(pixels.unevenness(r), "page").join(pixels.mono_like(r), "page")
+    j = pixels.report(raster_rows(spark, sf_dir))
     white = rules.paper_white(F.col("paper_level"), F.col("mean"))
-    return j.withColumns({"paper_white": white, "needs_clean": rules.needs_clean(F.col("unevenness"), white), "bg_strength": rules.bg_strength(F.col("unevenness"), F.col("paper_level"))})
+    strength = F.round(rules.bg_strength(F.col("unevenness"), F.col("paper_level")), 6)
+    return j.withColumns({"paper_white": white, "needs_clean": rules.needs_clean(F.col("unevenness"), white), "bg_strength": strength})
 
 
 QUERIES["page_report"] = flagship
+ORACLES["page_report"] = f"""select page, paper_level, p10, p90, contrast, mean, threshold, ink, noise, unevenness, mono_like, paper_white, needs_clean, {STRENGTH.replace('bg_unevenness', 'unevenness').replace('paper_white', 'paper_level')} as bg_strength
+from ({ORACLES['agg_paper_level']}) join ({ORACLES['agg_percentile_contrast']}) using (page) join ({ORACLES['agg_page_mean']}) using (page) join ({ORACLES['agg_otsu']}) using (page) join ({ORACLES['agg_noise']}) using (page)
+join ({ORACLES['agg_unevenness']}) using (page) join ({ORACLES['prj_mono_like']}) using (page) join ({ORACLES['prj_paper_white']}) using (page)"""

@@ -31,6 +31,12 @@ def raster_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", "y", F.posexplode("embedding").alias("x", "e")).select("page", "y", "x", _value(F.col("e")).alias("v"))
 
 
+def raster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 with a row of pixels as one array: page, y, row."""
+    rows = _rows(table(spark, sf_dir, "embeddings"))
+    return rows.select("page", "y", F.transform("embedding", _value).alias("row"))
+
+
 def raster_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: page, y, x, r, g, b, of the first 63 components."""
     rows = _rows(table(spark, sf_dir, "embeddings"))
@@ -66,16 +72,28 @@ def constants(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"select * from values {VALUES[name][1]} as t({VALUES[name][0]})")
 
 
+#: Id, name and codes of the languages.
+LANGUAGES = (
+    ("chi_sim+eng", "中文 + 英文", "zh-Hans,en-US"),
+    ("chi_sim", "中文简体", "zh-Hans"),
+    ("chi_tra+eng", "中文繁体 + 英文", "zh-Hant,en-US"),
+    ("eng", "英文", "en-US"),
+    ("jpn", "日文", "ja-JP"),
+    ("kor", "韩文", "ko-KR"),
+    ("fra", "法文", "fr-FR"),
+    ("deu", "德文", "de-DE"),
+    ("spa", "西班牙文", "es-ES"),
+    ("ita", "意大利文", "it-IT"),
+    ("por", "葡萄牙文", "pt-BR"),
+    ("rus", "俄文", "ru-RU"),
+)
 #: Column names and rows, in the SQL of any engine.
 VALUES = {
     "selections": (
         "id, selection, total",
         "(1, 'all', 5), (2, '3', 5), (3, '1,3,5', 5), (4, '2-6,9', 10), (5, '7-', 9), (6, '-3', 5), (7, '5-3', 8), (8, '7-', 5), (9, 'x,2', 4), (10, '', 3), (11, ' 2 , 2 ,1', 3), (12, '0,99', 4), (13, '2-x', 4)",
     ),
-    "languages": (
-        "id, name, codes",
-        "('chi_sim+eng', '中文 + 英文', 'zh-Hans,en-US'), ('chi_sim', '中文简体', 'zh-Hans'), ('chi_tra+eng', '中文繁体 + 英文', 'zh-Hant,en-US'), ('eng', '英文', 'en-US'), ('jpn', '日文', 'ja-JP'), ('kor', '韩文', 'ko-KR'), ('fra', '法文', 'fr-FR'), ('deu', '德文', 'de-DE'), ('spa', '西班牙文', 'es-ES'), ('ita', '意大利文', 'it-IT'), ('por', '葡萄牙文', 'pt-BR'), ('rus', '俄文', 'ru-RU')",
-    ),
+    "languages": ("id, name, codes", ", ".join(f"('{i}', '{name}', '{codes}')" for i, name, codes in LANGUAGES)),
     "doc_languages": ("lang, id", "('en', 'eng'), ('de', 'deu'), ('fr', 'fra')"),
     "quads": (
         "id, x0, y0, x1, y1, x2, y2, x3, y3, inside, outside",

@@ -23,13 +23,8 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
     def flip(batches):
         for b in batches:
-            for r in b.itertuples():
-                page = np.frombuffer(bytes(r.data), np.uint8)
-                if r.nChannels >= 3:
-                    page = page.reshape(-1, r.nChannels)[:, 2::-1]
-                b.at[r.Index, "data"] = page.tobytes()
-                b.at[r.Index, "nChannels"] = min(3, r.nChannels)
-            yield b[["origin", "width", "height", "nChannels", "data"]]
+            turned = [np.frombuffer(d, np.uint8).reshape(-1, n)[:, 2::-1].tobytes() if n >= 3 else d for d, n in zip(b["data"], b["nChannels"], strict=True)]
+            yield b.assign(data=turned, nChannels=b["nChannels"].clip(upper=3))
 
     out = got.select("origin", "width", "height", "nChannels", "data").mapInPandas(flip, "origin string, width int, height int, nChannels int, data binary")
     return out.select(F.element_at(F.split("origin", "/"), -1).alias("doc"), F.lit(0).alias("page_no"), "width", "height", F.col("nChannels").alias("channels"), "data")
@@ -80,25 +75,73 @@ def info_title(content: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(undo), "string")(F.nullif(found, F.lit("")))
 
 
-def synthetic_pages(spark: SparkSession, documents_: int, pages: int, height: int = 160, width: int = 120, seed: int = 11) -> DataFrame:
-    """Pages of dark lines on paper with shade and noise, by a fixed linear congruential sequence."""
+def noise(seed: int, n: int) -> np.ndarray:
+    """n numbers from -12 to 12 of a linear congruential sequence, each from its own power of the multiplier."""
+    with np.errstate(over="ignore"):
+        a = np.cumprod(np.full(n, 2862933555777941757, dtype=np.uint64))
+        steps = np.cumsum(np.concatenate([np.ones(1, dtype=np.uint64), a[:-1]])) if n else a
+        state = a * np.uint64(seed) + np.uint64(3037000493) * steps
+    return (state >> np.uint64(58)).astype(np.int64) % 25 - 12
+
+
+def _scan(h: int, w: int, seed: int) -> np.ndarray:
+    page = 250.0 - 40.0 * np.linspace(0, 1, w)[None, :] * np.ones((h, 1))
+    page[20 : h - 20 : 12, 15 : w - 15] = 30
+    return page + noise(seed, h * w).reshape(h, w)
+
+
+def _photo(h: int, w: int, seed: int) -> np.ndarray:
+    fy, fx = np.mgrid[0:h, 0:w] / np.array([h, w]).reshape(2, 1, 1)
+    page = 255.0 * (1 - 0.20 * fx - 0.14 * fy - 0.08 * fx * fy)
+    page[h // 8 : h - h // 8 : 12, w // 10 : w - w // 10] *= 0.2
+    return page + noise(seed, h * w).reshape(h, w)
+
+
+def _desk(h: int, w: int, seed: int) -> np.ndarray:
+    """A bright page with a dark mark near its upper left corner, on a dark desk."""
+    page = 255.0 * np.linspace(0.34, 0.22, h)[:, None] * np.ones((1, w))
+    y, x = int(0.16 * h), int(0.16 * w)
+    page[y : h - y, x : w - x] = 250
+    top, left = y + int(0.14 * (h - 2 * y)), x + int(0.12 * (w - 2 * x))
+    page[top : top + max(1, h // 40), left : left + max(1, w // 20)] = 20
+    return page
+
+
+def _quadrant(h: int, w: int, seed: int) -> np.ndarray:
+    page = np.full((h, w), 255.0)
+    page[: h // 4, : w // 4] = 0
+    return page
+
+
+def _gradient(h: int, w: int, seed: int) -> np.ndarray:
+    page = np.linspace(250, 150, w)[None, :] * np.ones((h, 1))
+    page[h // 8 : h - h // 8 : 12, w // 10 : w - w // 10] *= 0.55
+    return page
+
+
+def _specks(h: int, w: int, seed: int) -> np.ndarray:
+    page = np.full(h * w, 250.0)
+    with np.errstate(over="ignore"):
+        page[np.cumsum(np.abs(noise(seed, max(1, h * w // 625))) * 97 + 1) % (h * w)] = 230
+    return page.reshape(h, w)
+
+
+#: Kinds of synthetic pages.
+KINDS = {"scan": _scan, "photo": _photo, "desk": _desk, "quadrant": _quadrant, "gradient": _gradient, "specks": _specks}
+
+
+def synthetic_pages(spark: SparkSession, documents_: int, pages: int, height: int = 160, width: int = 120, seed: int = 11, kind: str = "scan") -> DataFrame:
+    """Pages of a kind: dark lines on paper with shade and noise, a photo's fall of light, a page on a desk, a dark corner, a gradient, specks."""
+    draw = KINDS[kind]
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             for r in b.itertuples():
-                n = height * width
-                state = np.uint64(seed + r.doc_no * 1009 + r.page_no)
-                noise = np.empty(n, np.int64)
-                with np.errstate(over="ignore"):
-                    for i in range(n):
-                        state = state * np.uint64(2862933555777941757) + np.uint64(3037000493)
-                        noise[i] = int(state >> np.uint64(58)) % 25 - 12
-                page = 250.0 - 40.0 * np.linspace(0, 1, width)[None, :] * np.ones((height, 1))
-                page[20 : height - 20 : 12, 15 : width - 15] = 30
-                page = np.clip(page + noise.reshape(height, width), 0, 255).astype(np.uint8)
+                page = np.clip(draw(height, width, seed + r.doc_no * 1009 + r.page_no), 0, 255).astype(np.uint8)
                 yield pd.DataFrame({"doc": [f"d{r.doc_no}"], "page_no": [r.page_no], "width": [width], "height": [height], "channels": [1], "data": [page.tobytes()]})
 
+    ship(spark)
     grid = spark.range(documents_ * pages).select((F.col("id") / pages).cast("int").alias("doc_no"), (F.col("id") % pages).cast("int").alias("page_no"))
     return grid.mapInPandas(run, "doc string, page_no int, width int, height int, channels int, data binary")

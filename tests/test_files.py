@@ -1,5 +1,7 @@
 """Files as sources, synthetic pages, the command line."""
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,11 +13,10 @@ from quire.sources import files
 
 def test_written_documents_read_back(spark, tmp_path):
     title = "Tab\t(brackets)\\ Größe\n"
-    page = {"page_no": 0, "width": 60, "height": 80, "data": bytes(np.full(4800, 200, np.uint8)), "lines": [{"text": "héllo", "x": 0.1, "y": 0.8, "w": 0.5, "h": 0.05}]}
-    import pandas as pd
-
-    (tmp_path / "a.pdf").write_bytes(sink.assemble(pd.DataFrame([page]), title))
-    (tmp_path / "b.pdf").write_bytes(sink.assemble(pd.DataFrame([page | {"lines": None}]), ""))
+    page = {"lines": [{"text": "héllo", "x": 0.1, "y": 0.8, "w": 0.5, "h": 0.05}]}
+    held = encode.encoded(np.full((80, 60), 200, np.uint8), {}) | {"lines": page["lines"]}
+    (tmp_path / "a.pdf").write_bytes(sink.assemble([held], title))
+    (tmp_path / "b.pdf").write_bytes(sink.assemble([held | {"lines": None}], ""))
     docs = files.documents(spark, f"file://{tmp_path}")
     assert {r["doc"]: r["t"] for r in docs.select("doc", files.info_title(F.col("content")).alias("t")).collect()} == {"a.pdf": title, "b.pdf": None}
     assert {r["doc"]: r["chars"] for r in files.text_layers(docs).collect()} == {"a.pdf": 10, "b.pdf": 0}
@@ -44,4 +45,23 @@ def test_synthetic_pages_and_commands(spark, tmp_path, capsys):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
     assert main(["presets"]) == 0 and "contrast" in capsys.readouterr().out
     assert main([]) == 2
+    assert main(["langs"]) == 0
+    assert ["eng", "英文", "en-US"] in json.loads(capsys.readouterr().out)
+    assert main(["preview", f"file://{tmp_path}/pages", f"file://{tmp_path}/previews", "--pages", "1-", "--preset", "bw"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/previews").count() == 2
     assert jobs.report(pages).where("page_count = 2").count() == 2
+
+
+def test_kinds_of_synthetic_pages(spark):
+    got = {}
+    for kind in files.KINDS:
+        got[kind] = kernels.unpack(files.synthetic_pages(spark, 1, 1, 160, 120, kind=kind).first())
+        assert got[kind].shape == (160, 120)
+    assert got["desk"][80, 60] > 240 > 100 > got["desk"][2, 2]
+    assert got["photo"][5, 5] > got["photo"][-5, -5] and got["gradient"][5, 5] > got["gradient"][5, -5]
+    assert (got["quadrant"] < 128).mean() > 0.05 and (got["specks"] == 230).sum() > 5
+    state, plain = 11, []
+    for _ in range(50):
+        state = (state * 2862933555777941757 + 3037000493) % (1 << 64)
+        plain.append((state >> 58) % 25 - 12)
+    assert files.noise(11, 50).tolist() == plain

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import encode, kernels, pixels, rules, sink
 from quire.plans import jobs
-from quire.sources.adapters import raster_gray
+from quire.sources.adapters import raster_gray, raster_rows
 from quire.streaming import debounce
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def test_twins_agree(spark):
     h = pixels.histogram(r)
     got = pixels.paper_level(h).join(pixels.contrast(h), "page").join(pixels.otsu(h), "page").join(pixels.noise(r), "page").join(pixels.unevenness(r), "page")
     by = {str(x["page"]): x for x in got.collect()}
-    for x in kernels.pack_raster(r).collect():
+    for x in kernels.pack_raster(raster_rows(spark, SF)).collect():
         g, e = kernels.unpack(x), by[x["doc"]]
         assert (kernels.paper_level(g), kernels.contrast(g)) == (e["paper_level"], e["contrast"])
         assert kernels.otsu(g) == pytest.approx((e["threshold"], e["ink"]))
@@ -35,7 +35,7 @@ def test_twins_agree(spark):
 
 def test_box_mean_and_binarize_twins(spark):
     r = raster_gray(spark, SF)
-    page = kernels.unpack(kernels.pack_raster(r.where("page = 3")).first())
+    page = kernels.unpack(kernels.pack_raster(raster_rows(spark, SF).where("page = 3")).first())
     sums = {(x["y"], x["x"]): x["box_sum"] / x["box_n"] for x in pixels.box_sums(r.where("page = 3"), 4).collect()}
     mean = kernels.box_mean(page, 9)
     assert all(mean[k] == pytest.approx(v) for k, v in sums.items())
@@ -108,7 +108,7 @@ def test_documents_hold_what_their_tables_say(spark):
     pages = [(d, i, 60 + 4 * i, 80, 1, bytes(np.full(80 * (60 + 4 * i), 200, np.uint8))) for d in ("a", "b") for i in range(4)]
     df = spark.createDataFrame(pages, kernels.PAGE)
     lines = F.array(F.struct(F.lit("Größe (1)").alias("text"), *[F.lit(v).alias(c) for c, v in (("x", 0.1), ("y", 0.8), ("w", 0.6), ("h", 0.03))]))
-    for r in sink.write_documents(df.withColumn("lines", lines)).collect():
+    for r in sink.write_documents(encode.encode_pages(df.withColumn("lines", lines))).collect():
         data = bytes(r["content"])
         start = int(data.rsplit(b"startxref\n", 1)[1].split()[0])
         assert data[start : start + 4] == b"xref"
@@ -181,3 +181,166 @@ def test_debounced_stream(spark, tmp_path):
     assert got == {("a", 2, 2), ("a", 3, 1)}
     batch = {(r["k"], r["v"]) for r in debounce.debounce(df, "k", "t", "v").collect()}
     assert batch == {("a", 2), ("a", 3), ("b", 4)}
+
+
+def image(data, number=0):
+    """The number-th image of a document of ours, and its dictionary."""
+    import re
+
+    found = [m for m in re.finditer(rb"<< /Type /XObject /Subtype /Image (.*?)/Length (\d+) >>\nstream\n", data)]
+    head, size, at = found[number][1].decode(), int(found[number][2]), found[number].end()
+    raw = zlib.decompress(data[at : at + size])
+    value = lambda k: int(re.search(rf"/{k} (\d+)", head)[1])
+    w, h, bits, colors = value("Width"), value("Height"), value("BitsPerComponent"), 3 if "DeviceRGB" in head else 1
+    if bits == 1:
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(h, -1), axis=1)[:, :w], head
+    page = encode.unpredicted(raw, h, w * colors, colors)
+    return (page.reshape(h, w, 3) if colors == 3 else page), head
+
+
+def red_page():
+    page = np.full((90, 70, 3), 250, np.uint8)
+    page[20:60, 10:50] = (204, 30, 25)
+    page[30:50:4, 12:40] = (10, 60, 25)
+    return page
+
+
+def test_pages_are_written_by_their_mode(spark):
+    red, mono = red_page(), text_page(90, 70)
+    shade = np.repeat(np.linspace(90, 250, 70)[None, :], 90, axis=0).astype(np.uint8)
+    pages = [("c", 0, 70, 90, 3, red.tobytes()), ("g", 0, 70, 90, 1, shade.tobytes()), ("m", 0, 70, 90, 1, mono.tobytes())]
+    df = spark.createDataFrame(pages, kernels.PAGE)
+    got = {r["doc"]: image(bytes(r["content"])) for r in jobs.process(df, {"preset": "original"}).collect()}
+    assert (got["c"][0] == red).all() and "/Predictor 15 /Colors 3" in got["c"][1]
+    assert (got["g"][0] == shade).all() and "DeviceGray" in got["g"][1]
+    assert (got["m"][0] == (mono > kernels.otsu(mono)[0])).all() and "/BitsPerComponent 1" in got["m"][1]
+    for mode, colors in (("gray", 1), ("color", 3), ("mono", 1)):
+        spec = {"preset": "original", "compress": {"mode": mode, "adaptive": False, "encoder": "zip"}}
+        page, head = image(bytes(jobs.process(df, spec, selected=F.col("doc") == "c").first()["content"]))
+        assert ("DeviceRGB" in head) == (colors == 3) and ("/BitsPerComponent 1 " in head) == (mode == "mono")
+        if mode == "gray":
+            assert (page == kernels.gray(red)).all()
+    zipped = encode.encoded(mono, {"encoder": "zip"})
+    assert zipped["mode"] == "gray" and zipped["note"] is None and "not available" in encode.encoded(mono, {})["note"]
+
+
+def test_layers_of_a_noisy_colour_page():
+    rng = np.random.default_rng(3)
+    page = np.clip(rng.normal(225, 8, (600, 450, 3)), 0, 255).astype(np.uint8)
+    page[100:500:20, 60:390] = (15, 10, 40)
+    page[20:80, 20:430] = (230, 60, 60)
+    got, flat = encode.encoded(page, {}), encode.encoded(page, {"adaptive": False, "mode": "color"})
+    assert got["mode"] == "color" and got["mask"] and flat["mask"] is None
+    assert len(got["stream"]) + len(got["mask"]) + 4096 < len(flat["stream"])
+    assert max(got["ink"]) <= 0.35 and got["back_width"] == 150
+    data = sink.assemble([got | {"lines": None}], "layered")
+    mask, head = image(data, 1)
+    assert "/ImageMask true" in head and mask[100, 200] == 1 and mask[115, 200] == 0
+    assert b"/Im1 Do" in data and image(data)[0].shape == (200, 150, 3)
+    assert encode.encoded(page, {"encoder": "jp2lossless"})["mask"] is None
+
+
+def test_reports_and_plans_of_long_documents(spark):
+    page = text_page(80, 60, 2.0)
+    df = spark.createDataFrame([(d, i, 60, 80, 1, page.tobytes()) for d, n in (("a", 10), ("b", 3)) for i in range(n)], kernels.PAGE)
+    got = {r["doc"]: r for r in jobs.report(df).collect()}
+    assert got["a"]["page_count"] == 10 and got["a"]["sampled"] == 6 and got["b"]["page_count"] == 3
+    # the recommended plan's compression, in place of the one for mono pages
+    assert (got["a"]["adaptive"], got["a"]["compress_mode"], got["a"]["quality"]) == (True, "auto", 72)
+    odd = df.where("doc = 'b' or page_no % 3 = 0").withColumn("page_no", F.col("page_no") * 5)
+    assert {r["doc"]: (r["page_count"], r["sampled"]) for r in jobs.report(odd, sampled=3).collect()} == {"a": (4, 3), "b": (3, 3)}
+    assert jobs.report(df.limit(0)).count() == 0
+
+
+def test_pixels_are_not_shuffled(spark, tmp_path):
+    import re
+
+    page = text_page(80, 60)
+    spark.createDataFrame([(d, i, 60, 80, 1, page.tobytes()) for d in "ab" for i in range(3)], kernels.PAGE).write.parquet(f"file://{tmp_path}/pages")
+    df = spark.read.parquet(f"file://{tmp_path}/pages")
+    chosen = spark.createDataFrame([("a", 1)], "doc string, page_no int")
+    for out in (jobs.process(df, {"preset": "bw"}), jobs.process(df, {}, selected=chosen), jobs.preview(df, {}, 1)):
+        plan = spark._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) (?:Exchange|BroadcastExchange)\nInput \[\d+\]: \[(.*)\]", plan)
+        assert moved and not any("data#" in m for m in moved), plan
+    assert [r["doc"] for r in jobs.process(df, {}, selected=chosen).collect()] == ["a"]
+
+
+def test_parts_are_the_document(spark):
+    pages = [("a", i, 60, 80, 1, np.random.default_rng(i).integers(0, 255, 4800).astype(np.uint8).tobytes()) for i in range(7)]
+    enc = encode.encode_pages(spark.createDataFrame(pages, kernels.PAGE)).cache()
+    parts = sorted((r["part"], bytes(r["bytes"])) for r in sink.write_parts(enc, part_bytes=9000).collect())
+    assert [p for p, _ in parts] == list(range(len(parts))) and len(parts) > 2
+    assert b"".join(b for _, b in parts) == bytes(sink.write_documents(enc).first()["content"])
+
+
+def test_sidecars(spark, tmp_path):
+    line = lambda t: {"text": t, "x": 0.1, "y": 0.1, "w": 0.1, "h": 0.1}
+    rows = [("a", 1, [line("two"), line("")]), ("a", 0, [line("one"), line("more")]), ("b", 0, None), ("c", 0, [line("")])]
+    df = spark.createDataFrame(rows, f"doc string, page_no int, lines {encode.LINES}")
+    assert [tuple(r) for r in sink.sidecars(df).collect()] == [("a", "one\nmore\ntwo\n")]
+    sink.write_sidecars(df, f"file://{tmp_path}/text")
+    assert [p.read_text() for p in tmp_path.glob("text/doc=a/*.txt")] == ["one\nmore\ntwo\n"]
+
+
+def test_quads_pass_the_gates_of_the_rules(spark):
+    from quire.sources.adapters import constants
+
+    rows = {r["id"]: r for r in constants(spark, "quads").collect()}
+    q = constants(spark, "quads").select("id", *[F.col(c).cast("double").alias(c) for c in constants(spark, "quads").columns if c != "id"])
+    gates = {r["id"]: r["gate"] for r in rules.crop_gate(q).collect()}
+    assert len(gates) == 9
+    for i, r in rows.items():
+        quad = [(float(r[f"x{k}"]), float(r[f"y{k}"])) for k in range(4)]
+        size = 5 if r["outside"] is None else 400
+        page = np.full((size, size), float(r["outside"] or 80), np.uint8)
+        xs, ys = [x for x, _ in quad], [y for _, y in quad]
+        page[int(min(ys) * size) : int(max(ys) * size) + 1, int(min(xs) * size) : int(max(xs) * size) + 1] = float(r["inside"])
+        out, notes = kernels.enhance(page, {"quad": quad})
+        assert notes[0] == {"applied": "cropped"}.get(gates[i], gates[i])
+        assert (out.shape == page.shape) == (gates[i] != "applied")
+
+
+def test_crop_twins(spark):
+    rng = np.random.default_rng(5)
+    page = rng.integers(60, 256, (60, 50)).astype(np.uint8)
+    page[:1], page[:, -1:] = 90, 120
+    df = spark.createDataFrame([(0, y, x, int(page[y, x])) for y in range(60) for x in range(50)], "page int, y int, x int, v int")
+    assert tuple(pixels.border_trim(df).select("top", "bottom", "left", "right").first()) == kernels.border(page)
+    quads = spark.createDataFrame([(0, 0.2, 0.7, 0.1, 0.9)], "page int, qx0 double, qx1 double, qy0 double, qy1 double")
+    r = pixels.boundary_contrast(df, quads).first()
+    assert (r["inside"], r["outside"]) == pytest.approx(kernels.boundary(page, [(0.2, 0.1), (0.7, 0.1), (0.7, 0.9), (0.2, 0.9)]))
+
+
+def test_residue_of_a_turned_page_is_trimmed():
+    desk = np.full((300, 240), 60, np.uint8)
+    desk[48:252, 38:202] = 252
+    quad = [(36 / 240, 46 / 300), (204 / 240, 46 / 300), (204 / 240, 254 / 300), (36 / 240, 254 / 300)]
+    out, gate = kernels.crop(desk, quad)
+    assert gate == "cropped" and (out < 128).mean() < 0.004
+
+
+def test_one_pass_report_of_small_and_odd_pages(spark):
+    rng = np.random.default_rng(8)
+    pages = {0: rng.integers(0, 256, (40, 30)), 1: rng.integers(200, 256, (5, 7)), 2: np.full((1, 3), 255), 3: np.zeros((2, 2), int), 4: rng.integers(0, 2, (30, 26)) * 255}
+    rows = spark.createDataFrame([(p, y, [int(v) for v in line]) for p, a in pages.items() for y, line in enumerate(a)], "page int, y int, row array<int>")
+    for r in pixels.report(rows).collect():
+        g = pages[r["page"]].astype(np.uint8)
+        assert (r["paper_level"], r["contrast"], r["threshold"]) == (kernels.paper_level(g), kernels.contrast(g), kernels.otsu(g)[0])
+        assert (r["ink"], r["mean"], r["unevenness"]) == pytest.approx((kernels.otsu(g)[1], g.mean(), kernels.unevenness(g)))
+        if min(g.shape) > 3:
+            assert r["noise"] == pytest.approx(kernels.noise(g))
+
+
+def test_signatures_of_many():
+    rng = np.random.default_rng(9)
+    rows = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 5, 300, 1, 5, 0)]
+    assert encode.signatures(rows).tolist() == [encode.signature(b) for b in rows] and len(encode.signatures([])) == 0
+
+
+def test_next_checks(spark):
+    from datetime import datetime as d
+
+    attempts = spark.createDataFrame([("a", d(2025, 1, 1, 8), True), ("a", d(2025, 1, 2, 9), False)], "k string, t timestamp, ok boolean")
+    started = spark.createDataFrame([("a", d(2025, 1, 3)), ("b", d(2025, 1, 3))], "k string, t timestamp")
+    assert dict(map(tuple, debounce.next_check(attempts, started, "k", "t").collect())) == {"a": d(2025, 1, 3, 9), "b": d(2025, 1, 3, 0, 0, 10)}
