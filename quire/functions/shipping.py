@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,12 +22,15 @@ def ship(spark: SparkSession) -> None:
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     top = os.path.dirname(package)
     if os.path.isdir(package):
-        path = os.path.join(tempfile.mkdtemp(), f"quire-{uuid.uuid4().hex}.zip")
+        # served from there as long as the application runs
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, f"quire-{uuid.uuid4().hex}.zip")
         with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(package):
+            for place, _, names in os.walk(package):
                 for name in sorted(names):
                     if name.endswith(".py"):
-                        full = os.path.join(folder, name)
+                        full = os.path.join(place, name)
                         z.write(full, os.path.relpath(full, top))
         sc.addPyFile(path)
     _shipped.add(sc.applicationId)
