@@ -21,25 +21,37 @@ def _source_key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("b"))
 
 
+def _running(rows: DataFrame, order: list, sums: list[str], name: str) -> DataFrame:
+    """rows with __q_rank, from 0, and __q_<sum>, the sum of what is before, in the order: by ranges of rows, whose totals are one row for each task."""
+    dealt = shared.save(rows.repartitionByRange(*order).withColumn("__q_part", F.spark_partition_id()), name)
+    totals = dealt.groupBy("__q_part").agg(F.count("*").alias("__q_n"), *[F.sum(c).alias(f"__q_all_{c}") for c in sums])
+    whole = Window.orderBy("__q_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = [F.coalesce(F.sum(x).over(whole), F.lit(0)).alias(f"__q_to_{x}") for x in ("__q_n", *(f"__q_all_{c}" for c in sums))]
+    inside = Window.partitionBy("__q_part").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(totals.select("__q_part", *earlier), "__q_part")
+    out = out.withColumn("__q_rank", F.col("__q_to___q_n") + F.row_number().over(inside) - 1)
+    for c in sums:
+        out = out.withColumn(f"__q_{c}", F.col(f"__q_to___q_all_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)))
+    return out.select(*rows.columns, "__q_rank", *[f"__q_{c}" for c in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> DataFrame:
     """(source_key, source_size, target) of sizes (source_key, source_size).
 
     Sources in order take weights in turn. share of all words is dealt out by weight; no target is above epochs times
     its source's size, and the excess is dealt to the others by weight until none is above. With the sources in order
-    of size over weight, those that stop are the first few, so one pass of prefix sums finds the level of the rest.
+    of size over weight, those that stop are the first few, so prefix sums in that order find the level of the rest.
     """
-    every = Window.partitionBy()
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy("source_key")) - 1)
-    weight = F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("w", weight).withColumn("cap", (F.col("source_size") * epochs).cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "source_key")
-    up, down = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    budget = F.sum("source_size").over(every).cast("double") * share
-    ranked = ranked.withColumn("level", (budget - F.coalesce(F.sum("cap").over(up), F.lit(0.0))) / F.sum("w").over(down))
-    level = F.max(F.when(F.col("cap") / F.col("w") > F.col("level"), F.col("level"))).over(every)
-    ranked = ranked.withColumn("level", level)
-    target = F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap"))
-    return ranked.select("source_key", "source_size", target.alias("target"))
+    ranked = _running(sizes, ["source_key"], [], "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), (F.col("__q_rank") % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumn("w", weight).withColumn("cap", (F.col("source_size") * epochs).cast("double")).drop("__q_rank")
+    placed = _running(ranked.withColumn("fill", F.col("cap") / F.col("w")), ["fill", "source_key"], ["cap", "w"], "mix-levels")
+    total, all_w = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level = (F.lit(float(total)) * share - F.col("__q_cap")) / (F.lit(all_w) - F.col("__q_w"))
+    found = placed.agg(F.max(F.when(F.col("fill") > level, level))).first()[0]
+    target = F.col("cap") if found is None else F.least(F.col("cap"), F.lit(found) * F.col("w"))
+    return placed.select("source_key", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix", range_rows: int = 20_000, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

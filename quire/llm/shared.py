@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import io
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.shared import drop, new_path, save, shared_dir
 from quire.functions.shipping import ship
 
+__all__ = ["drop", "new_path", "prepare", "save", "shared_dir", "table"]
+
 #: Bytes of an Arrow batch sent to Python, so that a run of very long texts does not fill a worker.
 ARROW_BYTES = "8m"
 
+
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes where the session sets nothing, and ship this package to the executors once."""
     if not spark._jsparkSession.sessionState().conf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
@@ -22,35 +25,6 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints/quire"
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quire_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that save() wrote and nothing reads any more."""
-    spark, path = df.sparkSession, df._quire_path
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -63,3 +63,18 @@ def test_copies_and_odd_vectors(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got.pop(200) and got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4], 100: [0, 1, 2, 3, 4]}
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_clashing_names_and_ties(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-1, 2, 6).astype(float).tolist(), "x", 1, 2, 3.0, "y", "z") for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, query int, cell int, score double, part string, vector string")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 50 == 0, probes=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    sound = [(i, v) for i, v, *_ in rows if any(v)]
+    assert set(got) == {i for i, _ in sound if i % 50 == 0}
+    for q, found in got.items():
+        # different vectors with one cosine: the smaller id comes first
+        assert found == sorted(found, key=lambda x: (-x[1], x[0]))
+    assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [i for i, _ in e] for q, e in brute(sound, 5).items()}

@@ -61,6 +61,16 @@ def test_mixing_of_odd_rows(spark):
     assert words == +taken
 
 
+def test_targets_of_many_sources(spark):
+    from quire.llm.mixing import targets
+
+    rows = [(f"a{i:03d}", (i * 7919) % 1000 + (i % 5 == 0) * 5000) for i in range(400)] + [("b", 77)]
+    df = spark.createDataFrame(rows, "source_key string, source_size long").repartition(7)
+    expected = plain_targets(dict(rows))
+    got = {r["source_key"]: r["target"] for r in targets(df, (3, 1, 2), 1.5, 2).collect()}
+    assert got == pytest.approx(expected) and targets(df.limit(0), (3, 1, 2), 1.5, 2).count() == 0
+
+
 def test_line_dedup_of_odd_rows(spark):
     lines = "\n".join(f"own {i}" for i in range(2000))
     rows = [(i, f"menu\n\nown {i}\nmenu", "h", 5) for i in range(9)] + [(None, None, "h", 5), (20, "", None, 5), (21, "menu", None, 5), (22, lines, "k", 5), (23, "menu\n\n", "h", 5), (23, "menu\n\n", "h", 5)]

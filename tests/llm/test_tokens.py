@@ -108,3 +108,13 @@ def test_packing_of_odd_rows(spark):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     assert sorted((r["offset"], r["length"], zlib.crc32(r["ids"])) for r in pack(twice, path).collect())[1][0] == 3
     assert pack(docs.limit(0), path).count() == 0
+
+
+def test_packing_with_clashing_names(spark):
+    path = public_tokenizers.path(FILES[1])
+    rows = [(i, "some words " * i, 1, "x", 2, 3, 4, "y") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int, before string, at int, base int, total int, content string")
+    check_pieces(pack(docs, path, 16).collect(), {r[0]: r[1] for r in rows}, path, 16)
+    for name in ("part", "content", "before", "n", "ids", "sequence_id"):
+        got = pack(docs.select("doc_id", "text").withColumnRenamed("doc_id", name), path, 16, key=name)
+        assert got.columns.count(name) == 1 and sorted({r[name] for r in got.collect()}) == list(range(5))
