@@ -79,3 +79,25 @@ def fetch_status(status: Column, repo_visible: Column) -> Column:
     return (
         F.when(status == 200, "ok").when(status == 404, F.when(repo_visible, "noRelease").otherwise("inaccessible")).when(status.isin(403, 429), "rateLimited").otherwise("httpStatus")
     )
+
+
+#: What an event makes of an updater's state; any other leaves it as it is.
+MOVES = {
+    "idle": {"check": "checking"},
+    "checking": {"same": "up to date", "newer": "available", "error": "failed"},
+    "up to date": {"check": "checking"},
+    "available": {"check": "checking", "download": "downloading"},
+    "downloading": {"done": "ready", "mismatch": "blocked", "error": "failed"},
+    "ready": {"install": "installing"},
+    "installing": {"done": "idle", "error": "failed"},
+    "blocked": {"check": "checking"},
+    "failed": {"check": "checking"},
+}
+
+
+def updater_states(events: DataFrame, key: str, order: list[str], event: str) -> DataFrame:
+    """(key, state): where each updater is after its events, in their order, from idle."""
+    moves = F.create_map(*[F.lit(x) for state, to in MOVES.items() for e, then in to.items() for x in (f"{state}:{e}", then)])
+    told = F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event"))))
+    step = lambda state, e: F.coalesce(F.try_element_at(moves, F.concat(state, F.lit(":"), e["_event"])), state)
+    return events.groupBy(key).agg(told.alias("told")).select(key, F.aggregate("told", F.lit("idle"), step).alias("state"))

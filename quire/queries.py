@@ -288,6 +288,11 @@ def img_bg_remove(spark, sf_dir):
     return pixels.background(raster_rgb(spark, sf_dir), 0.5)
 
 
+@query(f"with {R2}, {LUMA} select page, y, x, v from raster")
+def img_luma(spark, sf_dir):
+    return pixels.luma(raster_rgb(spark, sf_dir)).select("page", "y", "x", "v")
+
+
 # documents and rules
 
 R3 = """metrics as (select user_id as doc, row_number() over (partition by user_id order by ts, event_id) as page_no,
@@ -861,6 +866,17 @@ def str_next_check(spark, sf_dir):
     return next_check(attempts, started, "user_id", "ts")
 
 
+_MOVES = ", ".join(f"'{a}:{e}': '{b}'" for a, to in release.MOVES.items() for e, b in to.items())
+
+
+@query(f"""with e as (select user_id, ts, event_id, case event_type when 'signup' then 'check' when 'view' then 'newer' when 'click' then 'download' when 'purchase' then 'done' else event_type end as ev from events)
+select user_id, list_reduce(['idle'] || list(ev order by ts, event_id), lambda a, b: coalesce(list_extract(map_extract(map {{{_MOVES}}}, a || ':' || b), 1), a)) as state from e group by user_id""")
+def str_updater_state(spark, sf_dir):
+    names = F.create_map(*[F.lit(x) for x in ("signup", "check", "view", "newer", "click", "download", "purchase", "done")])
+    e = table(spark, sf_dir, "events").withColumn("ev", F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")))
+    return release.updater_states(e, "user_id", ["ts", "event_id"], "ev")
+
+
 # checks and labels
 
 
