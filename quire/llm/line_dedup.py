@@ -36,9 +36,11 @@ def drop_common_lines(docs: DataFrame, host: str = "source", text: str = "text",
     common = counts.join(totals, "__q_host").where(F.col("pages") > F.col("total") * F.lit(ratio))
     common = shared.save(common.groupBy("__q_host").agg(F.collect_list("line").alias("__q_common")), "common-lines")
     out = marked.join(common, "__q_host", "left")
-    # the row's own common lines, by a hash set; they are few, so that each line looks into a short array
-    out = out.withColumn("__q_hit", F.coalesce(F.array_intersect(F.transform(filled, lambda x: F.xxhash64(x)), "__q_common"), F.array().cast("array<bigint>")))
-    out = out.withColumn("__q_kept", F.filter(_lines(text), lambda x: ~(x.rlike(FILLED) & F.array_contains(F.col("__q_hit"), F.xxhash64(x)))))
+    # the row's own common lines, by a hash set; they are few, so that each line looks into a short array. They are the
+    # one element of an array, so that they are found once a row and not once a line
+    hit = F.array(F.coalesce(F.array_intersect(F.transform(filled, lambda x: F.xxhash64(x)), "__q_common"), F.array().cast("array<bigint>")))
+    kept = F.transform(hit, lambda own: F.filter(_lines(text), lambda x: ~(x.rlike(FILLED) & F.array_contains(own, F.xxhash64(x)))))
+    out = out.withColumn("__q_kept", F.get(kept, 0))
     n_lines = F.coalesce(F.greatest(F.size(filled), F.lit(0)), F.lit(0))
     n_kept = F.size(F.filter(F.col("__q_kept"), lambda x: x.rlike(FILLED)))
     out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(n_lines - F.greatest(n_kept, F.lit(0)), F.lit(0)).cast("long")})
