@@ -73,8 +73,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.sha2(F.col("kept"), 256)
-    return remove_repeats(shared.table(spark, sf_dir, "documents"), length=400, derive={"kept_sha256": digest})
+    kept = F.col("kept")
+    derive = {"kept_sha256": F.sha2(kept, 256), "n_kept": F.octet_length(kept).cast("long"), "n_kept_chars": F.length(kept.cast("string")).cast("long")}
+    return remove_repeats(shared.table(spark, sf_dir, "documents"), length=400, derive=derive)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
