@@ -31,6 +31,14 @@ def main(args: list[str] | None = None) -> int:
             p.add_argument("--dpi", type=int, default=150)
             p.add_argument("--mode", choices=("auto", "color", "gray", "mono"), default="auto")
             p.add_argument("--encoder", default="jpeg")
+    p = sub.add_parser("encbench", help="sizes of each page by every encoding, least first")
+    p.add_argument("pages")
+    p.add_argument("out")
+    p = sub.add_parser("stripprobe", help="bytes in the strips of TIFF files")
+    p.add_argument("folder")
+    p = sub.add_parser("demo", help="synthetic pages, their report and their documents")
+    p.add_argument("out")
+    p.add_argument("--kind", default="scan")
     got = parser.parse_args(args)
     from quire.operators import rules
     from quire.sources.adapters import LANGUAGES
@@ -59,7 +67,27 @@ def main(args: list[str] | None = None) -> int:
 
         queries.QUERIES[got.name](spark, got.sf_dir).show(got.rows, truncate=80)
         return 0
+    if got.command == "stripprobe":
+        from quire.operators import encode
+        from quire.sources import files
+
+        found = encode.walked(files.documents(spark, got.folder, "*.tif*").select("doc", "content"), encode.tiff_strips, "strips binary")
+        found.select("doc", F.octet_length("strips").alias("bytes")).show(1000, truncate=80)
+        return 0
+    if got.command == "demo":
+        from quire.sources import files
+
+        pages = files.synthetic_pages(spark, 2, 3, kind=got.kind)
+        pages.write.parquet(f"{got.out}/pages")
+        jobs.report(pages).write.json(f"{got.out}/report")
+        jobs.process(pages, {"preset": "auto", "strength": 0.5}).write.parquet(f"{got.out}/documents")
+        return 0
     pages = spark.read.parquet(got.pages)
+    if got.command == "encbench":
+        from quire.operators import encode
+
+        encode.bench(pages).orderBy("doc", "page_no", "bytes").write.json(got.out)
+        return 0
     if got.command == "report":
         jobs.report(pages).write.json(got.out)
         return 0

@@ -162,6 +162,26 @@ def encode_pages(pages: DataFrame, compress: dict | None = None, kernel=None) ->
     return pages.select("doc", "page_no", "width", "height", "channels", "data", lines).mapInPandas(run, ENCODED)
 
 
+def bench(pages: DataFrame) -> DataFrame:
+    """(doc, page_no, encoding, bytes): each page's size by every encoding that is here; layered where there is a usable mask."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                page = kernels.unpack(r)
+                g, split = kernels.gray(page), layers(page)
+                sizes = {"flate": len(flate(page, False)), "flate with predictor": len(flate(page)), "gray": len(flate(g)), "mono": len(zlib.compress(packed(g, kernels.otsu(g)[0]), 9))}
+                if split:
+                    sizes["layered"] = len(split["stream"]) + len(split["mask"])
+                out += [(r.doc, r.page_no, k, n) for k, n in sizes.items()]
+            yield pd.DataFrame(out, columns=["doc", "page_no", "encoding", "bytes"])
+
+    ship(pages.sparkSession)
+    return pages.select("doc", "page_no", "width", "height", "channels", "data").mapInPandas(run, "doc string, page_no int, encoding string, bytes long")
+
+
 def framed(data: bytes, raw: bytes) -> bytes:
     """A zlib stream: data if it is one, else its raw deflate in a frame with the check sum of the bytes it holds."""
     if len(data) >= 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0:

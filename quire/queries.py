@@ -349,10 +349,12 @@ def win_progress(spark, sf_dir):
     return rules.progress(page_metrics(spark, sf_dir)).select("doc", "page_no", "progress")
 
 
-@query(f"with {R3} select doc, page_no, {STRENGTH.replace('bg_unevenness', 'unevenness').replace('paper_white', 'paper')} as bg_strength, case mode when 'mono' then false else true end as uses_strength from metrics")
+@query(f"with {R3} select doc, page_no, {STRENGTH.replace('bg_unevenness', 'unevenness').replace('paper_white', 'paper')} as bg_strength, case when doc % 3 = 0 then case when page_no % 4 = 3 then false else page_no % 2 = 0 end else mode <> 'mono' end as uses_strength from metrics")
 def rule_bg_strength(spark, sf_dir):
-    preset = F.when(F.col("mode") == "mono", "bw").otherwise("auto")
-    return page_metrics(spark, sf_dir).select("doc", "page_no", F.round(rules.bg_strength(F.col("unevenness"), F.col("paper")), 6).alias("bg_strength"), rules.uses_strength(preset, F.lit(None).cast("boolean")).alias("uses_strength"))
+    # every third document has no preset, and then the removal of the background, which may be unset, decides
+    preset = F.when(F.col("doc") % 3 == 0, F.lit(None)).when(F.col("mode") == "mono", "bw").otherwise("auto")
+    remove = F.when(F.col("page_no") % 4 != 3, F.col("page_no") % 2 == 0)
+    return page_metrics(spark, sf_dir).select("doc", "page_no", F.round(rules.bg_strength(F.col("unevenness"), F.col("paper")), 6).alias("bg_strength"), rules.uses_strength(preset, remove).alias("uses_strength"))
 
 
 @query(f"with {R3} select doc, page_no, case when noise < cast(0.22 as double) then 'low' when noise < 0.5 then 'mid' else 'high' end as noise_bucket, unevenness > cast(0.12 as double) as uneven from metrics")

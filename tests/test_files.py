@@ -44,6 +44,14 @@ def test_synthetic_pages_and_commands(spark, tmp_path, capsys):
     assert main(["process", f"file://{tmp_path}/pages", f"file://{tmp_path}/out", "--pages", "2", "--preset", "bw"]) == 0
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
     assert main(["presets"]) == 0 and "contrast" in capsys.readouterr().out
+    assert main(["demo", f"file://{tmp_path}/demo", "--kind", "photo"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/demo/documents").count() == 2 and spark.read.json(f"file://{tmp_path}/demo/report").count() == 2
+    assert main(["encbench", f"file://{tmp_path}/pages", f"file://{tmp_path}/bench"]) == 0
+    sizes = {r["encoding"]: r["bytes"] for r in spark.read.json(f"file://{tmp_path}/bench").where("doc = 'd0' and page_no = 0").collect()}
+    assert sizes["mono"] < sizes["flate with predictor"] and sizes["gray"] == sizes["flate with predictor"]
+    (tmp_path / "tif").mkdir()
+    (tmp_path / "tif" / "a.tif").write_bytes(b"II*\0" + (8).to_bytes(4, "little") + b"\0\0")
+    assert main(["stripprobe", f"file://{tmp_path}/tif"]) == 0 and "a.tif" in capsys.readouterr().out
     assert main([]) == 2
     assert main(["langs"]) == 0
     assert ["eng", "英文", "en-US"] in json.loads(capsys.readouterr().out)
@@ -65,3 +73,17 @@ def test_kinds_of_synthetic_pages(spark):
         state = (state * 2862933555777941757 + 3037000493) % (1 << 64)
         plain.append((state >> 58) % 25 - 12)
     assert files.noise(11, 50).tolist() == plain
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    import types
+
+    import pytest
+
+    from quire.functions.shared import shared_dir
+
+    session = lambda master, folder: types.SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=types.SimpleNamespace(master=master))
+    assert shared_dir(session("spark://x", "s3://there/")) == "s3://there" and shared_dir(session("local[2]", None)).startswith("file:")
+    for master in ("spark://x", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
