@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("page",)
+#: What a count of report() is of: gray values, bins of the Laplacian, gray values of a tile.
+GRAY, LAPLACIAN, TILE = 0, 1, 2
 
 
 def share(condition: Column) -> Column:
@@ -69,7 +71,9 @@ def laplacian(raster: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def noise(raster: DataFrame, keys=KEYS) -> DataFrame:
-    """Median of abs(Laplacian) div 4, capped at 255: the first bin with at least half the pixels; over 12, at most 1."""
+    """Median of abs(Laplacian) div 4, capped at 255: the first bin with at least half the pixels; over 12, at most 1. Of pixels, or of rows of them (y, row)."""
+    if "row" in raster.columns:
+        return report(raster, keys=keys, kinds=(LAPLACIAN,)).select(*keys, "noise")
     bins = laplacian(raster, keys).select(*keys, F.least(F.lit(255), F.floor(F.abs("lap") / 4)).cast("int").alias("v"))
     c = cumulated(histogram(bins, keys), keys)
     i = F.min(F.when(F.col("acc") >= F.floor(F.col("tot") / 2), F.col("v")))
@@ -78,7 +82,8 @@ def noise(raster: DataFrame, keys=KEYS) -> DataFrame:
 
 def laplacian_variance(raster: DataFrame, keys=KEYS) -> DataFrame:
     lap = F.col("lap").cast("long")
-    got = laplacian(raster, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(lap).alias("s"), F.sum(lap * lap).alias("q"))
+    laps = _framed(raster, keys).select(*keys, F.explode("lap").alias("lap")) if "row" in raster.columns else laplacian(raster, keys)
+    got = laps.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(lap).alias("s"), F.sum(lap * lap).alias("q"))
     mean_ = F.col("s") / F.col("n")
     return got.select(*keys, F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean_ * mean_).alias("laplacian_variance"))
 
@@ -114,7 +119,9 @@ def tiles(raster: DataFrame, grid: int, keys=KEYS) -> DataFrame:
 
 
 def unevenness(raster: DataFrame, grid: int = 12, keys=KEYS) -> DataFrame:
-    """Spread of the tiles' paper levels: of each tile the mean of pixels from its 80th percentile up; over the sorted levels (high - low) / high."""
+    """Spread of the tiles' paper levels: of each tile the mean of pixels from its 80th percentile up; over the sorted levels (high - low) / high. Of pixels, or of rows of them (y, row)."""
+    if "row" in raster.columns:
+        return report(raster, grid, keys, (TILE,)).select(*keys, "unevenness")
     by = [*keys, "gy", "gx"]
     c = cumulated(histogram(tiles(raster, grid, keys), by), by)
     cut = c.groupBy(*by).agg(percentile_of(0.8).alias("cut"))
@@ -324,14 +331,18 @@ def boundary_contrast(raster: DataFrame, quads: DataFrame, keys=KEYS) -> DataFra
     return size.select(*keys).join(g, list(keys), "left").select(*keys, F.when(ok, F.col("m4")).alias("inside"), F.when(ok, F.greatest("m0", "m1", "m2", "m3")).alias("outside"))
 
 
-#: What a count of report() is of: gray values, bins of the Laplacian, gray values of a tile.
-GRAY, LAPLACIAN, TILE = 0, 1, 2
+def _framed(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """Rows of pixels (y, row) with the rows above and below, their number h and length w, and lap, the Laplacian of their inner pixels, empty in the outer rows."""
+    page = Window.partitionBy(*keys)
+    r = rows.withColumns({"up": F.lag("row").over(page.orderBy("y")), "down": F.lead("row").over(page.orderBy("y")), "h": F.count("*").over(page).cast("int"), "w": F.size("row")})
+    at = lambda name, i: F.get(F.col(name), i)
+    lap = F.transform(F.sequence(F.lit(1), F.col("w") - 2), lambda i: at("row", i - 1) + at("row", i + 1) + at("up", i) + at("down", i) - 4 * at("row", i))
+    return r.withColumn("lap", F.when(F.col("up").isNotNull() & F.col("down").isNotNull() & (F.col("w") > 2), lap).otherwise(F.array().cast("array<int>"))).drop("up", "down")
 
 
-def _counts(rows: DataFrame, grid: int, keys=KEYS) -> DataFrame:
+def _counts(rows: DataFrame, grid: int, keys=KEYS, kinds=(GRAY, LAPLACIAN, TILE)) -> DataFrame:
     """Counts of values by kind, gy, gx, v, from rows of pixels (y, row), a row of pixels being an array."""
-    page = Window.partitionBy(*keys)
-    r = rows.withColumns({"up": F.lag("row").over(page.orderBy("y")), "down": F.lead("row").over(page.orderBy("y")), "h": F.count("*").over(page).cast("int"), "w": F.size("row")})
+    r = _framed(rows, keys)
 
     def held(at: Column, n: Column) -> Column:
         """Tiles that hold a line."""
@@ -342,27 +353,28 @@ def _counts(rows: DataFrame, grid: int, keys=KEYS) -> DataFrame:
     def value(kind: int, gy, gx, v) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(gy).cast("int").alias("gy"), F.lit(gx).cast("int").alias("gx"), v.cast("int").alias("v"))
 
-    at = lambda name, i: F.get(F.col(name), i)
-    lap = lambda i: at("row", i - 1) + at("row", i + 1) + at("up", i) + at("down", i) - 4 * at("row", i)
-    bins = F.transform(F.sequence(F.lit(1), F.col("w") - 2), lambda i: value(LAPLACIAN, -1, -1, F.least(F.lit(255), F.floor(F.abs(lap(i)) / 4))))
-    inner = F.when(F.col("up").isNotNull() & F.col("down").isNotNull() & (F.col("w") > 2), bins).otherwise(F.array().cast("array<struct<kind:int,gy:int,gx:int,v:int>>"))
-    gray = F.transform("row", lambda v: value(GRAY, -1, -1, v))
     across = lambda v, x: F.transform(held(x, F.col("w")), lambda gx: F.struct(gx.alias("gx"), v.alias("v")))
-    tiled = F.flatten(F.transform("row", across))
-    both = F.flatten(F.transform(held(F.col("y"), F.col("h")), lambda gy: F.transform(F.col("tiled"), lambda t: value(TILE, gy, t["gx"], t["v"]))))
-    r = r.withColumn("tiled", tiled).select(*keys, F.explode(F.concat(gray, inner, both)).alias("c"))
+    parts = {
+        GRAY: F.transform("row", lambda v: value(GRAY, -1, -1, v)),
+        LAPLACIAN: F.transform("lap", lambda x: value(LAPLACIAN, -1, -1, F.least(F.lit(255), F.floor(F.abs(x) / 4)))),
+        TILE: F.flatten(F.transform(held(F.col("y"), F.col("h")), lambda gy: F.transform(F.col("tiled"), lambda t: value(TILE, gy, t["gx"], t["v"])))),
+    }
+    if TILE in kinds:
+        r = r.withColumn("tiled", F.flatten(F.transform("row", across)))
+    r = r.select(*keys, F.explode(F.concat(*[parts[k] for k in kinds])).alias("c"))
     return r.groupBy(*keys, "c.kind", "c.gy", "c.gx", "c.v").agg(F.count("*").alias("n"))
 
 
-def report(rows: DataFrame, grid: int = 12, keys=KEYS) -> DataFrame:
+def report(rows: DataFrame, grid: int = 12, keys=KEYS, kinds=(GRAY, LAPLACIAN, TILE)) -> DataFrame:
     """Paper level, percentiles, mean, Otsu threshold and ink, noise, unevenness, mono_like of pages, in one pass over rows of pixels (y, row).
 
-    Rows of a page come together once, as arrays; all that follows works on counts in the same place.
+    Rows of a page come together once, as arrays; all that follows works on counts in the same place. kinds: what is
+    counted; what needs others is null, or 0 for noise and unevenness.
     """
     by = [*keys, "kind", "gy", "gx"]
     w = Window.partitionBy(*by)
     up, down, v, n = w.orderBy("v"), w.orderBy(F.desc("v")), F.col("v"), F.col("n")
-    c = _counts(rows, grid, keys).withColumns(
+    c = _counts(rows, grid, keys, kinds).withColumns(
         {"acc": F.sum("n").over(up), "down": F.sum("n").over(down), "tot": F.sum("n").over(w), "sb": F.sum(v * n).over(up), "sdown": F.sum(v * n).over(down), "sa": F.sum(v * n).over(w)}
     )
     wb, wf = F.col("acc"), F.col("tot") - F.col("acc")

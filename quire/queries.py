@@ -138,13 +138,13 @@ join raster r on r.page = a.page and r.y = a.y and r.x = a.x + 1 join raster u o
 c as (select page, v, sum(n) over (partition by page order by v) as acc, sum(n) over (partition by page) as tot from bins)
 select page, least(1.0, cast(min(v) as double) / 12.0) as noise from c where acc >= floor(cast(tot as double) / 2) group by page""")
 def agg_noise(spark, sf_dir):
-    return pixels.noise(raster_gray(spark, sf_dir))
+    return pixels.noise(raster_rows(spark, sf_dir))
 
 
 @query(f"""with {R1}, {LAP}, s as (select page, count(*) as n, sum(lap) as s, sum(lap * lap) as q from lap group by page)
 select page, greatest(0.0, cast(q as double) / cast(n as double) - (cast(s as double) / cast(n as double)) * (cast(s as double) / cast(n as double))) as laplacian_variance from s""")
 def agg_laplacian_variance(spark, sf_dir):
-    return pixels.laplacian_variance(raster_gray(spark, sf_dir))
+    return pixels.laplacian_variance(raster_rows(spark, sf_dir))
 
 
 @query(f"with {R1} select page, y, cast(sum(v) as double) / cast(count(*) as double) as row_mean from raster group by page, y")
@@ -174,7 +174,7 @@ s as (select page, list(level order by level) as s from lv group by page),
 e as (select page, len(s) as k, s[cast(floor(len(s) * cast(0.1 as double)) as int) + 1] as lo, s[least(len(s) - 1, cast(floor(len(s) * cast(0.9 as double)) as int)) + 1] as hi from s)
 select page, case when k < 4 or hi <= 1 then 0.0 else greatest(0.0, least(1.0, (hi - lo) / hi)) end as unevenness from e""")
 def agg_unevenness(spark, sf_dir):
-    return pixels.unevenness(raster_gray(spark, sf_dir))
+    return pixels.unevenness(raster_rows(spark, sf_dir))
 
 
 BOX = """box as (select page, y, x, v, sum(s1) over (partition by page, y order by x rows between 4 preceding and 4 following) as box_sum,
@@ -248,9 +248,7 @@ p as (select page, max(v) as paper_level from cum where down >= tot - floor(tot
 m as (select page, cast(sum(v * n) as double) / cast(sum(n) as double) as mean from hist group by page)
 select page, paper_level >= 249 and mean >= 250 as paper_white, unevenness > cast(0.05 as double) or not (paper_level >= 249 and mean >= 250) as needs_clean from p join m using (page) join u using (page)""")
 def prj_paper_white(spark, sf_dir):
-    r = raster_gray(spark, sf_dir)
-    h = pixels.histogram(r)
-    j = pixels.paper_level(h).join(pixels.mean(h), "page").join(pixels.unevenness(r), "page")
+    j = pixels.report(raster_rows(spark, sf_dir), kinds=(pixels.GRAY, pixels.TILE))
     white = rules.paper_white(F.col("paper_level"), F.col("mean"))
     return j.select("page", white.alias("paper_white"), rules.needs_clean(F.col("unevenness"), white).alias("needs_clean"))
 

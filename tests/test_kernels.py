@@ -330,6 +330,9 @@ def test_one_pass_report_of_small_and_odd_pages(spark):
         assert (r["ink"], r["mean"], r["unevenness"]) == pytest.approx((kernels.otsu(g)[1], g.mean(), kernels.unevenness(g)))
         if min(g.shape) > 3:
             assert r["noise"] == pytest.approx(kernels.noise(g))
+    flat = rows.select("page", "y", F.posexplode("row").alias("x", "v"))
+    for f in (pixels.noise, pixels.unevenness, pixels.laplacian_variance):
+        assert {**dict(map(tuple, f(rows).collect()))} == {**dict.fromkeys(f(rows).select("page").toPandas()["page"], 0.0), **dict(map(tuple, f(flat).collect()))}
 
 
 def test_signatures_of_many():
