@@ -276,13 +276,27 @@ def filtered(raster: DataFrame, keys=KEYS) -> DataFrame:
     return r.select(*keys, "y", "x", *[F.pmod(F.col("v") - e, F.lit(256)).alias(f"f{i}") for i, e in enumerate(predictions)])
 
 
-def best_filter(raster: DataFrame, keys=KEYS) -> DataFrame:
-    """For each row the filter of the least sum of absolute signed bytes, the lowest type of equal ones."""
-    f = filtered(raster, keys)
-    signed = [F.sum(F.when(F.col(f"f{i}") < 128, F.col(f"f{i}")).otherwise(256 - F.col(f"f{i}"))).alias(f"s{i}") for i in range(5)]
-    g = f.groupBy(*keys, "y").agg(*signed)
-    best = F.array_min(F.array(*[F.struct(F.col(f"s{i}").alias("score"), F.lit(i).alias("filter")) for i in range(5)]))
-    return g.select(*keys, "y", best["filter"].alias("filter"), best["score"].alias("score"))
+def best_filter(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """For each row of pixels (y, row, an array) the filter of the least sum of absolute signed bytes, the lowest type of equal ones."""
+    r = rows.withColumn("up", F.lag("row").over(Window.partitionBy(*keys).orderBy("y")))
+
+    def predictions(i: Column) -> list[Column]:
+        # to the left of the first pixel, and above the first row, there is 0
+        a, b, c = (F.coalesce(F.get(F.col(n), j), F.lit(0)) for n, j in (("row", i - 1), ("up", i), ("up", i - 1)))
+        p = a + b - c
+        pa, pb, pc = F.abs(p - a), F.abs(p - b), F.abs(p - c)
+        return [F.lit(0), a, b, F.floor((a + b) / 2).cast("int"), F.when((pa <= pb) & (pa <= pc), a).when(pb <= pc, b).otherwise(c)]
+
+    def signed(i: Column, kind: int) -> Column:
+        f = F.pmod(F.get("row", i) - predictions(i)[kind], F.lit(256))
+        return F.when(f < 128, f).otherwise(256 - f).cast("long")
+
+    def summed(kind: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.size("row") - 1), F.lit(0).cast("long"), lambda total, i: total + signed(i, kind))
+
+    sums = [summed(k) for k in range(5)]
+    best = F.array_min(F.array(*[F.struct(e.alias("score"), F.lit(k).alias("filter")) for k, e in enumerate(sums)]))
+    return r.where(F.size("row") > 0).select(*keys, "y", best["filter"].alias("filter"), best["score"].alias("score"))
 
 
 def packed(raster: DataFrame, threshold: int = 128, white_pad: bool = True, keys=KEYS) -> DataFrame:

@@ -520,7 +520,7 @@ def win_png_filters(spark, sf_dir):
 
 @query(f"with {R1}, {FILT}, s as (select page, y, " + ", ".join(f"sum(case when f{i} < 128 then f{i} else 256 - f{i} end) as s{i}" for i in range(5)) + " from fl group by page, y) select page, y, case least(s0, s1, s2, s3, s4) when s0 then 0 when s1 then 1 when s2 then 2 when s3 then 3 else 4 end as filter, cast(least(s0, s1, s2, s3, s4) as bigint) as score from s")
 def win_png_best_filter(spark, sf_dir):
-    return pixels.best_filter(raster_gray(spark, sf_dir))
+    return pixels.best_filter(raster_rows(spark, sf_dir))
 
 
 @query(f"with {R1} select page, y, x // 8 as byte, cast(sum(case when v > 128 then 1 << (7 - x % 8) else 0 end) + (1 << (8 - count(*))) - 1 as int) as value from raster group by page, y, x // 8")
