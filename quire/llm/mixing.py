@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epochs: in
     return placed.select("source_key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix", range_rows: int = 20_000, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix", range_rows: int = 5_000, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs with size, source_size, target and taken.
 
     size: words of the text (null: 0). taken: the words of it that the mix takes, repeats counted; a source's add up
