@@ -16,6 +16,7 @@ from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .url_filter import judge
+from .variants import variants, word_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(shared.table(spark, sf_dir, "documents"), length=400, derive=derive)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(word_counts(shared.table(spark, sf_dir, "documents"), slip=31))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "pipeline": pipeline,
 }
 
