@@ -17,6 +17,7 @@ from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .url_filter import judge
 from .variants import variants, word_counts
+from .whitening import whiten
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(word_counts(shared.table(spark, sf_dir, "documents"), slip=31))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(shared.table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
 
