@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import shared, toxicity
 from .ann import nearest
 from .fingerprint import compare_with_edits
+from .html_text import extract
 from .line_dedup import drop_common_lines
 from .mixing import mix
 from .packing import pack
@@ -84,6 +85,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(word_counts(shared.table(spark, sf_dir, "documents"), slip=31))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(shared.table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(shared.table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
@@ -106,6 +111,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_html_text": op12_html_text,
     "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
