@@ -5,8 +5,6 @@ distance div segments bits. Each distinct fingerprint stands in a table by each
 the values of a small Hamming ball around its own; complete distances are verified where a probe meets an entry.
 Of two values that probe each other only the smaller probes. Equal fingerprints are one entry, whatever their rows.
 
-Similarity is judged by wider fingerprints: their first 64 bits find candidates in the same way, all bits decide.
-
 A segment value with more than dense entries is looked up by a second level: entries and probes take as a further
 key the values of balls around the rest of their bits, whose radii add up to what distance is left; all that meet
 there are within the distance, so each needs a link with one of them only, and no pairs are made.
@@ -14,7 +12,6 @@ there are within the distance, so each needs a link with one of them only, and n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -225,120 +222,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, segments
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(ids, "root").select("fp", "component_id")
     return held.join(by_fp, "fp").select(key, "fp", "component_id")
-
-
-def allowed(least: float, bits: int) -> int:
-    """Bits of so many in which fingerprints of sets of one size and of a Jaccard similarity of least differ on average."""
-    return math.floor(bits * math.acos(2 * least / (1 + least)) / math.pi)
-
-
-def _wide(words: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b in shared.by_bytes(batch, "content"):
-                got = np.array([wide_fingerprint(t, words, width) for t in b["content"]], dtype=np.uint64).reshape(-1, width)
-                yield pd.DataFrame({"d": b["d"], "fp": got[:, 0].view(np.int64), "more": [x.tobytes() for x in got[:, 1:]]})
-
-    return run
-
-
-def _wide_links(distance: int, whole: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for b in batches:
-            more = np.frombuffer(b"".join(b["more"]), dtype=np.uint64).reshape(len(b), width - 1)
-            now = [b[c].to_numpy() for c in ("seg", "value", "block")] + [b["probe"].to_numpy() > 0, b["d"].to_numpy(), b["fp"].to_numpy().view(np.uint64), more]
-            if kept is not None:
-                now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
-            seg, value, block, probe, d, fp, more = now
-            if not len(d):
-                continue
-
-            def near(i, j, fp=fp, more=more):
-                first = np.bitwise_count(fp[i] ^ fp[j])
-                out = first <= distance
-                i, j = i[out], j[out]
-                out[out] = first[out] + np.bitwise_count(more[i] ^ more[j]).sum(axis=1) <= whole
-                return out
-
-            new = np.ones(len(d), dtype=bool)
-            new[1:] = (seg[1:] != seg[:-1]) | (value[1:] != value[:-1]) | (block[1:] != block[:-1])
-            last = int(np.flatnonzero(new)[-1])
-            a, c = _within(np.cumsum(new), probe, d, near)
-            # the last run may go on: its entries are kept, which blocks have bounded; its probes are done
-            kept = [x[last:][~probe[last:]] for x in now]
-            yield pd.DataFrame({"a": a, "b": c})
-
-    return run
-
-
-def similar_links(prints: DataFrame, least: float = 0.8, distance: int = 11, segments: int = 6, width: int = 4, dense: int = 4096) -> DataFrame:
-    """Links (a, b) that connect what chains of near fingerprints connect of the values of prints.d (d, fp, more).
-
-    Two are near if their first 64 bits differ in distance at most, by which they are found, and all bits in allowed()
-    at most. distance div segments is 1: a segment of the two differs by one bit or none. A segment's value that more
-    than dense entries have is dealt to blocks of about so many, and each entry probes the blocks after its own.
-    """
-    assert distance // segments == 1
-    cuts = [BITS * s // segments for s in range(segments + 1)]
-    segment = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long")) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    entries = prints.select("d", "fp", "more", F.posexplode(F.array(*segment)).alias("seg", "value"))
-    # of two values that differ in a bit, the one without it probes the one with it
-    flips = F.array(*[_ball(_masks(hi - lo, 1, 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)])
-    around = F.filter(F.element_at(flips, F.col("seg") + 1), lambda m: F.col("value").bitwiseAND(m) == 0)
-    probes = F.transform(around, lambda m: F.struct(F.col("value").bitwiseOR(m).alias("value"), F.lit(1).alias("probe")))
-    rows = entries.select("d", "fp", "more", "seg", F.explode(F.concat(F.array(F.struct("value", F.lit(0).alias("probe"))), probes)).alias("x")).select("seg", "x.value", "x.probe", "d", "fp", "more")
-    hot = entries.groupBy("seg", "value").count().where(F.col("count") > dense).select("seg", "value", F.ceil(F.col("count") / dense).cast("int").alias("blocks"))
-    hot = shared.save(hot, "dense")
-    if hot.isEmpty():
-        rows = rows.withColumn("block", F.lit(0))
-    else:
-        rows = rows.join(hot, ["seg", "value"], "left").withColumn("own", F.pmod(F.xxhash64("d"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        first = F.when(F.col("probe") == 0, F.col("own")).otherwise(0)
-        rows = rows.select("seg", "value", "probe", "d", "fp", "more", "own", F.explode(F.sequence(first, F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-        rows = rows.withColumn("probe", F.when(F.col("block") == F.col("own"), F.col("probe")).otherwise(1))
-    dealt = rows.repartition("seg", "value", "block").sortWithinPartitions("seg", "value", "block", "probe")
-    return dealt.mapInPandas(_wide_links(distance, allowed(least, width * BITS), width), "a long, b long")
-
-
-def similar(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 11, segments: int = 6, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id) of each row: component_id is the smallest key that chains of texts as similar as least reach from it.
-
-    The similarity of two texts' word shingles is judged by fingerprints of width times 64 bits, whose differing bits
-    grow with the angle between the sets of shingles; multi-index hashing over the first 64 finds what is compared.
-    Equal texts are one entry, told apart by 64-bit digests. Texts without words are alike; null text counts as empty.
-    A null key is never a component's id, unless all its keys are null. An empty table gives an empty table.
-    """
-    shared.prepare(docs.sparkSession)
-    content = shared.text_or_empty(text)
-    held = docs.select(key, F.xxhash64(content).alias("d"))
-    distinct = shared.save(held.groupBy("d").agg(F.min(key).alias("least")), "distinct")
-    # copies are fingerprinted where they are read and meet as fingerprints, so that no text is moved
-    texts = docs.select(F.xxhash64(content).alias("d"), content.alias("content"))
-    prints = shared.save(texts.mapInPandas(_wide(words, width), "d long, fp long, more binary").dropDuplicates(["d"]), "fingerprints")
-    group = components(similar_links(prints, least, distance, segments, width))
-    labelled = distinct.join(group.withColumnRenamed("node", "d"), "d", "left").select("d", "least", F.coalesce("root", "d").alias("root"))
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return held.join(labelled.join(ids, "root").select("d", "component_id"), "d").select(key, "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of similar texts: the one of the smallest key.
-
-    Rows that share a key are one document, of which one row stays. Rows with a null key cannot be told from each other
-    and stay. An empty table stays empty. All columns are kept.
-    """
-    return keep_least(docs, similar(docs, words, least, key=key, text=text), key)
-
-
-def keep_least(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the keys that found (key, component_id) puts into the component of a smaller one."""
-    found = shared.save(found, "near-duplicates")
-    by_key = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
-    by_key = shared.save(by_key, "near-duplicate-keys")
-    gone = by_key.where(F.col("least") < F.col(key)).select(key)
-    kept = docs.join(gone.hint("shuffle_hash"), key, "left_anti")
-    twice = by_key.where((F.col("rows") > 1) & (F.col("least") == F.col(key))).select(key)
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, key, "left_anti").unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))

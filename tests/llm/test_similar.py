@@ -1,14 +1,15 @@
-"""Similar texts by wide fingerprints: against all pairs of fingerprints, and against similarities."""
+"""Similar texts: against the shingles of all pairs."""
 
 import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 import xxhash
 
-from quire.llm.components import components
-from quire.llm.simhash import allowed, keep_one, similar, similar_links, wide_fingerprint
+from quire.llm.simhash import wide_fingerprint
+from quire.llm.similar import allowed, keep_one, similar, spanning
 
 SCHEMA = "doc_id long, text string, source string"
 MASK = (1 << 64) - 1
@@ -31,11 +32,6 @@ def plain_wide(text, k=5, width=4):
     return out
 
 
-def near(a, b, distance=11, whole=38):
-    bits = [(x ^ y).bit_count() for x, y in zip(a, b)]
-    return bits[0] <= distance and sum(bits) <= whole
-
-
 def joined(keys, linked):
     root = {d: d for d in keys}
 
@@ -51,10 +47,14 @@ def joined(keys, linked):
     return {d: find(d) for d in root}
 
 
-def plain_ids(texts):
-    """The component of each key, from all pairs of fingerprints."""
-    prints = {d: plain_wide(t) for d, t in texts.items()}
-    return joined(texts, lambda a, b: near(prints[a], prints[b]))
+def plain_ids(texts, least=0.8):
+    """The component of each key, from all pairs of sets of shingles."""
+    sets = {d: plain_set(t) for d, t in texts.items()}
+    return joined(texts, lambda a, b: jaccard(sets[a], sets[b]) >= least)
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
 
 
 def plain_set(text):
@@ -89,27 +89,51 @@ def test_wide_fingerprint(text):
 
 
 def test_allowed_bits():
-    assert allowed(0.8, 256) == 38 and allowed(1.0, 256) == 0
+    assert allowed(0.8, 128) == 29 and allowed(1.0, 128) == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spanning_forest_of_least_scores(seed):
+    rng = np.random.default_rng(seed)
+    a, b, score = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 50, 300).astype(np.uint64)
+    a, b, score = a[a != b], b[a != b], score[a != b]
+    got = spanning(a, b, score)
+    root = list(range(40))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    total = n = 0
+    for k in np.lexsort((np.arange(len(a)), score)):
+        x, y = find(a[k]), find(b[k])
+        if x != y:
+            root[y] = x
+            total, n = total + int(score[k]), n + 1
+    assert len(got) == n and int(score[got].sum()) == total
 
 
 def test_all_pairs(spark):
     rows = table(random.Random(4))
-    expected = plain_ids({d: t for d, t, _ in rows})
+    texts = {d: t for d, t, _ in rows}
+    expected, sets = plain_ids(texts), {d: plain_set(t) for d, t in texts.items()}
     got = similar(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == expected and len(got) == len(rows)
-    assert len(set(expected.values())) < len(rows) - 60
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == len(rows) and len(set(expected.values())) < len(rows) - 60
+    # no link that is not similar, and hardly one that is lost
+    assert all(expected[d] == expected[c] for d, c in found.items())
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(texts), 2) if jaccard(sets[a], sets[b]) >= 0.8]
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.95 * len(pairs)
     assert similar(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_blocks_of_dense_values_lose_nothing(spark):
+@pytest.mark.parametrize("dense", [7, 1])
+def test_blocks_of_dense_values_lose_nothing(spark, dense):
     rows = table(random.Random(5))
-    prints = {d: plain_wide(t) for d, t, _ in rows}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(d, signed(p[0]), bytearray(b"".join(x.to_bytes(8, "little") for x in p[1:]))) for d, p in prints.items()], "d long, fp long, more binary")
-    expected = joined(prints, lambda a, b: near(prints[a], prints[b]))
-    for dense in (4096, 7, 1):
-        found = {r["node"]: r["root"] for r in components(similar_links(df, dense=dense)).collect()}
-        assert {d: found.get(d, d) for d in prints} == expected
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {(r["doc_id"], r["component_id"]) for r in similar(df).collect()}
+    assert {(r["doc_id"], r["component_id"]) for r in similar(df, dense=dense).collect()} == whole
 
 
 def test_links_are_those_of_similar_sets(spark):
@@ -117,16 +141,16 @@ def test_links_are_those_of_similar_sets(spark):
     texts, similarity = {}, {}
     for i in range(0, 1000, 2):
         base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(80, 400))]
-        texts[i], texts[i + 1] = " ".join(base), " ".join(varied(rng, base, rng.randrange(1, len(base) // 12)))
-        a, b = plain_set(texts[i]), plain_set(texts[i + 1])
-        similarity[i] = len(a & b) / len(a | b)
+        texts[i], texts[i + 1] = " ".join(base), " ".join(varied(rng, base, rng.randrange(1, len(base) // 18)))
+        similarity[i] = jaccard(plain_set(texts[i]), plain_set(texts[i + 1]))
     got = {r["doc_id"]: r["component_id"] for r in similar(spark.createDataFrame([(d, t, "x") for d, t in texts.items()], SCHEMA)).collect()}
     found = {i: got[i + 1] == i for i in similarity}
     assert all(got[i] == i for i in similarity)
-    sure = [found[i] for i, s in similarity.items() if s >= 0.87]
-    assert len(sure) > 30 and sum(sure) >= 0.95 * len(sure)
-    unlike = [found[i] for i, s in similarity.items() if s < 0.7]
-    assert len(unlike) > 30 and sum(unlike) <= 0.05 * len(unlike)
+    close = [found[i] for i, s in similarity.items() if 0.8 <= s < 0.85]
+    like = [found[i] for i, s in similarity.items() if s >= 0.8]
+    below = [found[i] for i, s in similarity.items() if 0.75 <= s < 0.8]
+    assert len(close) > 40 and sum(close) >= 0.93 * len(close) and sum(like) >= 0.96 * len(like)
+    assert len(below) > 40 and not any(found[i] for i, s in similarity.items() if s < 0.8)
 
 
 def test_the_pipeline_drops_copies_beyond_three_bits(spark):
@@ -135,7 +159,7 @@ def test_the_pipeline_drops_copies_beyond_three_bits(spark):
     while True:
         other = varied(rng, base, 1)
         a, b = wide_fingerprint(" ".join(base)), wide_fingerprint(" ".join(other))
-        if (a[0] ^ b[0]).bit_count() > 3 and near(a, b):
+        if (a[0] ^ b[0]).bit_count() > 3 and jaccard(plain_set(" ".join(base)), plain_set(" ".join(other))) >= 0.8:
             break
     rows = [(7, " ".join(base), "x"), (3, " ".join(other), "x"), (9, "another text", "x"), (None, "another text", "x"), (9, "another text", "x"), (11, None, "x"), (12, "", "x")]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), None)
