@@ -29,7 +29,7 @@ def report(pages: DataFrame, has_text: DataFrame | None = None, sampled: int = 6
 
 
 def process(pages: DataFrame, spec: dict, dpi: int = 150, selected: DataFrame | Column | None = None, parts: bool = False) -> DataFrame:
-    """(doc, content): the selected pages enhanced, encoded by their mode and put together; or (doc, part, bytes).
+    """(doc, content): the selected pages enhanced, encoded by their mode and put together; or (doc, at, bytes), the ranges of the files.
 
     spec may hold compress: mode, adaptive, encoder, mono_encoder. selected: a condition, which is asked where pages are
     read, or a table (doc, page_no), which encoded pages are joined with, so that the others are encoded in vain; all
@@ -40,7 +40,7 @@ def process(pages: DataFrame, spec: dict, dpi: int = 150, selected: DataFrame |
     done = encode.encode_pages(pages, spec.get("compress"), lambda p: kernels.enhance(p, spec)[0])
     if isinstance(selected, DataFrame):
         done = done.join(selected.select(F.col("doc").cast("string").alias("doc"), F.col("page_no").cast("int").alias("page_no")), ["doc", "page_no"], "left_semi")
-    return sink.write_parts(done, dpi) if parts else sink.write_documents(done, dpi)
+    return sink.write_ranges(done, dpi) if parts else sink.write_documents(done, dpi)
 
 
 def preview(pages: DataFrame, spec: dict, page_no: int = 0, longest: int = 900) -> DataFrame:
@@ -60,9 +60,3 @@ def preview(pages: DataFrame, spec: dict, page_no: int = 0, longest: int = 900)
     ship(pages.sparkSession)
     made = some.select("doc", "page_no", "width", "height", "channels", "data").mapInPandas(run, "doc string, page_no int, before binary, after binary")
     return made.join(chosen, ["doc", "page_no"], "left_semi").drop("page_no")
-
-
-def stop_on_too_many(pages: DataFrame, declared: DataFrame) -> None:
-    """Fail before anything is written if a document has more pages than declared."""
-    if not sink.check_counts(pages, declared).isEmpty():
-        raise ValueError("a document has more pages than declared")

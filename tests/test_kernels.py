@@ -156,7 +156,7 @@ def test_jobs(spark):
     assert len(done) == 2 and all(bytes(r["content"]).count(b"/Subtype /Image") == 1 for r in done)
     assert all(bytes(r["before"]).startswith(b"\x89PNG") for r in jobs.preview(df, {"preset": "contrast"}, 9).collect())
     with pytest.raises(ValueError):
-        jobs.stop_on_too_many(df, spark.createDataFrame([("a", 1)], "doc string, declared long"))
+        sink.checked(df, spark.createDataFrame([("a", 1)], "doc string, declared long"))
     assert rules.PLANS[1][0] == "balanced"
 
 
@@ -266,14 +266,6 @@ def test_pixels_are_not_shuffled(spark, tmp_path):
     assert [r["doc"] for r in jobs.process(df, {}, selected=chosen).collect()] == ["a"]
 
 
-def test_parts_are_the_document(spark):
-    pages = [("a", i, 60, 80, 1, np.random.default_rng(i).integers(0, 255, 4800).astype(np.uint8).tobytes()) for i in range(7)]
-    enc = encode.encode_pages(spark.createDataFrame(pages, kernels.PAGE)).cache()
-    parts = sorted((r["part"], bytes(r["bytes"])) for r in sink.write_parts(enc, part_bytes=9000).collect())
-    assert [p for p, _ in parts] == list(range(len(parts))) and len(parts) > 2
-    assert b"".join(b for _, b in parts) == bytes(sink.write_documents(enc).first()["content"])
-
-
 def test_sidecars(spark, tmp_path):
     line = lambda t: {"text": t, "x": 0.1, "y": 0.1, "w": 0.1, "h": 0.1}
     rows = [("a", 1, [line("two"), line("")]), ("a", 0, [line("one"), line("more")]), ("b", 0, None), ("c", 0, [line("")])]
