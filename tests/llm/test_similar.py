@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from quire.llm.simhash import wide_fingerprint
-from quire.llm.similar import allowed, keep_one, nearest, similar
+from quire.llm.similar import allowed, chosen, keep_one, similar, spanning
 
 SCHEMA = "doc_id long, text string, source string"
 MASK = (1 << 64) - 1
@@ -92,15 +92,38 @@ def test_allowed_bits():
     assert allowed(0.8, 128) == 29 and allowed(1.0, 128) == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_spanning_forest_of_least_scores(seed):
+    rng = np.random.default_rng(seed)
+    a, b, score = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 50, 300).astype(np.uint64)
+    a, b, score = a[a != b], b[a != b], score[a != b]
+    got = spanning(a, b, score)
+    root = list(range(40))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    total = n = 0
+    for k in np.lexsort((np.arange(len(a)), score)):
+        x, y = find(a[k]), find(b[k])
+        if x != y:
+            root[y] = x
+            total, n = total + int(score[k]), n + 1
+    assert len(got) == n and int(score[got].sum()) == total
+
+
 @pytest.mark.parametrize("most", [1, 3, 50])
-def test_nearest(most):
+def test_chosen(most):
     rng = np.random.default_rng(most)
-    a, b, bits = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 29, 1600)
-    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-    bits = bits[a * 40 + b]
-    own = {x: sorted({(int(n), int(p), int(q)) for p, q, n in zip(a, b, bits) if x in (p, q)})[:most] for x in range(40)}
-    got = nearest(a, b, bits, most)
-    assert set(zip(*map(np.ndarray.tolist, got))) == {(p, q, n) for x in own.values() for n, p, q in x}
+    a, b = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    a, b = a[a != b], b[a != b]
+    size, bits = rng.integers(1, 4, 40), rng.permutation(1600)
+    score = bits[np.minimum(a, b) * 40 + np.maximum(a, b)]
+    of = {x: sorted({(int(n), int(min(p, q)), int(max(p, q))) for p, q, n in zip(a, b, score) if x in (p, q) and size[x] <= size[p + q - x]})[:most] for x in range(40)}
+    got = chosen(a, b, size[a], size[b], score, most)
+    assert {(min(a[k], b[k]), max(a[k], b[k])) for k in got} == {(p, q) for x in of.values() for _, p, q in x}
 
 
 def test_all_pairs(spark):
