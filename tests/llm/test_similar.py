@@ -122,8 +122,8 @@ def test_chosen(most):
     size, bits = rng.integers(1, 4, 40), rng.permutation(1600)
     score = bits[np.minimum(a, b) * 40 + np.maximum(a, b)]
     of = {x: sorted({(int(n), int(min(p, q)), int(max(p, q))) for p, q, n in zip(a, b, score) if x in (p, q) and size[x] <= size[p + q - x]})[:most] for x in range(40)}
-    got = chosen(a, b, size[a], size[b], score, most)
-    assert {(min(a[k], b[k]), max(a[k], b[k])) for k in got} == {(p, q) for x in of.values() for _, p, q in x}
+    places, owners = chosen(a, b, size[a], size[b], score, most)
+    assert sorted((int(o), int(min(a[k], b[k])), int(max(a[k], b[k]))) for k, o in zip(places, owners)) == sorted((x, p, q) for x, few in of.items() for _, p, q in few)
 
 
 def test_all_pairs(spark):
