@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
 
 
 def main(args: list[str] | None = None) -> int:
@@ -97,7 +98,8 @@ def main(args: list[str] | None = None) -> int:
     chosen = F.array_contains(text.parse_selection(F.lit(got.selection), F.lit(longest)), F.col("page_no").cast("int"))
     if got.command == "process":
         spec["compress"] = {"mode": got.mode, "adaptive": got.mode == "auto", "encoder": got.encoder}
-        jobs.process(pages, spec, got.dpi, chosen).write.parquet(got.out)
+        created = datetime.now(timezone.utc).strftime("D:%Y%m%d%H%M%SZ")
+        jobs.process(pages, spec, got.dpi, chosen, created=created).write.parquet(got.out)
     else:
         jobs.preview(pages.where(chosen), spec, longest).write.parquet(got.out)
     return 0

@@ -28,19 +28,20 @@ def report(pages: DataFrame, has_text: DataFrame | None = None, sampled: int = 6
     return docs.drop("skewed").join(advice, "doc")
 
 
-def process(pages: DataFrame, spec: dict, dpi: int = 150, selected: DataFrame | Column | None = None, parts: bool = False) -> DataFrame:
+def process(pages: DataFrame, spec: dict, dpi: int = 150, selected: DataFrame | Column | None = None, parts: bool = False, **how) -> DataFrame:
     """(doc, content): the selected pages enhanced, encoded by their mode and put together; or (doc, at, bytes), the ranges of the files.
 
     spec may hold compress: mode, adaptive, encoder, mono_encoder. selected: a condition, which is asked where pages are
     read, or a table (doc, page_no), which encoded pages are joined with, so that the others are encoded in vain; all
-    pages if None. Pages are enhanced and encoded where they are read; what is shuffled is encoded.
+    pages if None. Pages are enhanced and encoded where they are read; what is shuffled is encoded. how: titles,
+    created and visible, as write_ranges takes them.
     """
     if isinstance(selected, Column):
         pages = pages.where(selected)
     done = encode.encode_pages(pages, spec.get("compress"), lambda p: kernels.enhance(p, spec)[0])
     if isinstance(selected, DataFrame):
         done = done.join(selected.select(F.col("doc").cast("string").alias("doc"), F.col("page_no").cast("int").alias("page_no")), ["doc", "page_no"], "left_semi")
-    return sink.write_ranges(done, dpi) if parts else sink.write_documents(done, dpi)
+    return sink.write_ranges(done, dpi, **how) if parts else sink.write_documents(done, dpi, **how)
 
 
 def preview(pages: DataFrame, spec: dict, page_no: int = 0, longest: int = 900) -> DataFrame:
