@@ -15,13 +15,31 @@ from quire.operators import kernels
 ADLER = 65521
 
 
-def adler32(column):
-    """Adler-32 of binary, by a fold over its bytes."""
+def adler_part(column):
+    """What a chunk of bytes gives to a check sum: its length, its sum, and the sum of its running sums."""
     from .text import byte_values
 
-    values = F.transform(byte_values(column), lambda v: v.cast("long"))
-    step = lambda acc, v: F.struct(((acc["a"] + v) % ADLER).alias("a"), ((acc["b"] + acc["a"] + v) % ADLER).alias("b"))
-    return F.aggregate(values, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), step, lambda acc: acc["b"] * 65536 + acc["a"])
+    zero = F.lit(0).cast("long")
+    step = lambda acc, v: F.struct((acc["s"] + v).alias("s"), (acc["w"] + acc["s"] + v).alias("w"))
+    both = F.aggregate(F.transform(byte_values(column), lambda v: v.cast("long")), F.struct(zero.alias("s"), zero.alias("w")), step)
+    return F.struct(F.octet_length(column).cast("long").alias("n"), (both["s"] % ADLER).alias("s"), (both["w"] % ADLER).alias("w"))
+
+
+def adler_joined(x, y):
+    """The part of two chunks that follow each other; in whichever order three are joined, the result is the same."""
+    return F.struct((x["n"] + y["n"]).alias("n"), ((x["s"] + y["s"]) % ADLER).alias("s"), ((x["w"] + x["s"] * (y["n"] % ADLER) + y["w"]) % ADLER).alias("w"))
+
+
+def adler_sum(part):
+    return (part["n"] + part["w"]) % ADLER * 65536 + (1 + part["s"]) % ADLER
+
+
+def adler32(column, chunk: int = 4096):
+    """Adler-32 of binary, from chunks that are joined: no sum grows with the bytes. Null for null."""
+    last = F.greatest(F.ceil(F.octet_length(column) / chunk).cast("int") - 1, F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: adler_part(F.substring(column, i * chunk + 1, F.lit(chunk))))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(chunks, F.struct(zero.alias("n"), zero.alias("s"), zero.alias("w")), adler_joined, adler_sum)
 
 
 def signature(data: bytes) -> int:
