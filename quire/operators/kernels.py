@@ -179,9 +179,14 @@ def median3(page: np.ndarray) -> np.ndarray:
     return np.median(np.stack([p[y : y + h, x : x + w] for y in range(3) for x in range(3)]), axis=0).astype(np.uint8)
 
 
-def unsharp(page: np.ndarray, radius: float, amount: float) -> np.ndarray:
+def weights(radius: float) -> np.ndarray:
+    """Of the seven pixels around one, by their distance."""
     k = np.exp(-(np.arange(-3, 4) ** 2) / (2 * radius**2))
-    k /= k.sum()
+    return k / k.sum()
+
+
+def unsharp(page: np.ndarray, radius: float, amount: float) -> np.ndarray:
+    k = weights(radius)
     blur = page.astype(np.float64)
     for axis in (0, 1):
         pad = [(0, 0)] * page.ndim

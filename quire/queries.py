@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.shipping import ship
-from quire.operators import checks, encode, kernels, pixels, release, rules, sink, text
+from quire.operators import bands, checks, encode, kernels, pixels, release, rules, sink, text
 from quire.sources.adapters import VALUES, constants, page_metrics, page_sizes, raster_gray, raster_rgb, raster_rows, table
 from quire.sources import files
 from quire.streaming.debounce import debounce, next_check
@@ -185,19 +185,20 @@ BOX = """box as (select page, y, x, v, sum(s1) over (partition by page, y order
 
 @query(f"with {R1}, {BOX} select page, y, x, cast(box_sum as bigint) as box_sum, cast(box_n as bigint) as box_n from box")
 def win_box_mean(spark, sf_dir):
-    return pixels.box_sums(raster_gray(spark, sf_dir), 4).select("page", "y", "x", "box_sum", "box_n")
+    return bands.by_pixel(bands.box_sums(raster_rows(spark, sf_dir), 4), {"box_sum": "box_sum", "box_n": "box_n"})
 
 
 @query(f"with {R1}, {BOX} select page, y, x, case when v < cast(box_sum as double) / cast(box_n as double) * cast(0.9 as double) then 0 else 255 end as bit from box")
 def fn_binarize(spark, sf_dir):
-    return pixels.binarize(raster_gray(spark, sf_dir), 64).select("page", "y", "x", "bit")
+    return bands.by_pixel(bands.binarize(raster_rows(spark, sf_dir), 64), {"bit": "bit"})
 
 
 @query(f"""with {R1}, {BOX}, {HIST}, {OTSU}, a as (select page, {_share("v < cast(box_sum as double) / cast(box_n as double) * cast(0.9 as double)")} as ink_local from box group by page)
 select page, case when ink_local > 0.0004 and ink_local < 0.45 then 'local' when ink > 0.0004 and ink < 0.45 then 'otsu' else 'none' end as binarized_by from a join otsu using (page)""")
 def fn_binarize_fallback(spark, sf_dir):
     r = raster_gray(spark, sf_dir)
-    local = pixels.binarize(r, 64).groupBy("page").agg(pixels.share(F.col("bit") == 0).alias("ink_local"))
+    bits = bands.binarize(raster_rows(spark, sf_dir), 64)
+    local = bits.groupBy("page").agg((F.sum(F.size(F.filter("bit", lambda b: b == 0))) / F.sum(F.size("bit"))).alias("ink_local"))
     both = local.join(pixels.otsu(pixels.histogram(r)), "page")
     return both.select("page", F.when(rules.accept_binary(F.col("ink_local")), "local").when(rules.accept_binary(F.col("ink")), "otsu").otherwise("none").alias("binarized_by"))
 
@@ -947,7 +948,51 @@ def win_up_predictor(spark, sf_dir):
 @query(f"""with {R1}, n as (select a.page, a.y, a.x, list_sort(list(b.v)) as nine from raster a join raster b on b.page = a.page and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by a.page, a.y, a.x having count(*) = 9)
 select page, y, x, nine[5] as median from n""")
 def img_median(spark, sf_dir):
-    return pixels.median(raster_gray(spark, sf_dir))
+    rows = raster_rows(spark, sf_dir)
+    size = rows.groupBy("page").agg((F.max("y") - 1).alias("lowest"))
+    # the pixels of the page's edge have no nine around them
+    inner = bands.by_pixel(bands.median(rows), {"median": "median"}).join(size, "page")
+    return inner.where((F.col("y") >= 1) & (F.col("y") <= F.col("lowest")) & (F.col("x") >= 1) & (F.col("x") <= 62)).select("page", "y", "x", "median")
+
+
+def unsharp_sql(source: str, radius: float, amount: float) -> str:
+    """v of source (page, y, x, v as double), away from the weighted mean of 7 by 7, the edge repeated."""
+
+    def blurred(value: str, of: str, by: str, along: str) -> str:
+        window = f"partition by page, {by} order by {along}"
+        whole = f"({window} rows between unbounded preceding and unbounded following)"
+        at = {i: f"coalesce(lag({value}, {-i}) over ({window}), first_value({value}) over {whole})" if i < 0 else f"coalesce(lead({value}, {i}) over ({window}), last_value({value}) over {whole})" for i in range(-3, 4)}
+        return f"select *, {' + '.join(f'cast({float(k)!r} as double) * {at[i]}'.replace(f'{float(k)!r}', repr(str(float(k)))) for i, k in zip(range(-3, 4), kernels.weights(radius), strict=True))} as {value}b from {of}"
+
+    down = blurred("v", source, "x", "y")
+    both = blurred("vb", f"({down})", "y", "x")
+    return f"select page, y, x, cast(greatest(0, least(255, floor(v + cast({amount} as double) * (v - vbb) + 0.5))) as int) as v from ({both})"
+
+
+@query(f"with {R1}, d as (select page, y, x, cast(v as double) as v from raster) {unsharp_sql('d', 1.4, 0.6)}")
+def img_sharpen(spark, sf_dir):
+    return bands.by_pixel(bands.sharpen(raster_rows(spark, sf_dir)), {"v": "v"})
+
+
+@query(f"""with {R1}, {SIZE}, m as (select a.page, a.y, a.x, list_sort(list(b.v)) as nine from raster a join size using (page) join (select unnest(range(-1, 2)) as dy) p on true join (select unnest(range(-1, 2)) as dx) q on true
+ join raster b on b.page = a.page and b.y = greatest(0, least(h - 1, a.y + dy)) and b.x = greatest(0, least(w - 1, a.x + dx)) group by a.page, a.y, a.x),
+d as (select page, y, x, cast(nine[5] as double) as v from m) {unsharp_sql('d', 1.2, 0.7)}""")
+def img_descreen(spark, sf_dir):
+    return bands.by_pixel(bands.descreen(raster_rows(spark, sf_dir)), {"v": "v"})
+
+
+def votes_sql(name: str, angles: str) -> str:
+    """A table of each page's best angle in tenths, of angles (page, a)."""
+    return f"""{name} as (select page, arg_max(a, struct_pack(s := score, m := -a)) as a from (select page, a, sum(n * n) as score from (
+ select page, a, line, count(*) as n from (select page, a, floor((y * round(cos(radians(a / 10.0)) * 65536) - x * round(sin(radians(a / 10.0)) * 65536)) / 65536) as line from raster join {angles} using (page) where v < 128) t
+ group by page, a, line) u group by page, a) w group by page)"""
+
+
+@query(f"""with {R1}, pages as (select distinct page from raster), a1 as (select page, unnest(range(-100, 101, 10)) as a from pages), {votes_sql('coarse', 'a1')},
+a2 as (select page, unnest(range(a - 10, a + 11)) as a from coarse), {votes_sql('fine', 'a2')}
+select page, case when abs(a) >= 1.5 then greatest(-100, least(100, a)) / 10.0 else 0.0 end as skew from pages left join fine using (page)""")
+def agg_page_skew(spark, sf_dir):
+    return bands.skew(raster_rows(spark, sf_dir))
 
 
 @query(f"with {R1}, {SIZE}, s as (select page, y, x, v, h, w from raster join size using (page)) select page, cast(avg(case when v < 128 then y end) as double) as dark_row, cast(avg(case when v < 128 then x end) as double) as dark_column from s group by page")
