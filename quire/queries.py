@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.shipping import ship
-from quire.operators import bands, checks, encode, kernels, pixels, release, rules, sink, text
+from quire.operators import bands, checks, encode, kernels, pixels, release, rules, sink, skyline, text
 from quire.sources.adapters import VALUES, constants, page_metrics, page_sizes, raster_gray, raster_rgb, raster_rows, table
 from quire.sources import files
 from quire.streaming.debounce import debounce, next_check
@@ -482,6 +482,30 @@ def srt_rate_distortion(spark, sf_dir):
     return rules.rate_distortion(_bench(spark, sf_dir), ["doc", "page_no"])
 
 
+SKY = f"""with {R1}, kept as (select page, y, x, v, depth, cast(v // (1 << (8 - depth)) as int) as k from raster cross join (select unnest([1, 2, 4, 8]) as depth) d),
+lines as (select page, depth, y, (count(*) * depth + 7) // 8 as packed, 2 * sum(case when x % 255 = 0 or k <> before then 1 else 0 end) as runs, sum((v - k * 255 // ((1 << depth) - 1)) * (v - k * 255 // ((1 << depth) - 1))) as error, count(*) as n
+ from (select *, lag(k) over (partition by page, depth, y order by x) as before from kept) t group by page, depth, y),
+sums as (select page, depth, sum(packed) as packed, sum(runs) as runs, sum(error) as error, sum(n) as n from lines group by page, depth),
+cand as (select page, depth, coder, cast(bytes as bigint) as bytes, cast(error as bigint) as error, case when error = 0 then cast('inf' as double) else round(10 * log10(cast(65025 as double) * cast(n as double) / cast(error as double)), 6) end as psnr
+ from (select page, depth, error, n, unnest(['packed', 'runs']) as coder, unnest([packed, runs]) as bytes from sums) u)"""
+
+
+@query(f"{SKY} select page, depth, coder, bytes, error, psnr from cand")
+def enc_candidates(spark, sf_dir):
+    return skyline.candidates(raster_rows(spark, sf_dir))
+
+
+@query(f"""{SKY} select page, depth, coder, bytes, error, psnr from cand c where not exists (select 1 from cand d where d.page = c.page and d.bytes <= c.bytes and d.error <= c.error
+ and (d.bytes < c.bytes or d.error < c.error or d.coder < c.coder or (d.coder = c.coder and d.depth < c.depth)))""")
+def srt_skyline(spark, sf_dir):
+    return skyline.unbeaten(skyline.candidates(raster_rows(spark, sf_dir)))
+
+
+@query(f"{SKY} select page, b.depth as depth, b.coder as coder, b.bytes as bytes, b.error as error, b.psnr as psnr from (select page, min(struct_pack(bytes := bytes, error := error, coder := coder, depth := depth, psnr := psnr)) as b from cand where psnr >= 30 group by page) t")
+def srt_least_within(spark, sf_dir):
+    return skyline.least_within(skyline.candidates(raster_rows(spark, sf_dir)), 30.0)
+
+
 @query(f"with {R4} select doc, page_no, page_no % 2 = 1 and doc % 3 <> 0 and doc % 5 <> 0 and (bytes * 7) // 10 + 4096 < bytes as layered from sizes")
 def enc_mrc_gate(spark, sf_dir):
     p = page_sizes(spark, sf_dir)
