@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def parse_selection(selection: Column, total: Column) -> Column:
     """Sorted 0-based pages of a selection such as 1,3-5,7-; ranges that end before they begin hold no page."""
     text = F.regexp_replace(selection, r"^\s+|\s+$", "")
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def pages(p: Column) -> Column:
         begin = F.coalesce(p.substr(F.lit(1), F.instr(p, "-") - 1).try_cast("int"), F.lit(1))
         rest = p.substr(F.instr(p, "-") + 1, F.length(p))
         end = F.coalesce(rest.try_cast("int"), total)
         one = p.try_cast("int")
-        ranged = F.when(end >= begin, F.sequence(F.greatest(begin, F.lit(1)) - 1, F.greatest(F.least(end, total), F.greatest(begin, F.lit(1))) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.greatest(begin, F.lit(1))
+        ranged = F.when(end >= first, F.sequence(first - 1, F.greatest(F.least(end, total), first) - 1)).otherwise(F.array().cast("array<int>"))
         return F.when(p.contains("-"), ranged).when(one.isNotNull(), F.array(one - 1)).otherwise(F.array().cast("array<int>"))
 
     every = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))

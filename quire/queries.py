@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.shipping import ship
 from quire.operators import bands, checks, encode, kernels, pixels, release, rules, sink, skyline, text
-from quire.sources.adapters import VALUES, constants, page_metrics, page_sizes, raster_gray, raster_rgb, raster_rows, table
+from quire.sources.adapters import DERIVED, VALUES, constants, derived, page_metrics, page_sizes, raster_gray, raster_rgb, raster_rows, table
 from quire.sources import files
 from quire.streaming.debounce import debounce, next_check
 
@@ -32,6 +32,11 @@ def values_sql(name: str) -> str:
     return f"(select * from (values {rows.replace('as string)', 'as varchar)')}) t({columns}))"
 
 
+def derived_sql(name: str) -> str:
+    source, columns = DERIVED[name]
+    return f"(select {', '.join(f'{e} as {c}' for c, e in columns.items())} from {source})"
+
+
 R1 = """rows_ as (select label as page, embedding, row_number() over (partition by label order by vec_id) - 1 as y from embeddings),
 wide as (select page, y, embedding, unnest(range(1, 65)) as i from rows_),
 raster as (select page, cast(y as int) as y, cast(i - 1 as int) as x, cast(least(255, greatest(0, floor((cast(embedding[i] as double) + 0.5) * 255))) as int) as v from wide)"""
@@ -373,7 +378,7 @@ def win_page_list(spark, sf_dir):
     return text.page_list(page_metrics(spark, sf_dir).where(F.abs("skew") > 0.3))
 
 
-@query(f"""with s as (select * from {values_sql('selections')}), t as (select id, total, trim(selection, ' ') as sel from s),
+@query(f"""with s as (select * from {derived_sql('selections')}), t as (select id, total, trim(selection, ' ') as sel from s),
 parts as (select id, total, trim(unnest(string_split(sel, ',')), ' ') as p from t),
 ab as (select id, total, p, position('-' in p) as d, try_cast(p as int) as n, coalesce(try_cast(substr(p, 1, position('-' in p) - 1) as int), 1) as a, coalesce(try_cast(substr(p, position('-' in p) + 1) as int), total) as b from parts where p <> ''),
 pages as (select id, total, unnest(range(a - 1, greatest(a - 1, b))) as pg from ab where d > 0 union all select id, total, n - 1 from ab where d = 0 and n is not null
@@ -381,7 +386,7 @@ pages as (select id, total, unnest(range(a - 1, greatest(a - 1, b))) as pg from
 ok as (select distinct id, pg from pages where pg >= 0 and pg < total)
 select s.id, coalesce((select string_agg(cast(pg as varchar), ',' order by pg) from ok where ok.id = s.id), '') as pages from s""")
 def prj_page_selection(spark, sf_dir):
-    s = constants(spark, "selections")
+    s = derived(spark, sf_dir, "selections")
     got = text.parse_selection(F.col("selection"), F.col("total"))
     return s.select("id", F.array_join(F.transform(got, lambda x: x.cast("string")), ",").alias("pages"))
 
@@ -401,10 +406,10 @@ def src_page_pixels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rotate.alias("rotate"), w.alias("width_px"), h.alias("height_px"))
 
 
-@query(f"""with s as (select * from {values_sql('streams')}), w as (select id, list_filter(list_transform(regexp_extract_all(body, '/Width[ \\n\\r]*([0-9]{{0,8}})', 1)[1:200], lambda x: try_cast(x as int)), lambda x: x < 40000) as w from s)
+@query(f"""with s as (select * from {derived_sql('widths')}), w as (select id, list_filter(list_transform(regexp_extract_all(body, '/Width[ \\n\\r]*([0-9]{{0,8}})', 1)[1:200], lambda x: try_cast(x as int)), lambda x: x < 40000) as w from s)
 select id, case when coalesce(list_max(w), 0) = 0 then 300 else cast(greatest(72, least(1200, round(list_max(w) / (cast(595 as double) / 72.0)))) as int) end as dpi from w""")
 def prj_estimate_dpi(spark, sf_dir):
-    return constants(spark, "streams").select("id", text.estimate_dpi(F.col("body"), 595.0).alias("dpi"))
+    return derived(spark, sf_dir, "widths").select("id", text.estimate_dpi(F.col("body"), 595.0).alias("dpi"))
 
 
 @query("""with d as (select source, count(*) as pages, sum(length(text)) as chars from documents group by source)
@@ -425,9 +430,9 @@ def _token_sql(t: str) -> str:
 STREAM_SQL = f"coalesce(cast(len(regexp_extract_all(body, '[\\x09\\x0A\\x0D\\x20-\\x7E]')) as double) / cast(nullif(length(body), 0) as double) > cast(0.95 as double) and {_token_sql('BT')} and {_token_sql('Tf')} and ({_token_sql('Tj')} or {_token_sql('TJ')}), false)"
 
 
-@query(f"select id, {STREAM_SQL} as is_content from {values_sql('streams')}")
+@query(f"select id, {STREAM_SQL} as is_content from {derived_sql('streams')}")
 def prj_content_stream(spark, sf_dir):
-    return constants(spark, "streams").select("id", text.content_stream(F.col("body")).alias("is_content"))
+    return derived(spark, sf_dir, "streams").select("id", text.content_stream(F.col("body")).alias("is_content"))
 
 
 @query(f"select page_id, {STREAM_SQL} as is_content from (select page_id, html as body from pages)")
@@ -640,7 +645,7 @@ def _turns() -> list[str]:
     return [f"((x{(i + 1) % 4} - x{i}) * (y{(i + 2) % 4} - y{(i + 1) % 4}) - (y{(i + 1) % 4} - y{i}) * (x{(i + 2) % 4} - x{(i + 1) % 4}))" for i in range(4)]
 
 
-QUAD = f"""q as (select id, {', '.join(f'cast({a}{i} as double) as {a}{i}' for i in range(4) for a in 'xy')}, cast(inside as double) as inside, cast(outside as double) as outside from {values_sql('quads')}),
+QUAD = f"""q as (select id, {', '.join(f'cast({a}{i} as double) as {a}{i}' for i in range(4) for a in 'xy')}, cast(inside as double) as inside, cast(outside as double) as outside from {derived_sql('quads')}),
 t as (select *, {' + '.join(f'(case when {t} >= 1e-6 then 1 else 0 end)' for t in _turns())} as l, {' + '.join(f'(case when {t} <= -1e-6 then 1 else 0 end)' for t in _turns())} as r_,
  least(1.2, abs({' + '.join(f'(x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i})' for i in range(4))}) / 2) as area, greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3) as bw, greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3) as bh from q)"""
 
@@ -648,7 +653,7 @@ t as (select *, {' + '.join(f'(case when {t} >= 1e-6 then 1 else 0 end)' for t i
 @query(f"""with {QUAD} select id, (l > 0 and r_ = 0) or (r_ > 0 and l = 0) as is_convex, round(area, 6) as coverage, case when not ((l > 0 and r_ = 0) or (r_ > 0 and l = 0)) then 'distorted' when area >= cast(0.96 as double) then 'full page' when area < cast(0.1 as double) then 'too small'
  when bw < 0.25 or bh < 0.25 then 'too narrow' when inside is null or outside is null then 'unmeasurable' when inside - outside <= 30 then 'paper outside' else 'applied' end as gate from t""")
 def prj_crop_gate(spark, sf_dir):
-    q = constants(spark, "quads")
+    q = derived(spark, sf_dir, "quads")
     return rules.crop_gate(q.select("id", *[F.col(c).cast("double").alias(c) for c in q.columns if c != "id"]))
 
 
@@ -789,17 +794,17 @@ def _canon(e: str) -> str:
     return f"case when regexp_matches({v}, '^[0-9]+(\\.[0-9]+){{0,5}}$') then list_transform(range(1, 7), lambda i: coalesce(try_cast(string_split({v}, '.')[i] as bigint), 0)) end"
 
 
-@query(f"with c as (select id, {_canon('lhs')} as a, {_canon('rhs')} as b from {values_sql('versions')}) select id, case when a is null or b is null then null when a = b then 'eq' when a < b then 'lt' else 'gt' end as order_ from c")
+@query(f"with c as (select id, {_canon('lhs')} as a, {_canon('rhs')} as b from {derived_sql('versions')}) select id, case when a is null or b is null then null when a = b then 'eq' when a < b then 'lt' else 'gt' end as order_ from c")
 def fn_semver_order(spark, sf_dir):
-    return constants(spark, "versions").select("id", release.compare(F.col("lhs"), F.col("rhs")).alias("order_"))
+    return derived(spark, sf_dir, "versions").select("id", release.compare(F.col("lhs"), F.col("rhs")).alias("order_"))
 
 
-@query(f"with t as (select id, list_transform(regexp_split_to_array(lower(body), '[ \\t\\n\\r]+'), lambda x: string_split(x, ':')[-1]) as t from {values_sql('checksums')}) select id, list_filter(t, lambda x: regexp_matches(x, '^[0-9a-f]{{64}}$'))[1] as checksum from t")
+@query(f"with t as (select id, list_transform(regexp_split_to_array(lower(body), '[ \\t\\n\\r]+'), lambda x: string_split(x, ':')[-1]) as t from {derived_sql('checksums')}) select id, list_filter(t, lambda x: regexp_matches(x, '^[0-9a-f]{{64}}$'))[1] as checksum from t")
 def fn_parse_checksum(spark, sf_dir):
-    return constants(spark, "checksums").select("id", release.checksum(F.col("body")).alias("checksum"))
+    return derived(spark, sf_dir, "checksums").select("id", release.checksum(F.col("body")).alias("checksum"))
 
 
-FEED_SQL = f"""f as (select id, current, try_cast(feed as json) as j from {values_sql('releases')}),
+FEED_SQL = f"""f as (select id, current, try_cast(feed as json) as j from {derived_sql('releases')}),
 a as (select id, current, json_extract_string(j, '$.tag_name') as tag0, coalesce(cast(json_extract(j, '$.assets[*]') as json[]), []) as assets from f),
 b as (select id, current, case when {_canon('tag0')} is not null then tag0 end as tag, list_filter(assets, lambda x: json_extract_string(x, '$.name') is not null and json_extract_string(x, '$.browser_download_url') is not null) as assets from a),
 z as (select *, list_filter(assets, lambda x: ends_with(lower(json_extract_string(x, '$.name')), '.zip'))[1] as z from b),
@@ -811,14 +816,14 @@ r as (select id, current, tag, case when tag is not null then json_extract_strin
 
 @query(f"with {FEED_SQL} select * from r")
 def fn_release_parse(spark, sf_dir):
-    return release.parse_feed(constants(spark, "releases"))
+    return release.parse_feed(derived(spark, sf_dir, "releases"))
 
 
 @query(f"""with {FEED_SQL}, c as (select *, {_canon('tag')} as a, {_canon('current')} as b from r)
 select id, case when tag is null then 'noReleaseYet' when a = b then 'upToDate' when a < b then 'remoteIsOlder' else 'available' end as decision,
  case when a > b then checksum_url is not null or digest_sha256 is not null or signature_url is not null end as has_checksum, case when a > b then signature_url is not null end as has_signature from c""")
 def rule_update_decision(spark, sf_dir):
-    return release.decide(release.parse_feed(constants(spark, "releases"))).select("id", "decision", "has_checksum", "has_signature")
+    return release.decide(release.parse_feed(derived(spark, sf_dir, "releases"))).select("id", "decision", "has_checksum", "has_signature")
 
 
 @query("select s_suppkey, case [200, 404, 403, 429, 500][cast(s_suppkey % 5 as int) + 1] when 200 then 'ok' when 404 then case when s_suppkey % 2 = 0 then 'noRelease' else 'inaccessible' end when 403 then 'rateLimited' when 429 then 'rateLimited' else 'httpStatus' end as status_class from supplier")
@@ -1106,7 +1111,7 @@ def krn_html_text(spark, sf_dir):
 def krn_text_chars(spark, sf_dir):
     ship(spark)
     chars = F.pandas_udf(lambda s: s.map(encode.text_chars), "long")
-    return constants(spark, "streams").select("id", chars("body").alias("chars"))
+    return derived(spark, sf_dir, "streams").select("id", chars("body").alias("chars"))
 
 
 @query()

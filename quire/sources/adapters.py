@@ -2,6 +2,7 @@
 
 R1, R2: each label of embeddings is a page, each vector a row of pixels. R3: each user of events is a document, each
 event a page. R4: each order is a document, each line item a page. R8: small constant tables.
+R9: inputs of every form that a parser meets, with the numbers and texts of a table's rows.
 """
 
 from __future__ import annotations
@@ -72,6 +73,12 @@ def constants(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"select * from values {VALUES[name][1]} as t({VALUES[name][0]})")
 
 
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """R9."""
+    source, columns = DERIVED[name]
+    return table(spark, sf_dir, source).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
+
+
 #: Id, name and codes of the languages.
 LANGUAGES = (
     ("chi_sim+eng", "中文 + 英文", "zh-Hans,en-US"),
@@ -89,37 +96,97 @@ LANGUAGES = (
 )
 #: Column names and rows, in the SQL of any engine.
 VALUES = {
-    "selections": (
-        "id, selection, total",
-        "(1, 'all', 5), (2, '3', 5), (3, '1,3,5', 5), (4, '2-6,9', 10), (5, '7-', 9), (6, '-3', 5), (7, '5-3', 8), (8, '7-', 5), (9, 'x,2', 4), (10, '', 3), (11, ' 2 , 2 ,1', 3), (12, '0,99', 4), (13, '2-x', 4)",
-    ),
     "languages": ("id, name, codes", ", ".join(f"('{i}', '{name}', '{codes}')" for i, name, codes in LANGUAGES)),
     "doc_languages": ("lang, id", "('en', 'eng'), ('de', 'deu'), ('fr', 'fra')"),
-    "quads": (
-        "id, x0, y0, x1, y1, x2, y2, x3, y3, inside, outside",
-        "(1, 0.16, 0.16, 0.84, 0.16, 0.84, 0.84, 0.16, 0.84, 240.0, 85.0), (2, 0.16, 0.16, 0.84, 0.84, 0.84, 0.16, 0.16, 0.84, 240.0, 85.0), (3, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 240.0, 85.0), (4, 0.4, 0.05, 0.6, 0.05, 0.6, 0.95, 0.4, 0.95, 240.0, 85.0), (5, 0.02, 0.02, 0.98, 0.02, 0.98, 0.98, 0.02, 0.98, 250.0, 249.0), (6, 0.1136, 0.1136, 0.8864, 0.1136, 0.8864, 0.8864, 0.1136, 0.8864, 240.0, 239.0), (7, 0.1, 0.1, 0.3, 0.1, 0.3, 0.3, 0.1, 0.3, 240.0, 85.0), (8, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 240.0, 85.0), (9, 0.2, 0.2, 0.8, 0.25, 0.75, 0.8, 0.25, 0.75, 200.0, cast(null as double))",
+    "encoders": ("encoder, factor", "('jpeg', 1.0), ('jp2', 1.9), ('jp2lossless', 3.0), ('zip', 4.5)"),
+    "qualities": ("quality", "(60), (70), (80), (90)"),
+    "local_core": ("key, text", "('en', 'English'), ('de', 'German'), ('fr', 'French')"),
+    "local_overlay": ("key, text", "('de', 'German (overlay)')"),
+}
+
+def _forms(key: str, *forms: str) -> str:
+    """The form that a row's key chooses."""
+    return f"case {key} % {len(forms)} " + " ".join(f"when {i} then {e}" for i, e in enumerate(forms)) + " end"
+
+
+def _text(*parts: str) -> str:
+    """Parts joined: quoted ones as they are, others as text of a number or column."""
+    return " || ".join(p if p.startswith("'") else f"cast({p} as string)" for p in parts)
+
+
+_A, _B, _C = "o_custkey % 17", "o_custkey % 23", "o_orderkey % 11"
+_X, _Y, _Z = "p_size % 4", "p_partkey % 11", "p_partkey % 5"
+_HEX = "md5(text) || md5(text || 'x')"
+_ZIP = ["'{\"name\":\"app'", "p_size", "'.ZIP\",\"browser_download_url\":\"https://example.org/'", "p_partkey", "'.zip\",\"size\":'", "p_partkey * 3"]
+_FULL = _text("'{\"tag_name\":\"v'", _X, "'.'", _Y, "'\",\"assets\":[{\"name\":\"app.dmg\",\"browser_download_url\":\"https://example.org/d\"},'", *_ZIP)
+
+
+def _corner(base: int, factor: int, modulus: int) -> str:
+    """A coordinate in hundredths, as far from base as the row's key says."""
+    return f"cast({base} + p_partkey * {factor} % {modulus} as double) / 100"
+
+
+def _quad() -> dict[str, str]:
+    near, far = [_corner(1, f, 31) for f in (7, 11, 13, 17)], [_corner(69, f, 31) for f in (5, 3, 19, 23)]
+    # as drawn, two corners changed about, the whole page, and a strip
+    x = [(near[0], near[0], "0.0", near[0]), (far[0], far[1], "1.0", f"{near[0]} + 0.125"), (far[1], far[0], "1.0", f"{near[0]} + 0.125"), (near[1], near[1], "0.0", near[0])]
+    y = [(near[2], near[2], "0.0", near[2]), (near[3], far[2], "0.0", near[2]), (far[2], near[3], "1.0", far[2]), (far[3], far[3], "1.0", far[2])]
+    corners = {f"{a}{i}": _forms("p_partkey", *[f"cast({e} as double)" for e in c[i]]) for i in range(4) for a, c in (("x", x), ("y", y))}
+    return {"id": "p_partkey", **corners, "inside": "cast(case when p_size % 10 = 0 then null else 150 + p_partkey * 29 % 100 end as double)", "outside": "cast(85 + p_partkey * 13 % 170 as double)"}
+
+
+#: Table, and columns as SQL that Spark and DuckDB read alike.
+DERIVED = {
+    "selections": (
+        "orders",
+        {
+            "id": "o_orderkey",
+            "total": "cast(o_custkey % 40 + 1 as int)",
+            "selection": _forms("o_orderkey", "'all'", _text(_A), _text(_A, "','", _B, "','", _C), _text(_A, "'-'", _B, "','", _C), _text(_A, "'-'"), _text("'-'", _B), _text(_B, "'-'", _A), _text("'x,'", _A), "''", _text("' '", _A, "' , '", _A, "' ,1'"), _text("'0,99,'", _C), _text(_A, "'-x'"), _text("'all,'", _B)),
+        },
     ),
+    "quads": ("part", _quad()),
     "versions": (
-        "id, lhs, rhs",
-        "(1, '1.0.0', '1.0.1'), (2, 'v1.2', '1.2.0'), (3, '1.10.0', '1.9.9'), (4, '2.0', 'v2.0.0.0'), (5, '1.2.3-beta', '1.2.3'), (6, '1.2.3+7', '1.2.4'), (7, 'abc', '1.0'), (8, '1.x', '1.0'), (9, '0..1', '1.0'), (10, '', '1.0'), (11, '1.2.3.4.5.6', '1.2.3.4.5'), (12, '1.2.3.4.5.6.7', '1.0'), (13, ' V3.1 ', '3.0.9')",
-    ),
-    "releases": (
-        "id, current, feed",
-        """(1, '1.0.0', '{"tag_name":"v1.1.0","html_url":"https://example.org/r/1","body":"notes","published_at":"2025-01-01T00:00:00Z","assets":[{"name":"app.dmg","browser_download_url":"https://example.org/app.dmg","size":10},{"name":"App.ZIP","browser_download_url":"https://example.org/App.ZIP","size":20,"digest":"sha256:aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"},{"name":"App.ZIP.sha256","browser_download_url":"https://example.org/App.ZIP.sha256","size":1}]}'),
-           (2, '1.1.0', '{"tag_name":"1.1","assets":[]}'), (3, '2.0.0', '{"tag_name":"v1.9.9","assets":[{"name":"a.zip"}]}'),
-           (4, '1.0', '{"tag_name":"v2.0","assets":[{"name":"x.zip","browser_download_url":"https://example.org/x.zip","size":5,"digest":"md5:00"},{"name":"x.zip.ed25519","browser_download_url":"https://example.org/x.zip.ed25519"}]}'),
-           (5, '1.0', '{"tag_name":"nightly","assets":[]}'), (6, '1.0', cast(null as string)), (7, '1.0', '{"assets":[]}')""",
+        "part",
+        {
+            "id": "p_partkey",
+            "lhs": _forms("p_partkey", _text(_X, "'.'", _Y, "'.'", _Z), _text("'v'", _X, "'.'", _Y), _text(_X, "'.'", _Y, "'.0.0'"), _text(_X, "'.'", _Y, "'-beta'"), _text(_X, "'+'", _Y), "p_type", _text(_X, "'.x'"), _text(_X, "'..'", _Y), "''", _text("' V'", _X, "'.'", _Z, "' '"), _text(_X, "'.1.2.3.4.'", _Y), _text(_X, "'.1.2.3.4.5.6'"), "p_brand"),
+            "rhs": _forms("p_size", _text(_Z, "'.'", _Y), _text(_X, "'.'", _Y, "'.0'"), _text("'v'", _X), _text(_X, "'.'", _Z), _text(_X, "'.1.2.3.4'")),
+        },
     ),
     "checksums": (
-        "id, body",
-        "(1, 'AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA  app.zip'), (2, 'sha256:bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb'), (3, 'none here'), (4, 'short abc 0123456789abcdef0123456789abcdef0123456789abcdef0123456789abcdef'), (5, 'xcccccccccccccccccccccccccccccccccccccccccccccccccccccccccccccccccc'), (6, '')",
+        "documents",
+        {"id": "doc_id", "body": _forms("doc_id", f"upper({_HEX}) || '  app.zip'", f"'sha256:' || {_HEX}", "text", f"'short abc' || chr(10) || {_HEX} || ' ' || md5(text)", f"'x' || {_HEX}", f"text || chr(9) || {_HEX}", "''")},
+    ),
+    "releases": (
+        "part",
+        {
+            "id": "p_partkey",
+            "current": _text("p_size % 3", "'.'", "p_partkey % 7"),
+            "feed": _forms(
+                "p_partkey",
+                f"{_FULL} || ',\"digest\":\"sha256:' || md5(p_name) || upper(md5(p_brand)) || '\"}},{{\"name\":\"app' || cast(p_size as string) || '.ZIP.sha256\",\"browser_download_url\":\"https://example.org/s\"}}]}}'",
+                f"{_FULL} || ',\"digest\":\"md5:00\"}},{{\"name\":\"app' || cast(p_size as string) || '.ZIP.ed25519\",\"browser_download_url\":\"https://example.org/e\"}}]}}'",
+                _text("'{\"tag_name\":\"'", _X, "'.'", _Y, "'\",\"assets\":[]}'"),
+                _text("'{\"tag_name\":\"v'", _X, "'\",\"assets\":[{\"name\":\"a.zip\"}]}'"),
+                _text("'{\"tag_name\":\"nightly '", _Y, "'\",\"assets\":[]}'"),
+                "cast(null as string)",
+                "'{\"assets\":[]}'",
+            ),
+        },
     ),
-    "encoders": ("encoder, factor", "('jpeg', 1.0), ('jp2', 1.9), ('jp2lossless', 3.0), ('zip', 4.5)"),
-    "qualities": ("quality", "(60), (70), (80), (90)"),
     "streams": (
-        "id, body",
-        "(1, 'BT /F1 12 Tf (Hello) Tj ET'), (2, 'q 1 0 0 1 0 0 cm /Im0 Do Q'), (3, 'BT/F1 1 Tf<0041> TJ ET'), (4, 'BTx Tfy Tjz'), (5, ''), (6, '/Width 1240 /Height 1754 /Width 99999 /Width12345678'), (7, 'BT Tf')",
+        "documents",
+        {
+            "id": "doc_id",
+            "body": _forms("doc_id", "'BT /F1 12 Tf (' || text || ') Tj ET'", "'q 1 0 0 1 0 0 cm /Im0 Do Q ' || text", "'BT/F1 1 Tf<0041> TJ ET'", "'BTx Tfy Tjz ' || text", "text", "'BT /F1 1 Tf (' || lang || ' (' || source || ') ' || chr(92) || ')) Tj <' || md5(text) || '> Tj ET'", "'BT Tf'"),
+        },
+    ),
+    "widths": (
+        "pages",
+        {
+            "id": "page_id",
+            "body": _forms("page_id", "html", "html || ' /Width ' || cast(length(html) as string)", "'/Width' || cast(page_id * 7 % 4000 as string) || ' /Height 1754 /Width 99999 ' || html", "'/Width' || chr(10) || '12345678 /Width ' || cast(page_id as string)", "''"),
+        },
     ),
-    "local_core": ("key, text", "('en', 'English'), ('de', 'German'), ('fr', 'French')"),
-    "local_overlay": ("key, text", "('de', 'German (overlay)')"),
 }

@@ -275,11 +275,23 @@ def test_sidecars(spark, tmp_path):
     assert [p.read_text() for p in tmp_path.glob("text/doc=a/*.txt")] == ["one\nmore\ntwo\n"]
 
 
-def test_quads_pass_the_gates_of_the_rules(spark):
-    from quire.sources.adapters import constants
+#: id, corners, and levels inside and outside of them.
+QUADS = [
+    (1, 0.16, 0.16, 0.84, 0.16, 0.84, 0.84, 0.16, 0.84, 240.0, 85.0),
+    (2, 0.16, 0.16, 0.84, 0.84, 0.84, 0.16, 0.16, 0.84, 240.0, 85.0),
+    (3, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 240.0, 85.0),
+    (4, 0.4, 0.05, 0.6, 0.05, 0.6, 0.95, 0.4, 0.95, 240.0, 85.0),
+    (5, 0.02, 0.02, 0.98, 0.02, 0.98, 0.98, 0.02, 0.98, 250.0, 249.0),
+    (6, 0.1136, 0.1136, 0.8864, 0.1136, 0.8864, 0.8864, 0.1136, 0.8864, 240.0, 239.0),
+    (7, 0.1, 0.1, 0.3, 0.1, 0.3, 0.3, 0.1, 0.3, 240.0, 85.0),
+    (8, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 240.0, 85.0),
+    (9, 0.2, 0.2, 0.8, 0.25, 0.75, 0.8, 0.25, 0.75, 200.0, None),
+]
+
 
-    rows = {r["id"]: r for r in constants(spark, "quads").collect()}
-    q = constants(spark, "quads").select("id", *[F.col(c).cast("double").alias(c) for c in constants(spark, "quads").columns if c != "id"])
+def test_quads_pass_the_gates_of_the_rules(spark):
+    q = spark.createDataFrame(QUADS, "id int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, inside double, outside double")
+    rows = {r["id"]: r for r in q.collect()}
     gates = {r["id"]: r["gate"] for r in rules.crop_gate(q).collect()}
     assert len(gates) == 9
     for i, r in rows.items():
