@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from quire.llm.url_filter import GIVEN, PLAIN_WORDS, RULES, SEEDS, Model, judge, split_name
+from quire.llm.url_filter import EXAMPLES, GIVEN, PLAIN_WORDS, RULES, SEEDS, SMOOTH, judge, split_name
 
 from .test_native import plain_rule
 
@@ -22,18 +22,41 @@ def plain_scores(urls, texts=()):
         words.update(w for w in re.split("[^0-9a-z]+", p.lower()) if 2 <= len(w) <= 24 and not w.isdigit())
     for t in texts:
         words.update(w for w in re.split("[^0-9a-z]+", t.lower()) if 2 <= len(w) <= 24 and not w.isdigit())
-    model, n, bad, tokens, bad_urls = Model(words), collections.Counter(), collections.Counter(), [], 0
+    total = float(sum(words.values()))
+    logs = {w: math.log(k / total) for w, k in words.items()}
+    examples, memo = [], {}
     for h, p, rule, verdict in parts:
-        split = model.host(h)
-        tokens.append([f"h:{w}" for w in split] + [f"p:{w}" for w in re.split("[^0-9a-z]+", p.lower()) if w and not w.isdigit()])
-        n.update(tokens[-1])
+        if h not in memo:
+            memo[h] = [w for label in re.split("[^0-9a-z]+", h) if label for w in split_name(label, logs, total)]
+        tokens = [f"h:{w}" for w in memo[h]] + ["h:-"] * h.count("-") + [f"p:{w}" for w in re.split("[^0-9a-z]+", p.lower()) if w and not w.isdigit()]
         named = rule is not None and "." in rule.split("/")[0]
-        if verdict == "block" if named else any(w in SEEDS for w in split):
-            bad.update(tokens[-1])
-            bad_urls += 1
-    a, b, v = sum(bad.values()), sum(n.values()), len(n) + 1
-    odds = {t: math.log((bad[t] + 1) / (a + v)) - math.log((n[t] - bad[t] + 1) / (b - a + v)) for t in n}
-    return [math.log((bad_urls + 1) / (len(urls) - bad_urls + 1)) + sum(odds[t] for t in x) for x in tokens], len(n)
+        examples.append((h, set(tokens), verdict == "block" if named else any(w in SEEDS for w in memo[h])))
+    votes = collections.defaultdict(list)
+    for h, tokens, is_bad in examples:
+        for t in {None, *tokens}:
+            votes[h, t].append(is_bad)
+    is_bad = {k: 2 * sum(v) >= len(v) for k, v in votes.items()}
+    n, bad, size, size_bad = (collections.Counter() for _ in range(4))
+    for (h, t), b in is_bad.items():
+        n[t] += 1
+        bad[t] += b
+        size[h] += t is not None
+        size_bad[h] += b and t is not None
+    hosts, bad_hosts = n.pop(None), bad.pop(None, 0)
+    a_all, n_all, kinds = bad.total(), n.total(), len(n)
+    n.update({f"h:{w}": EXAMPLES for w in SEEDS})
+    bad.update({f"h:{w}": EXAMPLES for w in SEEDS})
+    out = []
+    for h, tokens, _ in examples:
+        others = bad_hosts - is_bad[h, None]
+        score, block_of = math.log((others + 1) / (hosts - others)), a_all - size_bad[h] + 1
+        allow_of = n_all - size[h] + 2 - block_of
+        rate = block_of / (block_of + allow_of)
+        for t in tokens:
+            block = bad[t] - is_bad[h, t]
+            score += math.log((block + SMOOTH * rate) / (n[t] - 1 - block + SMOOTH * (1 - rate))) - math.log(block_of / allow_of)
+        out.append(score)
+    return out, kinds
 
 
 def test_no_token_is_cut(spark):
@@ -69,13 +92,38 @@ def test_splits_are_the_best_of_all():
 
 
 def test_words_in_no_list_are_blocked_by_their_company(spark):
-    names = ["casino-zorbo", "poker-zorbo", "zorbomania", "zorbo", "meadow-zine", "meadowzine", "zine", "meadow"]
-    assert not {"zorbo", "mania", "meadow", "zine"} & (SEEDS | PLAIN_WORDS)
-    urls = [f"http://www.{n}.info/{k}" for n in names for k in range(3 if n.startswith("zorbo") else 20)] + [f"http://{w}.info/x" for w in sorted(PLAIN_WORDS)]
-    urls += ["http://blocked.hiddenfarm.biz/1", "http://hiddenfarm.biz/2", "http://other.biz/1", "http://hiddenfarm.biz/ok/3"] * 20
+    good = sorted(PLAIN_WORDS)
+    names = [*(f"{s}-zorbo" for s in sorted(SEEDS)[:12]), *(f"{w}-meadow" for w in good[:12]), *(f"{w}-zine" for w in good[12:24])]
+    new = ["zorbo", "get-zorbo", "meadow-zine", "meadowzine", "zine", "meadow"]
+    assert not {"zorbo", "get", "meadow", "zine"} & (SEEDS | PLAIN_WORDS)
+    urls = [f"http://{n}.info/{k}" for n in [*names, *new, *good] for k in range(3)]
+    urls += [f"http://{n}.hiddenfarm.biz/{k}" for n in ("ab", "cd", "ef", "gh", "ij", "kl") for k in range(2)] + [f"http://{w}.biz/1" for w in good[24:40]]
+    urls += ["http://hiddenfarm.biz/ok/3", "http://hiddenfarm.shop/"]
     rules = (*RULES, ("block", "hiddenfarm.biz", "/"), ("allow", "hiddenfarm.biz", "/ok/"))
-    got = {r["host"]: r["verdict"] for r in judge(spark.createDataFrame(list(enumerate([*urls, "http://hiddenfarm.shop/"])), "page_id long, url string"), rules).where("rule is null").collect()}
-    assert {h for h, v in got.items() if v == "block"} == {*(f"www.{n}.info" for n in names if "zorbo" in n), "hiddenfarm.shop"}
+    got = {r["host"]: r["verdict"] for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).where("rule is null").collect()}
+    assert {h for h, v in got.items() if v == "block"} == {*(f"{n}.info" for n in [*names, *new] if "zorbo" in n), "hiddenfarm.shop"}
+
+
+def test_what_the_list_of_seeds_does_not_say(spark):
+    # hosts with a hyphen hold seeds, all but one; a host with a seed keeps other company than blocked ones
+    urls = [f"http://{s}-{n}.biz/{k}" for s, n in zip(sorted(SEEDS), ["ado", "ebo", "ifo", "ogo", "uko"] * 5) for k in range(3)]
+    urls += [f"http://{w}{v}.org/news/{k}" for w in sorted(PLAIN_WORDS) for v in ("", "guide") for k in range(2)]
+    got = judge(spark.createDataFrame(list(enumerate([*urls, "http://qualmy-ebo.biz/1", "http://drugs.guide.school.library.health.org/news/1"])), "page_id long, url string"))
+    blocked = {r["host"] for r in got.where("verdict = 'block'").collect()}
+    assert blocked == {f"{s}-{n}.biz" for s, n in zip(sorted(SEEDS), ["ado", "ebo", "ifo", "ogo", "uko"] * 5)} | {"qualmy-ebo.biz"}
+
+
+def test_one_url_and_one_host_in_a_third_of_all_rows(spark):
+    urls = ["http://www.hot-host.info/a"] * 700 + [f"http://www.hot-host.info/b{i}/c" for i in range(700)] + [f"http://www.h{i}.info/a" for i in range(1300)]
+    expected, _ = plain_scores(urls)
+    got = {r["page_id"]: r["log_odds"] for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == len(urls) and all(got[i] == pytest.approx(x) for i, x in enumerate(expected))
+
+
+@pytest.mark.parametrize("key", ["host", "rule", "path", "words", "times", "log_odds", "a.b"])
+def test_names_of_the_key(spark, key):
+    df = spark.createDataFrame([(1, "http://a.casino.info/x")], f"`{key}` long, url string")
+    assert [r[0] for r in judge(df, key=key).collect()] == [1]
 
 
 def test_no_seeds_and_no_rows_to_learn_from(spark):
