@@ -11,6 +11,10 @@ from quire.functions.shipping import ship
 from quire.operators import encode, text
 
 
+#: Bytes of streams that stream_rows gives back at a time.
+HELD = 8_000_000
+
+
 def documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """(doc, content, file_size) of files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -36,10 +40,21 @@ def stream_rows(docs: DataFrame, most: int = 400) -> DataFrame:
     def run(batches):
         import pandas as pd
 
+        frame = lambda: pd.DataFrame({"doc": docs_, "stream_no": numbers, "body": bodies})
         for b in batches:
-            for r in b.itertuples():
-                found = [encode.inflated(s) for s in encode.streams(bytes(r.content), most)]
-                yield pd.DataFrame({"doc": [r.doc] * len(found), "stream_no": range(len(found)), "body": found})
+            docs_, numbers, bodies, held = [], [], [], 0
+            for doc, content in zip(b["doc"], b["content"], strict=True):
+                for n, body in enumerate(map(encode.inflated, encode.streams(bytes(content), most))):
+                    docs_.append(doc)
+                    numbers.append(n)
+                    bodies.append(body)
+                    held += len(body)
+                    # many small documents make one frame, large ones several
+                    if held > HELD:
+                        yield frame()
+                        docs_, numbers, bodies, held = [], [], [], 0
+            if docs_:
+                yield frame()
 
     ship(docs.sparkSession)
     return docs.select("doc", "content").mapInPandas(run, T.StructType([docs.schema["doc"], T.StructField("stream_no", T.IntegerType()), T.StructField("body", T.BinaryType())]))
