@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from quire.llm.simhash import wide_fingerprint
-from quire.llm.similar import allowed, chosen, keep_one, similar, spanning
+from quire.llm.similar import allowed, chosen, keep_one, meeting, similar, sketch, spanning
 
 SCHEMA = "doc_id long, text string, source string"
 MASK = (1 << 64) - 1
@@ -177,3 +177,39 @@ def test_the_pipeline_drops_copies_beyond_three_bits(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), None)
     assert sorted(str(r["doc_id"]) for r in got.collect()) == ["11", "3", "9", "None"]
     assert keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_no_link_is_lost_near_the_bound(spark):
+    # pairs, and groups in which each text is near the bound of most others
+    rng = random.Random(12)
+    texts = {}
+    for _ in range(250):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 200))]
+        for words in (base, varied(rng, base, max(1, len(base) // 45))):
+            texts[len(texts)] = " ".join(words)
+    for _ in range(4):
+        base = [f"g{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(60):
+            texts[len(texts)] = " ".join(varied(rng, base, rng.randrange(3, 6)))
+    got = {r["doc_id"]: r["component_id"] for r in similar(spark.createDataFrame([(d, t, "x") for d, t in texts.items()], SCHEMA)).collect()}
+    assert got == plain_ids(texts)
+
+
+@pytest.mark.parametrize("least, dense", [(0.5, 4096), (0.8, 16), (0.9, 4096), (1.0, 4096)])
+def test_all_links_of_a_table(spark, least, dense):
+    rows = table(random.Random(13))
+    got = {r["doc_id"]: r["component_id"] for r in similar(spark.createDataFrame(rows, SCHEMA), least=least, dense=dense).collect()}
+    assert got == plain_ids({d: t for d, t, _ in rows}, least)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_sketches_rule_out_nothing_similar(least):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63 - 1, 900)
+    sets = [np.unique(np.concatenate([base[rng.random(900) < rng.uniform(0.05, 1)], rng.integers(-(2**63), 2**63 - 1, rng.integers(1, 60))])) for _ in range(80)]
+    size, label = np.array([len(s) for s in sets]), rng.integers(0, 30, 80)
+    entry, fresh = rng.random(80) < 0.6, rng.random(80) < 0.8
+    got = [(min(i, j), max(i, j)) for a, b, _ in meeting(size, label, [sketch(s) for s in sets], entry, fresh, least) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    like = {(i, j) for i, j in itertools.combinations(range(80), 2) if label[i] != label[j] and (entry[i] or entry[j]) and (fresh[i] or fresh[j]) and jaccard(set(sets[i]), set(sets[j])) >= least}
+    assert len(got) == len(set(got)) and like and like <= set(got)
+    assert all(label[i] != label[j] and (entry[i] or entry[j]) and (fresh[i] or fresh[j]) for i, j in got)
