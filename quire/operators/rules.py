@@ -228,6 +228,27 @@ def encoder_used(asked: Column, available: Column) -> Column:
     return out.otherwise(F.coalesce(*[F.when(F.array_contains(available, c), F.lit(c)) for c in chain], F.lit(chain[-1])))
 
 
+def encoder_sizes(pages: DataFrame, encoders: list[tuple[str, float]]) -> list:
+    """(bytes, encoder) of a row of pages (bytes, quality) by each of a few encoders (name, factor), by name."""
+    size = lambda factor: F.floor(F.col("bytes") * F.lit(factor) * F.col("quality") / 100.0).cast("long")
+    return [F.struct(size(factor).alias("bytes"), F.lit(name).alias("encoder")) for name, factor in sorted(encoders)]
+
+
+def best_of_row(pages: DataFrame, encoders: list[tuple[str, float]]) -> DataFrame:
+    """best_encoder() of pages (bytes, quality, others) whose rows are a group each: worked out in the row, so that nothing is moved or sorted."""
+    names = [name for name, _ in sorted(encoders)]
+    sizes = pages.withColumns({f"__q_{k}": x["bytes"] for k, x in enumerate(encoder_sizes(pages, encoders))})
+    each = [F.col(f"__q_{k}") for k in range(len(names))]
+    sizes = sizes.withColumn("__q_least", F.least(*each))
+    best = F.lit(names[0])
+    for name, x in reversed(list(zip(names, each, strict=True))):
+        best = F.when(x == F.col("__q_least"), name).otherwise(best)
+    rest = [c for c in pages.columns if c != "bytes"]
+    rows = F.inline(F.array(*[F.struct(F.lit(name).alias("encoder"), x.alias("bytes")) for name, x in zip(names, each, strict=True)]))
+    out = sizes.select(*rest, "__q_least", best.alias("__q_best"), rows)
+    return out.select(*rest, "encoder", "bytes", F.round(F.col("bytes") / F.col("__q_least"), 6).alias("times_least"), (F.col("encoder") == F.col("__q_best")).alias("is_best"))
+
+
 def best_encoder(results: DataFrame, by: list[str]) -> DataFrame:
     """Per group the encoder of the fewest bytes (ties: name), and each one's size over the least."""
     w = Window.partitionBy(*by)
