@@ -38,7 +38,7 @@ SMOOTH = 2
 #: A word's letters at most, in the split of a name; longer ones, in no list of words, are split.
 LONGEST = 24
 #: Steps of a score.
-STEPS = float(2**30)
+STEPS = float(2**40)
 #: A key with more than one in so many rows is joined by broadcast: there are fewer than that of them.
 HOT = 1000
 #: What is between words.
@@ -139,7 +139,7 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, key: str = "page_id", url:
     fits and the prior decides. html: the column of pages' texts, from which words are counted too; null ones have
     none. Rows may repeat, and one host, url or token may be in any share of them. key may have any name. Counts cover
     all rows and all words (of up to LONGEST letters) and tokens, which stay tables: a name is split with those of the
-    words that it holds. log_odds is summed in steps of 2^-30. An empty table gives an empty table.
+    words that it holds. log_odds is summed in steps of 2^-40. An empty table gives an empty table.
     """
     spark = pages.sparkSession
     shared.prepare(spark)
@@ -197,7 +197,8 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, key: str = "page_id", url:
     odds = shared.save(rest.select("host", "token", F.round(odds * STEPS).cast("long").alias("odds"), "in_urls"), "url-odds")
     placed = urls.select("host", "path", F.explode("tokens").alias("token"))
     summed = _spread_join(placed, odds, ["host", "token"], "in_urls", odds.agg(F.coalesce(F.sum("in_urls"), F.lit(0))).first()[0])
-    summed = summed.groupBy("host", "path").agg(F.sum("odds").alias("sum"))
+    # as decimals: 64 bits might not do for the sum of a very long url
+    summed = summed.groupBy("host", "path").agg(F.sum(F.col("odds").cast("decimal(20,0)")).alias("sum"))
     others = F.lit(bad_hosts) - F.col("is_bad")
     prior = F.round(F.log((others + 1) / (F.lit(n_hosts) - others)) * STEPS).cast("long")
     priors = own.select("host", prior.alias("prior")).join(hosts.select("host", "n_urls"), "host")

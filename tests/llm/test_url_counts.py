@@ -68,6 +68,14 @@ def test_no_token_is_cut(spark):
     assert len(got) == len(urls) and all(got[i] == pytest.approx(x) for i, x in enumerate(expected))
 
 
+def test_scores_near_zero(spark):
+    hosts = ["therin.example.info", "casino-win.info", "rarely-blocked.info"]
+    urls = [f"http://{hosts[i % 3]}/a{i}x/b{i}y/{'once' if i == 1 else 'more'}" for i in range(60)]
+    expected, _ = plain_scores(urls)
+    got = {r["page_id"]: r["log_odds"] for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert all(abs(got[i] - x) < 2e-11 for i, x in enumerate(expected))
+
+
 def test_scores_of_a_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     expected, _ = plain_scores([r["url"] for r in pages], [re.sub("<[^>]*>", " ", r["html"]) for r in pages if r["html"].isascii()])
